@@ -78,8 +78,8 @@ def _duck(memory: str, spill: str | None):
                 config = {"threads": "1", "memory_limit": memory} | ({"temp_directory": f"{spill}/{path.strip('/').replace('/', '-')[-60:]}"} if spill else {})
                 with duckdb.connect(config=config) as con:
                     con.register("part", part.scanner(batch_size=50_000, use_threads=False).to_reader())
-                    con.execute("SELECT field, term, CAST(sum(occurrences) AS BIGINT) AS occurrences, CAST(sum(records) AS BIGINT) AS records FROM part GROUP BY field, term")
-                    yield from con.to_arrow_reader(50_000)
+                    counts = con.sql("SELECT field, term, CAST(sum(occurrences) AS BIGINT) AS occurrences, CAST(sum(records) AS BIGINT) AS records FROM part GROUP BY field, term")
+                    yield from counts.to_arrow_reader(50_000)
 
     return run
 

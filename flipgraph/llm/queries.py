@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from flipgraph.llm import frequency, topn
+from flipgraph.llm import frequency, lookalikes, pairs, topn
 
-_MODULES = (frequency, topn)
+_MODULES = (lookalikes, pairs, frequency, topn)
 
 
 def queries() -> dict:

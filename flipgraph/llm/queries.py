@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from flipgraph.llm import frequency, lookalikes, pairs, topn
+from flipgraph.llm import frequency, lookalikes, mixing, packing, pairs, residue, topn
 
-_MODULES = (lookalikes, pairs, frequency, topn)
+_MODULES = (lookalikes, pairs, frequency, topn, packing, mixing, residue)
 
 
 def queries() -> dict:

@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 from flipgraph.operators import references
+from flipgraph.plans import aggregates
+
+_CATALOGS = (aggregates.C,)
 
 
 def queries() -> dict:
-    return {"p3_found": references.p3_found, "p3_counts": references.p3_counts}
+    named = {"p3_found": references.p3_found, "p3_counts": references.p3_counts}
+    for c in _CATALOGS:
+        named |= c.queries
+    return named
 
 
 def oracle_sql() -> dict:
-    return dict(references.P3_SQL)
+    sql = dict(references.P3_SQL)
+    for c in _CATALOGS:
+        sql |= c.sql
+    return sql

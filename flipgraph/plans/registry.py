@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from flipgraph.operators import references
-from flipgraph.plans import aggregates
+from flipgraph.plans import aggregates, ranking
 
-_CATALOGS = (aggregates.C,)
+_CATALOGS = (aggregates.C, ranking.C)
 
 
 def queries() -> dict:

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from flipgraph.operators import references
-from flipgraph.plans import aggregates, ranking
+from flipgraph.plans import aggregates, graph, ranking, search
 
-_CATALOGS = (aggregates.C, ranking.C)
+_CATALOGS = (aggregates.C, ranking.C, graph.C, search.C)
 
 
 def queries() -> dict:

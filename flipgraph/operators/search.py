@@ -24,9 +24,6 @@ class State:
     nodes: frozenset
     edges: frozenset  # of (src, tgt, description)
 
-    def ends(self, name: str) -> int:
-        return sum((s == name) + (t == name) for s, t, _ in self.edges)
-
     def without_node(self, name: str) -> tuple[State, int]:
         """The state without a node, its edges and the neighbours left alone; and what that costs."""
         incident = {e for e in self.edges if name in e[:2]}

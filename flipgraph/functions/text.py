@@ -35,7 +35,7 @@ def norm_question(q: Column) -> Column:
 
 
 def _kept(parts: Column) -> Column:
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def sentences_by_dot(text: Column) -> Column:
@@ -70,9 +70,15 @@ def escape_html(text: Column) -> Column:
     return text
 
 
+# What marks a unit as an id, a prompt or a cache key (fixed values).
+UNIT_MARKS = ("default:extract", "doc-", "chunk-", "Question:", "Answers:", "Context:")
+
+
 def clean_unit(text: Column) -> Column:
     """Whether a text unit is usable: 30 to 1000 characters, at least 10 letters, no id, prompt or hex string."""
     bare = F.trim(text)
     letters = F.length(F.regexp_replace(bare, r"[^\p{L}]", ""))
-    odd = bare.rlike(r"^[0-9a-fA-F\-]+$") | F.lower(bare).rlike(r"chunk-|doc-|---role---|---goal---") | bare.contains("<|")
+    odd = bare.rlike(r"^[a-f0-9\-]{20,}$")
+    for mark in UNIT_MARKS:
+        odd = odd | F.contains(bare, F.lit(mark))
     return F.coalesce((F.length(bare).between(30, 1000)) & (letters >= 10) & ~odd, F.lit(False))

@@ -113,7 +113,7 @@ def _(s, d):
     return full.join(u, ["qid", "mask"]).select("qid", "removed", (rnd(F.col("whole") - F.col("u")) + 0.0).alias("drop_"))
 
 
-@C.add("att_rage_comb", f"""{GAME}, f AS (SELECT qid, max(mask) AS full_, arg_max(u, mask) AS whole FROM util GROUP BY 1), c AS (SELECT u.qid, min((bit_count(u.mask) << 10) | u.mask) FILTER (u.u >= 0.5e0 * whole) AS up, min((bit_count(xor(full_, u.mask)) << 10) | xor(full_, u.mask)) FILTER (u.u < 0.5e0 * whole) AS down FROM util u JOIN f USING (qid) GROUP BY 1)
+@C.add("att_rage_comb", f"""{GAME}, f AS (SELECT qid, max(mask) AS full_, arg_max(u, mask) AS whole FROM util GROUP BY 1), c AS (SELECT u.qid, min((CAST(bit_count(u.mask) AS INT) * 1024) + u.mask) FILTER (u.u >= 0.5e0 * whole) AS up, min((CAST(bit_count(xor(full_, u.mask)) AS INT) * 1024) + xor(full_, u.mask)) FILTER (u.u < 0.5e0 * whole) AS down FROM util u JOIN f USING (qid) GROUP BY 1)
  SELECT qid, CAST(up & 1023 AS INT) AS up, CAST(down & 1023 AS INT) AS down FROM c""")
 def _(s, d):
     return T.minimal_combination(utilities(s, d))

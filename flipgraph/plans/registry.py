@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from flipgraph.operators import references
-from flipgraph.plans import aggregates, attribution, graph, ranking, search, structure
+from flipgraph.plans import aggregates, attribution, context, graph, projections, ranking, search, structure
 
-_CATALOGS = (aggregates.C, ranking.C, graph.C, search.C, attribution.C, structure.C)
+_CATALOGS = (aggregates.C, ranking.C, graph.C, search.C, attribution.C, structure.C, projections.C, context.C)
 
 
 def queries() -> dict:

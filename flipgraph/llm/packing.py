@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,32 +53,51 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
     return placed, n
 
 
-def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
+    """As ``sum_of_squares``, but the largest item goes first, and each into the fullest container that has room."""
+    gaps: list[tuple[int, int]] = []  # (space left, container), sorted
+    placed, n = np.empty(len(sizes), np.int64), 0
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        size = int(sizes[i])
+        at = bisect_left(gaps, (size, -1))
+        if at < len(gaps):
+            left, box = gaps.pop(at)
+        else:
+            left, box, n = capacity, n, n + 1
+        insort(gaps, (left - size, box))
+        placed[i] = box
+    return placed, n
+
+
+def _pack(rule):
     """Rows arrive sorted by (spec_id, shard); a shard is packed when it is complete."""
-    rest = None
 
     def done(part: pd.DataFrame) -> pd.DataFrame:
-        box, _ = sum_of_squares(part["tokens"].to_numpy(), int(part["capacity"].iloc[0]))
+        box, _ = rule(part["tokens"].to_numpy(), int(part["capacity"].iloc[0]))
         return part.assign(box=(part["shard"].to_numpy().astype(np.int64) << 24) + box)
 
-    for batch in batches:
-        rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        key = rest["spec_id"].to_numpy(), rest["shard"].to_numpy()
-        starts = np.flatnonzero(np.r_[True, (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])])
-        for a, b in zip(starts[:-1], starts[1:], strict=True):
-            yield done(rest.iloc[a:b])
-        rest = rest.iloc[starts[-1] :] if len(starts) else None
-    if rest is not None and len(rest):
-        yield done(rest)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            key = rest["spec_id"].to_numpy(), rest["shard"].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])])
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                yield done(rest.iloc[a:b])
+            rest = rest.iloc[starts[-1] :] if len(starts) else None
+        if rest is not None and len(rest):
+            yield done(rest)
+
+    return run
 
 
-def _shards(items: DataFrame, n_items: int, per_shard: int, key: Column) -> DataFrame:
+def _shards(items: DataFrame, n_items: int, per_shard: int, key: Column, rule=sum_of_squares) -> DataFrame:
     """Packs ``items`` (spec_id, capacity, tokens, ...) in shards by hash; adds shard and box."""
     shards = max(1, -(-n_items // per_shard))
     rows = items.withColumn("shard", F.pmod(F.xxhash64(key, F.lit(6)), F.lit(shards)).cast("int"))
     rows = rows.repartition("spec_id", "shard").sortWithinPartitions("spec_id", "shard", F.xxhash64(key, F.lit(7)))
     names = rows.columns
-    return rows.mapInPandas(_pack, rows.withColumn("box", F.lit(0).cast("long")).schema).select(*names, "box")
+    return rows.mapInPandas(_pack(rule), rows.withColumn("box", F.lit(0).cast("long")).schema).select(*names, "box")
 
 
 def pack(documents: DataFrame, specs: DataFrame, id_col: str, tokens: Column, per_shard: int = ITEMS_PER_SHARD, loose: float = LOOSE) -> DataFrame:
@@ -89,8 +109,8 @@ def pack(documents: DataFrame, specs: DataFrame, id_col: str, tokens: Column, pe
     without a positive capacity gives no rows.
 
     Items are dealt to shards by hash and each shard is packed by the sum-of-squares rule; containers that stay
-    loose are then packed again across the shards, as items of their filled size. Few containers per shard
-    stay loose, so the second pass is small.
+    loose are then packed again across the shards, as items of their filled size, the fullest first and each where
+    it fits best. Few containers per shard stay loose, so the second pass is small.
     """
     specs_ = [(r["spec_id"], r["capacity"]) for r in specs.where("capacity > 0").distinct().limit(1001).collect()]
     if len(specs_) > 1000:
@@ -110,7 +130,7 @@ def pack(documents: DataFrame, specs: DataFrame, id_col: str, tokens: Column, pe
     first = cut(_shards(items, n_items, per_shard, F.col("row")).drop("shard", "row"), "packed")
     boxes = first.groupBy("spec_id", "capacity", "box").agg(F.sum("tokens").alias("tokens"))
     slack = cut(boxes.where(F.col("tokens") <= loose * F.col("capacity")), "loose")
-    again = _shards(slack.withColumnRenamed("box", "old"), max(1, slack.count() // len(specs_)), per_shard, F.col("old"))
+    again = _shards(slack.withColumnRenamed("box", "old"), max(1, slack.count() // len(specs_)), per_shard, F.col("old"), best_fit_decreasing)
     moved = again.select("spec_id", F.col("old").alias("box"), F.concat(F.lit("m"), F.col("box")).alias("to"))
     packed = first.join(moved, ["spec_id", "box"], "left")
     packed = packed.select("spec_id", "doc", "piece", "tokens", F.coalesce("to", F.concat(F.lit("c"), F.col("box"))).alias("container"))

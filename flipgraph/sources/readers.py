@@ -61,7 +61,7 @@ def partition_json(spark: SparkSession, path: str, partition: str) -> DataFrame:
     """(key, question, options, answer) of one branch of a nested JSON; mmlu_<subject> takes mmlu's keys of that prefix."""
     name, _, prefix = partition.partition("_") if partition.startswith("mmlu_") else (partition, "", "")
     value = "map<string,map<string,struct<question:string,options:map<string,string>,answer:string>>>"
-    rows = spark.read.option("wholetext", True).text(path).select(F.from_json("value", value).alias("m"))
+    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", value).alias("m"))
     rows = rows.select(F.explode(F.col("m")[name]).alias("key", "v"))
     rows = rows.where(F.startswith("key", F.lit(prefix))) if prefix else rows
     text = F.array_join(F.transform(F.array_sort(F.map_entries("v.options")), lambda o: F.concat(o["key"], F.lit(": "), o["value"])), " | ")

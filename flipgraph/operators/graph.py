@@ -187,6 +187,7 @@ def probe(nodes: DataFrame, edges: DataFrame, pivots: DataFrame, needed: DataFra
     pivots: (key, name, rn); needed: (key, name), the nodes that the answer needs. The lexical judge says that the
     answer flips if one of them is lost, with the pivot or left alone by it.
     """
+    pivots = cut(pivots.select(key, "name", "rn"), "pivots")
     lost = pivots.select(key, "name", F.col("name").alias("gone"))
     alone = left_alone(nodes, edges, key).select(key, F.col("v").alias("name"), F.col("u").alias("gone"))
     lost = lost.unionByName(alone.join(pivots.select(key, "name"), [key, "name"], "left_semi"))

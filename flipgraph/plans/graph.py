@@ -11,6 +11,7 @@ from flipgraph.operators import graph as G
 from flipgraph.operators.aggregates import op_operands, rnd
 from flipgraph.plans.aggregates import contains_sql
 from flipgraph.plans.catalog import Catalog
+from flipgraph.session import cut
 from flipgraph.sources import records as R
 from flipgraph.sources.tables import table
 
@@ -20,9 +21,12 @@ K = "exp_id"
 VECTORS = 500
 
 
-def cg(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of all context graphs."""
-    return R.cgn_view(s, d), R.cge_view(s, d)
+def cg(s: SparkSession, d: str, once: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of all context graphs; ``once``: written, as operators that read them several times want."""
+    if not once:
+        return R.cgn_view(s, d), R.cge_view(s, d)
+    edges = cut(R.cge_view(s, d), "edges")
+    return cut(R.graph_nodes(R.ent_view(s, d), edges), "nodes"), edges
 
 
 GRAPH = R.with_views("cgn") + """,
@@ -67,7 +71,7 @@ def _(s, d):
 @C.add("g_state_key", R.with_views("cgn") + """, n AS (SELECT exp_id, array_to_string(list_sort(list(DISTINCT name)), chr(31)) AS ns FROM cgn GROUP BY 1), e AS (SELECT exp_id, array_to_string(list_sort(list(DISTINCT src || chr(31) || tgt || chr(31) || description)), chr(30)) AS es FROM cge GROUP BY 1)
  SELECT exp_id, sha256(ns || chr(29) || coalesce(es, '')) AS state FROM n LEFT JOIN e USING (exp_id)""")
 def _(s, d):
-    return G.state_keys(*cg(s, d), K)
+    return G.state_keys(*cg(s, d, False), K)
 
 
 def first_ops(s: SparkSession, d: str, op: str) -> DataFrame:
@@ -98,14 +102,14 @@ def _(s, d):
 
 @C.add("g_add_node", f"{R.with_views('cgn', 'ops')}, a AS (SELECT exp_id, node FROM ops WHERE op = 'add_node' AND found) SELECT exp_id, name FROM cgn WHERE exp_id IN (SELECT exp_id FROM a) UNION SELECT exp_id, node FROM a")
 def _(s, d):
-    nodes, _e = cg(s, d)
+    nodes, _e = cg(s, d, False)
     a = R.ops_view(s, d).where("op = 'add_node' AND found").select(K, F.col("node").alias("name"))
     return G.with_nodes(nodes.join(a, K, "left_semi"), a, K)
 
 
 @C.add("g_add_edge", f"{R.with_views('cgn', 'ops')}, a AS (SELECT exp_id, src, dst FROM ops WHERE op = 'add_edge' AND found) SELECT exp_id, src, tgt FROM cge WHERE exp_id IN (SELECT exp_id FROM a) UNION SELECT exp_id, src, dst FROM a")
 def _(s, d):
-    _n, edges = cg(s, d)
+    _n, edges = cg(s, d, False)
     a = R.ops_view(s, d).where("op = 'add_edge' AND found").select(K, "src", F.col("dst").alias("tgt"))
     return G.with_edges(edges.join(a, K, "left_semi"), a, K)
 
@@ -186,10 +190,10 @@ def node_vectors(s: SparkSession, d: str) -> DataFrame:
     return R.kgn_view(s, d).withColumn("vec_id", F.col("node_id") % VECTORS).join(v, "vec_id").select("kg_id", "name", "vec", "label")
 
 
-def similarities(s: SparkSession, d: str) -> DataFrame:
+def similarities(s: SparkSession, d: str, nodes: DataFrame | None = None) -> DataFrame:
     """exp_id, name, sim of the context nodes that have a vector."""
     v = table(s, d, "embeddings").select("vec_id", F.col("embedding").alias("q"))
-    n = R.cgn_view(s, d).join(node_vectors(s, d), ["kg_id", "name"]).withColumn("vec_id", F.col(K) % VECTORS).join(v, "vec_id")
+    n = (R.cgn_view(s, d) if nodes is None else nodes).join(node_vectors(s, d), ["kg_id", "name"]).withColumn("vec_id", F.col(K) % VECTORS).join(v, "vec_id")
     return n.select(K, "name", rnd(dot(F.col("vec"), F.col("q"))).alias("sim"))
 
 
@@ -208,14 +212,15 @@ _PIVOTS = f"{_SIM}, pivots AS (SELECT exp_id, name, sim, rn FROM (SELECT n.exp_i
 
 
 @C.add("topk_pivots", f"{_PIVOTS} SELECT exp_id, name, sim, rn FROM pivots")
-def pivots(s, d):
-    return G.top_pivots(R.cgn_view(s, d), similarities(s, d), K, 5)
+def pivots(s, d, nodes=None):
+    nodes = R.cgn_view(s, d) if nodes is None else nodes
+    return G.top_pivots(nodes, similarities(s, d, nodes), K, 5)
 
 
-def needed(s: SparkSession, d: str) -> DataFrame:
+def needed(s: SparkSession, d: str, nodes: DataFrame) -> DataFrame:
     """exp_id, name: the context nodes that the original answer names."""
     a = R.exp_view(s, d, F.col("answers.original").alias("answer"))
-    return R.cgn_view(s, d).join(a, K).where(text.norm_contains(F.col("answer"), F.col("name"))).select(K, "name")
+    return nodes.join(a, K).where(text.norm_contains(F.col("answer"), F.col("name"))).select(K, "name")
 
 
 _PROBE = f"""{_PIVOTS}, needed AS (SELECT n.exp_id, n.name FROM cgn n JOIN exp x ON x.exp_id = n.exp_id WHERE {contains_sql('x.answers.original', 'n.name')}),
@@ -224,8 +229,9 @@ probed AS (SELECT p.exp_id, p.name, p.rn, c.cost, EXISTS (SELECT 1 FROM lost l J
 
 
 @C.add("psp_probe_all", f"{_PROBE} SELECT exp_id, name, rn, cost, flipped FROM probed")
-def probed(s, d):
-    return G.probe(*cg(s, d), pivots(s, d).select(K, "name", "rn"), needed(s, d), K)
+def probed(s, d, graph=None):
+    nodes, edges = graph or cg(s, d)
+    return G.probe(nodes, edges, pivots(s, d, nodes).select(K, "name", "rn"), needed(s, d, nodes), K)
 
 
 @C.add("g_psp_probe", f"{_PROBE} SELECT exp_id, name AS pivot, cost FROM (SELECT *, row_number() OVER (PARTITION BY exp_id ORDER BY cost, rn) AS best FROM probed WHERE flipped) WHERE best = 1")
@@ -239,14 +245,16 @@ _PRUNED = f"{_PROBE}{_STARSQL}, pruned AS (SELECT DISTINCT s.exp_id, s.member AS
 
 
 @C.add("set_pruned", f"{_PRUNED} SELECT exp_id, name FROM pruned")
-def pruned(s, d):
-    return G.pruned_stars(*cg(s, d), probed(s, d), K)
+def pruned(s, d, graph=None):
+    graph = graph or cg(s, d)
+    return G.pruned_stars(*graph, probed(s, d, graph), K)
 
 
 @C.add("g_expand_del", f"""{_PRUNED} SELECT exp_id, 'delete_node' AS op, name AS node, NULL AS src, NULL AS dst, CAST(cost AS BIGINT) AS cost FROM ncost c WHERE NOT EXISTS (SELECT 1 FROM pruned p WHERE p.exp_id = c.exp_id AND p.name = c.name)
  UNION ALL SELECT exp_id, 'delete_edge', NULL, src, tgt, CAST(cost AS BIGINT) FROM ecost c WHERE NOT EXISTS (SELECT 1 FROM pruned p WHERE p.exp_id = c.exp_id AND p.name IN (c.src, c.tgt))""")
 def _(s, d):
-    return G.deletion_candidates(*cg(s, d), pruned(s, d), K)
+    graph = cg(s, d)
+    return G.deletion_candidates(*graph, cut(pruned(s, d, graph), "pruned"), K)
 
 
 # Addition candidates: KG successors of a context node, each with the similarities of the new node and its edge.

@@ -19,10 +19,12 @@ from flipgraph.sources.tables import table
 # Letters of other scripts that are drawn like a Latin letter in upright type (fixed values, from the
 # Unicode characters' usual glyphs). Key: script; then the letters and, in the same order, their Latin twins.
 TWINS = {
-    "Cyrl": ("АВЕЅІЈКМНОРСТУХԌԚԜҮӀаеѕіјорсухһԁԛԝүӏ", "ABESIJKMHOPCTYXGQWYIaesijopcyxhdqwyl"),
-    "Grek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳοϲν", "ABEZHIKMNOPTYXCjocv"),
+    "Cyrl": ("АВЕЅІЈКМНОРСТУХаеѕіјорсух", "ABESIJKMHOPCTYXaesijopcyx"),
+    "Grek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧον", "ABEZHIKMNOPTYXov"),
     "Armn": ("ՕՍՏօոսհց", "OUSonuhg"),
 }
+# Twins from small alphabets: they look like Latin letters, but no text is respelled with them.
+RARE_TWINS = ("ԌԚԜҮӀһԁԛԝүӏϹϳϲ", "GQWYIhdqwylCjc")
 # Signs that are letters drawn alike, or letters joined: taken by rule from their compatibility decomposition.
 # Ranges: dz/lj/nj/ij digraphs, Roman numerals, Latin and Armenian ligatures (fixed values).
 JOINED = ((0x0132, 0x0133), (0x01C4, 0x01CC), (0x01F1, 0x01F3), (0x2160, 0x217F), (0xFB00, 0xFB06), (0xFB13, 0xFB17))
@@ -32,7 +34,7 @@ SILENT = ((0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F)
 #: Format characters that do show.
 SHOWN = ((0x0600, 0x0605), (0x06DD, 0x06DD), (0x070F, 0x070F), (0x0890, 0x0891), (0x08E2, 0x08E2), (0x110BD, 0x110BD), (0x110CD, 0x110CD))
 
-_TO_LATIN = {a: b for there, here in TWINS.values() for a, b in zip(there, here, strict=True)}
+_TO_LATIN = {a: b for there, here in (*TWINS.values(), RARE_TWINS) for a, b in zip(there, here, strict=True)}
 _SPELLED = {script: dict(reversed(list(zip(here, there, strict=True)))) for script, (there, here) in TWINS.items()}  # the first twin wins
 #: Latin letters of which other scripts have a twin, with the scripts they may be read in.
 _READINGS: dict[str, frozenset[str]] = {c: frozenset({"Latn"} | {s for s, m in _SPELLED.items() if c in m}) for m in _SPELLED.values() for c in m}

@@ -112,7 +112,8 @@ def skeleton_keeping_scripts(text: str) -> str:
 
 def _words(text: str) -> list[str]:
     """Words and numbers for the comparison of copies: lookalikes, case and accents do not count."""
-    plain = unicodedata.normalize("NFKD", skeleton(text)).casefold()
+    small = skeleton_keeping_scripts(text).casefold()  # before letters are mapped: small letters look less alike
+    plain = unicodedata.normalize("NFKD", skeleton(small)).casefold()
     return re.findall(r"[^\W_]+", "".join(c for c in plain if not unicodedata.combining(c)))
 
 

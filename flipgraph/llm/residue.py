@@ -22,6 +22,8 @@ FEATURES = 1 << 18
 FIT_PASSAGES = 150_000
 #: EM rounds; a feature counts once it was seen in this many passages; odds of one feature are clipped to this.
 ROUNDS, LEAST_SEEN, CLIP = 12, 2, 4.0
+#: Share below which the first round settles a passage as clean, for sentences and for spans.
+SETTLED = {"s": 0.0, "p": 0.05}
 
 # ---- Trusted placeholders: written forms of slots and of empty values that no text means (fixed patterns).
 SLOT_FORMS = (
@@ -40,9 +42,10 @@ _MAY_HOLD_SPAN = regex.compile(r"[{\[<%@?]|__|\(\w+ |undefined|Undefined|NaN|nul
 NOTICES = (
     r"\b(?:java ?script|noscript)\b", r"\bjs is required\b|\bturned off js\b", r"\b(?:enable|allow|activate|activar?|activer|aktivieren)\b.{0,20}\bscripts?\b", r"\bscripts? (?:and cookies )?(?:have|has) to be on\b|\bneeds scripts\b|\bnot support scripts\b|\bscripts sont nécessaires\b|\bnecesita scripts\b|\bскрипт",
     r"\bpage not found\b|\bpage introuvable\b|\bpágina no encontrada\b|\bseite nicht gefunden\b|\bстраница не найдена\b", r"\b(?:4\d\d|5\d\d)\b.{0,12}\b(?:error|not found|bad gateway|gateway|forbidden|unavailable|service)\b|\berror (?:4\d\d|5\d\d)\b|^(?:4\d\d|5\d\d) - ",
-    r"\baccess denied\b|\bacceso denegado\b|\baccès refusé\b|\bzugriff verweigert\b|\bдоступ (?:запрещ|закрыт)", r"^forbidden\W*$|\bgateway time-?out\b|\brequest timed out\b|\btoo many (?:requests|connections)\b", r"\btraceback \(most recent|\bfatal: |\bstack trace\b|\bunhandled exception\b|\bdatabase error\b|\binternal (?:server )?(?:error|fault while)\b",
-    r"\btemporarily unavailable\b|\bno está disponible\b|\bvorübergehend nicht (?:erreichbar|verfügbar)\b|\btemporairement indisponible\b|\bвременно недоступ", r"\bdown for maintenance\b|\bsession has (?:ended|expired)\b|\blink has expired\b|\bsomething went wrong\b|\bwe hit a snag\b",
+    r"\baccess denied\b|\bacceso denegado\b|\baccès refusé\b|\bzugriff verweigert\b|\bдоступ (?:запрещ|закрыт)", r"(?:^|\s)forbidden\W*$|\bgateway time-?out\b|\brequest timed out\b|\btoo many (?:requests|connections)\b", r"\btraceback \(most recent|\bfatal: |\bstack trace\b|\bunhandled exception\b|\bdatabase error\b|\binternal (?:server )?(?:error|fault while)\b",
+    r"\btemporarily unavailable\b|\bno está disponible\b|\bvorübergehend nicht (?:erreichbar|verfügbar)\b|\btemporairement indisponible\b|\bвременно недоступ", r"\b(?:the server is )?down for maintenance\b|\bsession has (?:ended|expired)\b|\blink has expired\b|\bsomething went wrong\b|\bwe hit a snag\b",
     r"\blorem\b|\bipsum\b", r"\b(?:placeholder|sample|dummy|filler) (?:text|paragraph|entry|copy|content)\b|\bblindtext\b|\bbeispieltext\b|\btexto de (?:ejemplo|relleno)\b|\btexte (?:à venir|d'exemple)\b|\bтекст-заполнитель\b|\bcontent coming soon\b|\breplace this text\b|\btext (?:goes|to follow)\b", r"^\W*(\w+)(?:\W+\1){4,}\W*$",
+    r"\b(?:section|page|entry|text|field|space)\b.{0,20}\b(?:left (?:empty|blank)|intentionally blank|empty on purpose)\b", r"(?:^|\W)loading\.\.\.",
     r"^(?:please )?(?:write|insert|add|enter|type|replace|put)\b.{0,40}\b(?:here|text|paragraph|biography|description|your own)\b|\byour \w+ (?:starts|goes|here)\b",
 )
 _NOTICE = regex.compile("|".join(f"(?:{p})" for p in NOTICES))
@@ -50,7 +53,10 @@ _NOTICE = regex.compile("|".join(f"(?:{p})" for p in NOTICES))
 _SENTENCE = regex.compile(r"\n+|(?<=[.!?…]['\"”»)\]]?)\s+(?=[^\s\p{Ll}])")
 _NAMES = regex.compile(r"\p{Lu}\p{Ll}+(?:[ \-](?:of the |the )?\p{Lu}\p{Ll}+)+")
 _WORD = regex.compile(r"\p{L}+|\d+")
-_UNSAID = regex.compile(r"^[bcdfghjklmnpqrstvwxz]+$|[bcdfghjklmnpqrstvwxz]{5}")
+# Letter sequences that no one can say (a fixed pattern, for Latin letters).
+_UNSAID = regex.compile(r"^[bcdfghjklmnpqrstvwxz]{3,}$|[bcdfghjklmnpqrstvwxz]{5}|q(?!u)|[jqw][bcdfghjklmnpqstvxz]|[bcdfgjklmnpqrvxz][jqw](?![aeiouäöü])|(\p{L})\1\1")
+# What may stand before a notice on its line (fixed patterns): navigation, and a title.
+_LEAD = regex.compile(r"(?i:« ?back|skip to (?:main )?content|home \| [\w |]*sign in|start › \w+|menu search login|loading\.\.\.)|\p{Lu}[\p{L}']*(?:[ \-](?:of the |the )?\p{Lu}[\p{L}']*)*|[^\p{L}]+")
 _TITLE = regex.compile(r"[\W\d]*(?:\p{Lu}[\p{Ll}']+(?:[ \-](?:of the |the )?)?)+[\W\d]*")
 
 
@@ -61,8 +67,24 @@ def _slot(feature: str) -> int:
 
 @lru_cache(200_000)
 def _odd(word: str) -> bool:
-    """A word that no one can say: without vowels or with five consonants in a row."""
-    return len(word) > 3 and bool(_UNSAID.search(word))
+    """A word that no one can say, by its letters."""
+    return len(word) > 2 and bool(_UNSAID.search(word))
+
+
+def _mashed(words: list[str]) -> bool:
+    """Whether about half of at least five words are of that kind: keys hit at random."""
+    return len(words) >= 5 and sum(map(_odd, words)) >= 0.45 * len(words)
+
+
+def _only_lead(text: str) -> bool:
+    """Whether navigation and a title are all there is."""
+    at = 0
+    while at < len(text):
+        m = _LEAD.match(text, at)
+        if not m:
+            return False
+        at = m.end()
+    return True
 
 
 def sentences(text: str) -> list[str]:
@@ -74,8 +96,7 @@ def sentence_features(sentence: str, of: int, named: bool) -> list[int]:
     words = ["#" if w.isdigit() else w for w in _WORD.findall(sentence.lower())]
     size = "1" if of <= 1 else "2" if of <= 4 else "3" if of <= 8 else "4"
     signs = [f"§{size}{'n' if named else '-'}", f"§n{named}", f"§w{min(len(words), 12) // 3}", f"§e{sentence[-1] if not sentence[-1].isalnum() else 'a'}"]
-    odd = sum(map(_odd, words))
-    if odd > 1 and 4 * odd >= len(words):
+    if _mashed(words):
         signs.append("§odd")
     if len(words) >= 6 and 3 * len(set(words)) <= len(words):
         signs.append("§same")
@@ -90,12 +111,13 @@ def span_features(text: str, start: int, end: int) -> list[int]:
     bits = [f"q{_quoted(text, start, end)}", f"j{'":' in before or '<|>' in before[-6:] or '<|>' in after[:6]}", *(f"l{w.lower()}" for w in left), *(f"r{w.lower()}" for w in right)]
     form = regex.sub(r"[\p{L}\d_ ]+", "w", span)
     if form == "w" or _EMPTY_VALUE.fullmatch(span):
-        proper = bool(left and right and left[0][0].isupper() and right[0][0].isupper() and before.endswith(" ") and after.startswith(" "))
+        beside = [left[0] for _ in (1,) if left and before.endswith(left[0] + " ")] + [right[0] for _ in (1,) if right and after.startswith(" " + right[0])]
+        proper = span[0].isupper() and any(w[0].isupper() for w in beside)  # part of a name
         bits += [f"v{span}", f"p{proper}"]
     else:
         inner = _WORD.findall(span.replace("_", " "))
         kind = "N" if any(w[0].isdigit() for w in inner) else "U" if span.isupper() else "T" if any(w[0].isupper() for w in inner) else "l"
-        bits += [f"f{form}", f"k{form}{kind}", f"n{min(len(inner), 4)}", *(f"i{w.lower()}" for w in inner)]
+        bits += [f"f{form}", f"k{kind}", f"n{min(len(inner), 4)}", *(f"i{w.lower()}" for w in inner)]
     return list({_slot("span " + b) for b in bits})
 
 
@@ -113,15 +135,14 @@ def passages(text: str) -> list[tuple[str, bool, list[int]]]:
     out = []
     for s in parts:
         name = _NAMES.search(s)
-        named, notice = bool(name), None
-        if not named or (name.start() == 0 and not _NAMES.search(s, name.end())):
-            small = s.lower()
+        named, notice, small = bool(name), None, s.lower()
+        if not named or s.count(" ") < 16:
             notice = _NOTICE.search(small) if len(small) == len(s) else None
-        if notice and named and _TITLE.fullmatch(s[: notice.start()].strip()):
+        if notice and named and _only_lead(s[: notice.start()]) and not _NAMES.search(s, notice.end()):
             s, named = s[notice.start() :], False  # a title before the notice, on the same line
-        if named and not notice and _TITLE.fullmatch(s):
+        if named and _TITLE.fullmatch(s):
             continue
-        trusted = not named and bool(notice)
+        trusted = not named and (bool(notice) or (name is None and _mashed(_WORD.findall(small))))
         out.append(("s" if not named else "n", trusted, sentence_features(s, len(parts), named)))
     if _MAY_HOLD_SPAN.search(text):
         for m in _SPAN.finditer(text):
@@ -130,11 +151,12 @@ def passages(text: str) -> list[tuple[str, bool, list[int]]]:
     return out
 
 
-def fit_pu(features: list[list[int]], trusted: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+def fit_pu(features: list[list[int]], trusted: np.ndarray, rounds: int = ROUNDS, settled: float = 0.0) -> tuple[np.ndarray, float]:
     """Log odds per feature and the prior's, of a naive Bayes fitted by EM: trusted passages are residue, others may be.
 
     Starts with all others as clean; each round fits both classes to the current shares and asks the fit for
-    new shares of the others. Features seen too rarely say nothing.
+    new shares of the others. Features seen too rarely say nothing. Passages that the first fit gives a share
+    below ``settled`` are reliably clean and stay so, which keeps the rounds from drifting.
     """
     rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
     cols = np.fromiter((c for f in features for c in f), np.int64, len(rows))
@@ -143,7 +165,8 @@ def fit_pu(features: list[list[int]], trusted: np.ndarray, rounds: int = ROUNDS)
     odds, prior = np.zeros(FEATURES), -8.0
     if not trusted.any() or trusted.all():
         return odds, prior
-    for _ in range(rounds):
+    clean = np.zeros(len(trusted), bool)
+    for r in range(rounds):
         bad, n = share.sum(), len(share)
         with_bad = np.bincount(cols, weights=share[rows], minlength=FEATURES)
         odds = np.log((with_bad + 0.1) / (bad + 0.2)) - np.log((seen - with_bad + 0.1) / (n - bad + 0.2))
@@ -151,6 +174,9 @@ def fit_pu(features: list[list[int]], trusted: np.ndarray, rounds: int = ROUNDS)
         prior = float(np.log((bad + 0.5) / (n - bad + 0.5)))
         score = prior + np.bincount(rows, weights=odds[cols], minlength=n)
         share = np.where(trusted, 1.0, 1 / (1 + np.exp(-score.clip(-30, 30))))
+        if r == 0:
+            clean = ~trusted & (share < settled)
+        share[clean] = 0.0
     return odds, prior
 
 
@@ -162,7 +188,7 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for kind, trusted, features in passages(text):
                 gathered["p" if kind == "p" else "s"].append((trusted, features))
     for kind, found in gathered.items():
-        odds, prior = fit_pu([f for _, f in found], np.array([t for t, _ in found], bool))
+        odds, prior = fit_pu([f for _, f in found], np.array([t for t, _ in found], bool), settled=SETTLED[kind])
         at = np.flatnonzero(odds)
         yield pa.RecordBatch.from_arrays([pa.array([kind] * (len(at) + 1)), pa.array(np.r_[-1, at], pa.int64()), pa.array(np.r_[prior, odds[at]], pa.float64())], names=["kind", "feature", "odds"])
 

@@ -13,7 +13,7 @@ Q = {
 }
 CASES = [
     ("en", None, "empty"), ("en", "", "empty"), ("en", "  \t", "empty"), ("en", "​﻿", "empty"), ("en", "n/a", "empty"), ("en", "None", "empty"), ("en", "[]", "empty"), ("en", "...", "empty"), ("en", "(empty)", "empty"), ("en", "—", "empty"),
-    ("en", "Where did Kola Befu keep the brass lantern?", "copy"), ("en", "WHERE DID KOLA BEFU KEEP THE BRASS LANTERN", "copy"), ("en", "Q: Where did Kоla Befu keep the brass lantern?", "copy"), ("en", Q["en"] + "\nAnswer:", "copy"), ("en", Q["en"] + " " + Q["en"], "copy"), ("en", "“Where did Kola Befu keep the brass lantern.”", "copy"),
+    ("en", "Where did Kola Befu keep the brass lantern?", "copy"), ("en", "WHERE DID KOLA BEFU KEEP THE BRASS LANTERN", "copy"), ("en", "Q: Where did Kоla Befu keep the brass lantern?", "copy"), ("en", Q["en"] + "\nAnswer:", "copy"), ("en", Q["en"] + " " + Q["en"], "copy"), ("en", "“Where did Kola Befu keep the brass lantern.”", "copy"), ("ru", "ГДЕ KOLA BEFU ХРАНИТ МЕДНЫЙ ФОНАРЬ?", "copy"),
     ("en", "I'm sorry, but I can't answer that from the given graph.", "refusal"), ("en", "I AM NOT ABLE TO HELP WITH THIS REQUEST.", "refusal"), ("es", "Lo siento, no puedo responder.", "refusal"), ("fr", "Je ne peux pas répondre à cette question.", "refusal"), ("de", "Leider kann ich diese Frage nicht beantworten.", "refusal"), ("ru", "К сожалению, я не могу ответить.", "refusal"), ("en", "No answer could be produced from the graph.", "refusal"),
     ("en", "Kola Befu kept it at Tovu Ridge, which was", "truncated"), ("en", "Kola Befu kept it at Tovu Ridge (compare the", "truncated"), ("en", 'Kola Befu kept it together with "the', "truncated"), ("en", "Kola Befu kept it at Tovu Ridge,", "truncated"), ("en", "Kola Befu kept it there. Several neigh", "truncated"), ("en", "They are:\n1. The first keeper\n2.", "truncated"), ("en", "Kola Befu kept it at To…", "truncated"), ("es", "Kola Befu la guardó en Tovu y después los", "truncated"),
     ("en", "Kola Befu gardait la lanterne chez Tovu Ridge pendant toute la saison.", "language"), ("de", "Kola Befu kept the lantern at Tovu during the whole season.", "language"), ("ru", "Kola Befu kept the lantern at Tovu during the whole season.", "language"), ("es", "Kola Befu guardou a lanterna de latão em Tovu durante toda a estação e não disse nada aos outros.", "language"), ("en", "Kola Befu хранит фонарь у Tovu в течение всего сезона.", "language"),

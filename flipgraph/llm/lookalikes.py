@@ -95,7 +95,8 @@ def consistent(text: str) -> tuple[str, bool, bool]:
     """(one consistent form, a token mixed scripts, a token was another script's lookalike throughout).
 
     Each token is written in one script that all its letters allow. If several are left, it is the one of the
-    text's tokens that allow one script only, the most frequent, and Latin without any. A token that no single
+    text's tokens that allow one script only, the most frequent, words in small letters before names, and Latin
+    without any. A token that no single
     script can write keeps Latin for its ambiguous letters. The form depends on the skeleton alone, so texts
     that look the same get the same form.
     """
@@ -104,7 +105,8 @@ def consistent(text: str) -> tuple[str, bool, bool]:
         return base, False, False
     tokens = _TOKEN.findall(base)
     resolved = [resolved_scripts(t) for t in tokens]
-    sure = [next(iter(r)) for r in resolved if r and len(r) == 1]
+    sure = [(next(iter(r)), t[0].islower()) for r, t in zip(resolved, tokens, strict=True) if r and len(r) == 1]
+    sure = [s for s, small in sure if small] or [s for s, _ in sure]  # names may be foreign
     main = max(sorted(set(sure)), key=sure.count, default="Latn")
     chosen = [None if r is None else "" if not r else main if main in r else "Latn" if "Latn" in r else min(r) for r in resolved]
     pick = iter(chosen)

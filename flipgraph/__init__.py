@@ -5,11 +5,4 @@ Layout: ``sources`` reads and writes, ``functions`` holds column expressions,
 their SQL twins, ``streaming`` holds the structured streaming monitor.
 """
 
-import sys
-
-from pyspark import cloudpickle
-
-# Python code inside Arrow functions travels with the job, so executors need no copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 __version__ = "0.1.0"

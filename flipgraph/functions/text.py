@@ -35,7 +35,7 @@ def norm_question(q: Column) -> Column:
 
 
 def _kept(parts: Column) -> Column:
-    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"^[\s\pZ]+|[\s\pZ]+$", "")), lambda x: x != "")
 
 
 def sentences_by_dot(text: Column) -> Column:

@@ -150,7 +150,7 @@ def subgraph_elements(s: SparkSession, d: str) -> DataFrame:
     return e.unionByName(r).distinct()
 
 
-FACTS = """sents AS (SELECT exp_id, list_filter(list_transform(string_split(answers.ground_truth, '.'), lambda x: trim(x)), lambda x: x <> '') AS u FROM exp),
+FACTS = """sents AS (SELECT exp_id, list_filter(list_transform(string_split(answers.ground_truth, '.'), lambda x: regexp_replace(x, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g')), lambda x: x <> '') AS u FROM exp),
 facts AS (SELECT exp_id, CAST(unnest(range(len(u))) AS INT) AS unit_pos, unnest(u) AS unit FROM sents)"""
 
 

@@ -103,7 +103,7 @@ def _(s, d):
     return g.select("exp_id", X.render_or_empty(F.col("e"), F.col("r")).alias("context"))
 
 
-_U = "list_filter(list_transform(string_split(answers.ground_truth, '.'), lambda x: trim(x)), lambda x: x <> '')"
+_U = "list_filter(list_transform(string_split(answers.ground_truth, '.'), lambda x: regexp_replace(x, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g')), lambda x: x <> '')"
 UNITS = f"{EXP}, un AS (SELECT exp_id, {_U} AS u FROM exp WHERE answers.ground_truth IS NOT NULL)"
 
 
@@ -213,7 +213,7 @@ def noise_units(s: SparkSession, d: str, lines: bool) -> DataFrame:
     return units(s, d).withColumn("pick", F.col("exp_id") % n + 1).join(pool, "pick")
 
 
-@C.add("gen_noise_text", f"{_INS}, p AS (SELECT doc_id, coalesce(list_filter(list_transform(string_split(text, '.'), lambda z: trim(z)), lambda z: z <> '')[1], '') AS noise FROM documents) SELECT exp_id, place AS \"at\", array_to_string(list_concat(list_concat(u[1:place], [noise]), u[place + 1:]), '|') AS noisy FROM x JOIN p ON p.doc_id = x.exp_id % (SELECT count(*) FROM documents) + 1")
+@C.add("gen_noise_text", f"{_INS}, p AS (SELECT doc_id, coalesce(list_filter(list_transform(string_split(text, '.'), lambda z: regexp_replace(z, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g')), lambda z: z <> '')[1], '') AS noise FROM documents) SELECT exp_id, place AS \"at\", array_to_string(list_concat(list_concat(u[1:place], [noise]), u[place + 1:]), '|') AS noisy FROM x JOIN p ON p.doc_id = x.exp_id % (SELECT count(*) FROM documents) + 1")
 def _(s, d):
     return N.insert_unit(noise_units(s, d, False), "exp_id", "u", "noise", 3).select("exp_id", "at", F.array_join("noisy", "|").alias("noisy"))
 

@@ -267,12 +267,12 @@ function("fn_contains", PA.contains_sql("g", "o"), lambda: text.norm_contains(F.
 function("fn_jaccard", _JAC, lambda: rnd(text.token_jaccard(F.col("g"), F.col("o"))))
 function("fn_answer_sim", _JAC.replace("lower(g)", "lower(p)"), lambda: rnd(text.token_jaccard(F.col("p"), F.col("o"))))
 function("fn_normq", "trim(regexp_replace(lower(question), '\\s+', ' ', 'g'))", lambda: text.norm_question(F.col("question")))
-function("fn_sent_dot", "array_to_string(list_filter(list_transform(string_split(g, '.'), lambda x: trim(x)), lambda x: x <> ''), '|')", lambda: F.array_join(text.sentences_by_dot(F.col("g")), "|"))
+function("fn_sent_dot", "array_to_string(list_filter(list_transform(string_split(g, '.'), lambda x: regexp_replace(x, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g')), lambda x: x <> ''), '|')", lambda: F.array_join(text.sentences_by_dot(F.col("g")), "|"))
 function("fn_words", "len(list_filter(regexp_split_to_array(trim(g), '\\s+'), lambda x: x <> ''))", lambda: F.when(F.col("g").isNotNull(), F.size(text.words(F.col("g"))).cast("long")))
-function("fn_rejoin", "CASE WHEN len(list_filter(list_transform(string_split(g, '.'), lambda x: trim(x)), lambda x: x <> '')) > 0 THEN array_to_string(list_filter(list_transform(string_split(g, '.'), lambda x: trim(x)), lambda x: x <> ''), '. ') || '.' ELSE '' END", lambda: text.rejoin_sentences(text.sentences_by_dot(F.col("g"))))
+function("fn_rejoin", "CASE WHEN len(list_filter(list_transform(string_split(g, '.'), lambda x: regexp_replace(x, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g')), lambda x: x <> '')) > 0 THEN array_to_string(list_filter(list_transform(string_split(g, '.'), lambda x: regexp_replace(x, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g')), lambda x: x <> ''), '. ') || '.' ELSE '' END", lambda: text.rejoin_sentences(text.sentences_by_dot(F.col("g"))))
 function("fn_score_parse", "coalesce(CAST(contains(o, '1') AS INT), 0)", lambda: text.judged_one(F.col("o")))
 function("fn_esc", "replace(replace(replace(replace(replace(o, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')", lambda: text.escape_html(F.col("o")))
-function("fn_para", "array_to_string(list_filter(list_transform(string_split(g, chr(10) || chr(10)), lambda x: trim(x)), lambda x: x <> ''), '|')", lambda: F.array_join(text.paragraphs(F.col("g")), "|"))
+function("fn_para", "array_to_string(list_filter(list_transform(string_split(g, chr(10) || chr(10)), lambda x: regexp_replace(x, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g')), lambda x: x <> ''), '|')", lambda: F.array_join(text.paragraphs(F.col("g")), "|"))
 function("fn_safe_div", "round(length(o) / nullif(length(p), 0), 6)", lambda: rnd(F.try_divide(F.length("o").cast("double"), F.length("p").cast("double"))))
 function("fn_shapkernel", "round(CASE (exp_id % 5) " + " ".join(f"WHEN {k} THEN {kernel_weight(5, k)!r}e0" if "." not in repr(kernel_weight(5, k)) else f"WHEN {k} THEN CAST('{kernel_weight(5, k)!r}' AS DOUBLE)" for k in range(5)) + " END, 6)",
          lambda: rnd(F.expr("CASE WHEN exp_id % 5 = 0 THEN 1000.0D ELSE 4.0D / ((factorial(5) / (factorial(exp_id % 5) * factorial(5 - exp_id % 5))) * (exp_id % 5) * (5 - exp_id % 5)) END")))

@@ -142,7 +142,7 @@ def _(s, d):
     return I.recipe_texts(rows, "exp_id", ["a", "b"])
 
 
-_SENTS = "list_filter(list_transform(string_split(coalesce(description, ''), '.'), lambda x: trim(x)), lambda x: x <> '')"
+_SENTS = "list_filter(list_transform(string_split(coalesce(description, ''), '.'), lambda x: regexp_replace(x, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g')), lambda x: x <> '')"
 
 
 @C.add("src_annotate", f"{R.with_views('ent')}, x AS (SELECT exp_id, pos AS doc, pos % 2 = 1 AS is_gold, CAST(len({_SENTS}) AS INT) AS n FROM ent) SELECT exp_id, doc, is_gold, CAST(coalesce(sum(n) OVER (PARTITION BY exp_id ORDER BY is_gold DESC, doc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first, n FROM x")

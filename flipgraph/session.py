@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,3 +67,24 @@ def cut(df: DataFrame, what: str = "cut", by: tuple[str, ...] = ()) -> DataFrame
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*by) if by else writer).parquet(uri)
     return df.sparkSession.read.schema(df.schema).parquet(uri)
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable on the executors: a zip of it in the shared folder, once per application.
+
+    Needed where executors have no copy of the repository; harmless where they have.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_flipgraph_shipped", False):
+        return
+    root, data = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    uri = f"{new_folder(spark, 'code')}/flipgraph.zip"
+    fs, path = hadoop_path(spark, uri)
+    out = fs.create(path)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    context.addPyFile(uri)
+    context._flipgraph_shipped = True

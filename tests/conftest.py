@@ -9,9 +9,10 @@ DATA = Path(os.environ.get("FLIPGRAPH_TESTDATA", "/root/testdata/sf0.001"))
 
 @pytest.fixture(scope="session")
 def spark():
-    from flipgraph.session import local_session
+    from flipgraph.session import local_session, ship
 
     s = local_session(cores=4, partitions=4, memory="4g")
+    ship(s)
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

@@ -52,7 +52,7 @@ def paragraphs(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.trim(text), r"\s+"), lambda x: x != "")
+    return F.filter(F.split(text, r"[\s\pZ]+"), lambda x: x != "")
 
 
 def rejoin_sentences(parts: Column) -> Column:

@@ -115,11 +115,12 @@ def khop(seeds: DataFrame, kg_edges: DataFrame, key: str, hops: int, directed: b
     steps = kg_edges.select(graph, F.col("src").alias("name"), F.col("tgt").alias("to"))
     if not directed:
         steps = steps.unionByName(kg_edges.select(graph, F.col("tgt").alias("name"), F.col("src").alias("to"))).distinct()
-    ball = seeds.select(key, graph, "name").distinct().withColumn("hop", F.lit(0))
+    steps = cut(steps, "steps")
+    ball = cut(seeds.select(key, graph, "name").distinct().withColumn("hop", F.lit(0)), "ball")
     last = ball
     for h in range(1, hops + 1):
         reached = last.select(key, graph, "name").join(steps, [graph, "name"]).select(key, graph, F.col("to").alias("name")).distinct()
-        last = reached.join(ball.select(key, graph, "name"), [key, graph, "name"], "left_anti").withColumn("hop", F.lit(h))
+        last = cut(reached.join(ball.select(key, graph, "name"), [key, graph, "name"], "left_anti").withColumn("hop", F.lit(h)), "ball")
         ball = ball.unionByName(last)
     return ball
 

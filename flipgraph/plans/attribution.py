@@ -40,7 +40,7 @@ def utilities(s: SparkSession, d: str) -> DataFrame:
 
 
 def values(df: DataFrame) -> DataFrame:
-    return df.withColumn("value", rnd(F.col("value")) + 0.0)
+    return df.withColumn("value", rnd(F.col("value"), 11) + 0.0)  # utilities have 6 digits: fewer here would meet exact ties
 
 
 @C.add("gen_masks", f"{GAME} SELECT qid, n, mask FROM masks")
@@ -57,17 +57,17 @@ _FACT = "(CASE {x} WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 6 WHEN
 _W = f"{_FACT.format(x='bit_count(mask)')} * {_FACT.format(x='(n - bit_count(mask) - 1)')} / CAST({_FACT.format(x='n')} AS DOUBLE)"
 
 
-@C.add("att_exact_shapley", f"{GAME} SELECT qid, i, round(sum({_W} * gain), 6) + 0.0e0 AS value FROM gain GROUP BY 1, 2")
+@C.add("att_exact_shapley", f"{GAME} SELECT qid, i, round(sum({_W} * gain), 11) + 0.0e0 AS value FROM gain GROUP BY 1, 2")
 def shapley(s, d):
     return values(T.exact_shapley(utilities(s, d)))
 
 
-@C.add("att_exact_banzhaf", f"{GAME} SELECT qid, i, round(avg(gain), 6) + 0.0e0 AS value FROM gain GROUP BY 1, 2")
+@C.add("att_exact_banzhaf", f"{GAME} SELECT qid, i, round(avg(gain), 11) + 0.0e0 AS value FROM gain GROUP BY 1, 2")
 def _(s, d):
     return values(T.exact_banzhaf(utilities(s, d)))
 
 
-@C.add("att_loo", f"{GAME} SELECT qid, i, round(gain, 6) + 0.0e0 AS value FROM gain WHERE bit_count(mask) = n - 1")
+@C.add("att_loo", f"{GAME} SELECT qid, i, round(gain, 11) + 0.0e0 AS value FROM gain WHERE bit_count(mask) = n - 1")
 def _(s, d):
     return values(T.leave_one_out(utilities(s, d)))
 
@@ -75,7 +75,7 @@ def _(s, d):
 _W2 = f"{_FACT.format(x='bit_count(x.mask)')} * {_FACT.format(x='(x.n - bit_count(x.mask) - 2)')} / CAST({_FACT.format(x='(x.n - 1)')} AS DOUBLE)"
 
 
-@C.add("att_interaction", f"""{GAME} SELECT x.qid, x.i, CAST(k.j AS INT) AS j, round(sum({_W2} * (y.gain - x.gain)), 6) + 0.0e0 AS value FROM gain x JOIN (SELECT unnest(range({MOST})) AS j) k ON k.j > x.i AND k.j < x.n AND ((x.mask >> k.j) & 1) = 0
+@C.add("att_interaction", f"""{GAME} SELECT x.qid, x.i, CAST(k.j AS INT) AS j, round(sum({_W2} * (y.gain - x.gain)), 11) + 0.0e0 AS value FROM gain x JOIN (SELECT unnest(range({MOST})) AS j) k ON k.j > x.i AND k.j < x.n AND ((x.mask >> k.j) & 1) = 0
  JOIN gain y ON y.qid = x.qid AND y.i = x.i AND y.mask = x.mask | (1 << k.j) GROUP BY 1, 2, 3""")
 def _(s, d):
     return values(T.interactions(utilities(s, d)))
@@ -86,7 +86,7 @@ def _(s, d):
     return T.hamming_pairs(utilities(s, d))
 
 
-@C.add("att_eval_lds_r2", f"""{GAME}, sh AS (SELECT qid, i, sum({_W} * gain) AS value FROM gain GROUP BY 1, 2), pred AS (SELECT u.qid, u.mask, u.u, round(coalesce(sum(CASE WHEN ((u.mask >> sh.i) & 1) = 1 THEN round(sh.value, 6) END), 0.0e0), 5) AS p FROM util u JOIN sh ON sh.qid = u.qid GROUP BY 1, 2, 3),
+@C.add("att_eval_lds_r2", f"""{GAME}, sh AS (SELECT qid, i, sum({_W} * gain) AS value FROM gain GROUP BY 1, 2), pred AS (SELECT u.qid, u.mask, u.u, round(coalesce(sum(CASE WHEN ((u.mask >> sh.i) & 1) = 1 THEN round(sh.value, 11) END), 0.0e0), 8) AS p FROM util u JOIN sh ON sh.qid = u.qid GROUP BY 1, 2, 3),
  r AS (SELECT qid, rank() OVER (PARTITION BY qid ORDER BY u) + (count(*) OVER (PARTITION BY qid, u) - 1) / 2.0e0 AS x, rank() OVER (PARTITION BY qid ORDER BY p) + (count(*) OVER (PARTITION BY qid, p) - 1) / 2.0e0 AS y FROM pred),
  l AS (SELECT qid, count(*) AS n, sum(x * y) - sum(x) * sum(y) / count(*) AS c, sum(x * x) - sum(x) * sum(x) / count(*) AS vx, sum(y * y) - sum(y) * sum(y) / count(*) AS vy FROM r GROUP BY 1),
  q AS (SELECT qid, 1 - sum((u - p) * (u - p)) / nullif(sum((u - m) * (u - m)), 0) AS r2 FROM (SELECT *, avg(u) OVER (PARTITION BY qid) AS m FROM pred) GROUP BY 1)
@@ -95,7 +95,7 @@ def _(s, d):
     """How well the Shapley values predict the utilities: rank correlation and R2 per question."""
     u = utilities(s, d)
     part = F.sum(F.when(F.expr("(shiftright(mask, i) & 1) = 1"), F.col("value")))
-    pred = u.join(shapley(s, d), "qid").groupBy("qid", "mask", "u").agg(rnd(F.coalesce(part, F.lit(0.0)), 5).alias("p"))
+    pred = u.join(shapley(s, d), "qid").groupBy("qid", "mask", "u").agg(rnd(F.coalesce(part, F.lit(0.0)), 8).alias("p"))
     lds = W.spearman(pred, ["qid"], "u", "p").withColumnRenamed("rho", "lds")
     m = pred.withColumn("m", F.avg("u").over(Window.partitionBy("qid")))
     gap, var = F.col("u") - F.col("p"), F.col("u") - F.col("m")
@@ -103,7 +103,7 @@ def _(s, d):
     return lds.join(r2, "qid").select("qid", "n", "lds", rnd(F.when(F.abs("r2") < 1e6, F.col("r2")), 4).alias("r2"))
 
 
-@C.add("topk_ablate_drop", f"""{GAME}, sh AS (SELECT qid, i, sum({_W} * gain) AS value FROM gain GROUP BY 1, 2), tp AS (SELECT qid, CAST(sum(1 << i) AS INT) AS top FROM (SELECT qid, i, row_number() OVER (PARTITION BY qid ORDER BY round(value, 6) DESC, i) AS rn FROM sh) WHERE rn <= 2 GROUP BY 1),
+@C.add("topk_ablate_drop", f"""{GAME}, sh AS (SELECT qid, i, sum({_W} * gain) AS value FROM gain GROUP BY 1, 2), tp AS (SELECT qid, CAST(sum(1 << i) AS INT) AS top FROM (SELECT qid, i, row_number() OVER (PARTITION BY qid ORDER BY round(value, 11) DESC, i) AS rn FROM sh) WHERE rn <= 2 GROUP BY 1),
  f AS (SELECT qid, max(mask) AS full_, arg_max(u, mask) AS whole FROM util GROUP BY 1) SELECT f.qid, tp.top AS removed, round(f.whole - u.u, 6) + 0.0e0 AS drop_ FROM f JOIN tp USING (qid) JOIN util u ON u.qid = f.qid AND u.mask = xor(f.full_, tp.top)""")
 def _(s, d):
     """What a question's utility loses without its two best elements."""
@@ -138,11 +138,11 @@ _JSD = """sh_ AS (SELECT qid, list(abs(score) ORDER BY i) AS p FROM el GROUP BY
 t AS (SELECT qid, i, list_transform(p, lambda x: (x + 1e-10) / (list_sum(p) + 1e-10 * len(p))) AS a, list_transform(q, lambda x: (x + 1e-10) / (list_sum(q) + 1e-10 * len(q))) AS b FROM w)"""
 
 
-@C.add("att_arc_jsd", f"""{GAME}, {_JSD} SELECT qid, i, round((list_sum(list_transform(list_zip(a, b), lambda z: z[1] * ln(z[1] / ((z[1] + z[2]) / 2.0e0)))) + list_sum(list_transform(list_zip(a, b), lambda z: z[2] * ln(z[2] / ((z[1] + z[2]) / 2.0e0))))) / 2.0e0, 6) + 0.0e0 AS value FROM t""")
+@C.add("att_arc_jsd", f"""{GAME}, {_JSD} SELECT qid, i, round((list_sum(list_transform(list_zip(a, b), lambda z: z[1] * ln(z[1] / ((z[1] + z[2]) / 2.0e0)))) + list_sum(list_transform(list_zip(a, b), lambda z: z[2] * ln(z[2] / ((z[1] + z[2]) / 2.0e0))))) / 2.0e0, 8) + 0.0e0 AS value FROM t""")
 def _(s, d):
     """Divergence of a question's score distribution once an element is left out."""
     e = elements(s, d)
     p = e.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("i", F.abs("score").alias("x"))))["x"].alias("p"))
     j = e.select("qid", "i").join(p, "qid")
     q = F.transform("p", lambda x, k: F.when(k == F.col("i"), F.lit(0.0)).otherwise(x))
-    return j.select("qid", "i", (rnd(jensen_shannon(F.col("p"), q)) + 0.0).alias("value"))
+    return j.select("qid", "i", (rnd(jensen_shannon(F.col("p"), q), 8) + 0.0).alias("value"))

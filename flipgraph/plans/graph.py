@@ -116,7 +116,8 @@ def _(s, d):
 
 @C.add("join_neighbors", f"{R.with_views('cgn', 'kge')} SELECT DISTINCT n.exp_id, n.kg_id, n.name AS anchor, e.tgt AS name FROM cgn n JOIN kge e ON e.kg_id = n.kg_id AND e.src = n.name WHERE NOT EXISTS (SELECT 1 FROM cgn m WHERE m.exp_id = n.exp_id AND m.name = e.tgt)")
 def kg_frontier(s, d):
-    return G.frontier(R.cgn_view(s, d), R.kge_view(s, d), K)
+    nodes, edges = cg(s, d)
+    return G.frontier(nodes, edges.groupBy("kg_id", "src", "tgt").agg(F.count("*").alias("n")), K)
 
 
 @C.add("join_induced", f"{R.with_views('cgn', 'kge')} SELECT DISTINCT a.exp_id, a.kg_id, e.src, e.tgt FROM cgn a JOIN kge e ON e.kg_id = a.kg_id AND e.src = a.name JOIN cgn b ON b.exp_id = a.exp_id AND b.name = e.tgt")

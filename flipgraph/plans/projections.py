@@ -268,7 +268,7 @@ function("fn_jaccard", _JAC, lambda: rnd(text.token_jaccard(F.col("g"), F.col("o
 function("fn_answer_sim", _JAC.replace("lower(g)", "lower(p)"), lambda: rnd(text.token_jaccard(F.col("p"), F.col("o"))))
 function("fn_normq", "trim(regexp_replace(lower(question), '\\s+', ' ', 'g'))", lambda: text.norm_question(F.col("question")))
 function("fn_sent_dot", "array_to_string(list_filter(list_transform(string_split(g, '.'), lambda x: regexp_replace(x, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g')), lambda x: x <> ''), '|')", lambda: F.array_join(text.sentences_by_dot(F.col("g")), "|"))
-function("fn_words", "len(list_filter(regexp_split_to_array(trim(g), '\\s+'), lambda x: x <> ''))", lambda: F.when(F.col("g").isNotNull(), F.size(text.words(F.col("g"))).cast("long")))
+function("fn_words", "len(list_filter(regexp_split_to_array(g, '[\\s\\pZ]+'), lambda x: x <> ''))", lambda: F.when(F.col("g").isNotNull(), F.size(text.words(F.col("g"))).cast("long")))
 function("fn_rejoin", "CASE WHEN len(list_filter(list_transform(string_split(g, '.'), lambda x: regexp_replace(x, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g')), lambda x: x <> '')) > 0 THEN array_to_string(list_filter(list_transform(string_split(g, '.'), lambda x: regexp_replace(x, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g')), lambda x: x <> ''), '. ') || '.' ELSE '' END", lambda: text.rejoin_sentences(text.sentences_by_dot(F.col("g"))))
 function("fn_score_parse", "coalesce(CAST(contains(o, '1') AS INT), 0)", lambda: text.judged_one(F.col("o")))
 function("fn_esc", "replace(replace(replace(replace(replace(o, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')", lambda: text.escape_html(F.col("o")))

@@ -38,7 +38,7 @@ def _(s, d):
     return I.from_path(got, r"noise_level_(\d+)", "noise_level").groupBy("noise_level").agg(F.count("*").alias("n"))
 
 
-@C.add("src_qa_csv", f"{EXP}, q AS (SELECT CAST(exp_id AS VARCHAR) AS id, question, answers.ground_truth AS answer FROM exp WHERE question IS NOT NULL AND trim(question) <> '') SELECT id, question, answer FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY id) AS rn FROM q) WHERE rn = 1 AND question IN (SELECT question FROM noise_runs)")
+@C.add("src_qa_csv", f"{EXP}, q AS (SELECT CAST(exp_id AS VARCHAR) AS id, question, nullif(answers.ground_truth, '') AS answer FROM exp WHERE question IS NOT NULL AND trim(question) <> '') SELECT id, question, answer FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY id) AS rn FROM q) WHERE rn = 1 AND question IN (SELECT question FROM noise_runs)")
 def _(s, d):
     at = new_folder(s, "qa")
     rows = R.exp_view(s, d, "question", F.col("answers.ground_truth").alias("answer")).where("trim(question) <> ''")

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flipgraph.session import cut
 from flipgraph.sources.tables import table
 
 #: Number of hashed features, so the model has a fixed size of FEATURES doubles per kind of passage.
@@ -251,7 +250,7 @@ def score_texts(documents: DataFrame, model: dict, text: str = "text") -> DataFr
 
 def residue_scores(documents: DataFrame, id_col: str = "doc_id", bound: int = FIT_PASSAGES) -> DataFrame:
     """(doc_id, residue, reason, score) of every document. An empty table gives no rows."""
-    rows = cut(documents.select(F.col(id_col).alias("doc_id"), "text"), "texts")
+    rows = documents.select(F.col(id_col).alias("doc_id"), "text")
     return score_texts(rows, fit_residue(rows.select("text"), bound)).drop("text")
 
 

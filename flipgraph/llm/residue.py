@@ -48,6 +48,22 @@ NOTICES = (
     r"^(?:please )?(?:write|insert|add|enter|type|replace|put)\b.{0,40}\b(?:here|text|paragraph|biography|description|your own)\b|\byour \w+ (?:starts|goes|here)\b",
 )
 _NOTICE = regex.compile("|".join(f"(?:{p})" for p in NOTICES))
+# Every notice above holds one of these words or stems, a number from 400 to 599, or one word over and over; sentences
+# without any are not searched (fixed values, to be kept in step with the patterns).
+NOTICE_WORDS = frozenset(
+    "javascript java script scripts noscript js page página seite страница error found gateway forbidden unavailable service access acceso accès zugriff traceback fatal trace exception database internal temporarily "
+    "disponible vorübergehend temporairement временно maintenance session link wrong snag lorem ipsum placeholder sample dummy filler blindtext beispieltext texto texte текст content text section entry field space "
+    "loading write insert add enter type replace put your requests connections request necesita nécessaires too many".split()
+)
+_NOTICE_STEM = regex.compile(r"скрипт|доступ")
+
+
+def _notice(sentence: str, small: str, words: list[str]):
+    """The match of a notice in a sentence, of which ``small`` and ``words`` are the small letters and their words."""
+    if len(small) != len(sentence):
+        return None
+    hinted = not NOTICE_WORDS.isdisjoint(words) or any(len(w) == 3 and w[0] in "45" and w.isdigit() for w in words) or (len(words) > 4 and len(set(words)) == 1) or _NOTICE_STEM.search(small)
+    return _NOTICE.search(small) if hinted else None
 
 _SENTENCE = regex.compile(r"\n+|(?<=[.!?…]['\"”»)\]]?)\s+(?=[^\s\p{Ll}])")
 _NAMES = regex.compile(r"\p{Lu}\p{Ll}+(?:[ \-](?:of the |the )?\p{Lu}\p{Ll}+)+")
@@ -90,9 +106,9 @@ def sentences(text: str) -> list[str]:
     return [s for part in _SENTENCE.split(text) if (s := part.strip())]
 
 
-def sentence_features(sentence: str, of: int, named: bool) -> list[int]:
+def sentence_features(sentence: str, words: list[str], of: int, named: bool) -> list[int]:
     """Hashed words, word pairs and signs of a sentence in a text of ``of`` sentences; ``named``: it holds a name."""
-    words = ["#" if w.isdigit() else w for w in _WORD.findall(sentence.lower())]
+    words = ["#" if w.isdigit() else w for w in words]
     size = "1" if of <= 1 else "2" if of <= 4 else "3" if of <= 8 else "4"
     signs = [f"§{size}{'n' if named else '-'}", f"§n{named}", f"§w{min(len(words), 12) // 3}", f"§e{sentence[-1] if not sentence[-1].isalnum() else 'a'}"]
     if _mashed(words):
@@ -134,15 +150,16 @@ def passages(text: str) -> list[tuple[str, bool, list[int]]]:
     out = []
     for s in parts:
         name = _NAMES.search(s)
-        named, notice, small = bool(name), None, s.lower()
-        if not named or s.count(" ") < 16:
-            notice = _NOTICE.search(small) if len(small) == len(s) else None
+        small = s.lower()
+        named, words = bool(name), _WORD.findall(small)
+        notice = _notice(s, small, words) if not named or len(words) < 18 else None
         if notice and named and _only_lead(s[: notice.start()]) and not _NAMES.search(s, notice.end()):
             s, named = s[notice.start() :], False  # a title before the notice, on the same line
-        if named and _TITLE.fullmatch(s):
+            words = _WORD.findall(small[notice.start() :])
+        if named and len(words) < 12 and _TITLE.fullmatch(s):
             continue
-        trusted = not named and (bool(notice) or (name is None and _mashed(_WORD.findall(small))))
-        out.append(("s" if not named else "n", trusted, sentence_features(s, len(parts), named)))
+        trusted = not named and (bool(notice) or (name is None and _mashed(words)))
+        out.append(("s" if not named else "n", trusted, sentence_features(s, words, len(parts), named)))
     if _MAY_HOLD_SPAN.search(text):
         for m in _SPAN.finditer(text):
             trusted = bool(_TRUSTED_SPAN.fullmatch(m[0])) and not _quoted(text, m.start(), m.end())

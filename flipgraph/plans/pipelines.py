@@ -33,7 +33,7 @@ def enough_sql(context: str, reference: str) -> str:
 # ---- Correctness against supporting facts
 
 
-@C.add("ev_glorag", f"{PA._FLAG} SELECT {PA.DIRECTION_SQL} AS direction, count(*) AS n, round(avg(precision), 4) AS precision, round(avg(n_flagged), 4) AS flagged, round(avg(CAST(tp > 0 AS INT)), 4) AS hit FROM prec GROUP BY 1")
+@C.add("ev_edit_correctness", f"{PA._FLAG} SELECT {PA.DIRECTION_SQL} AS direction, count(*) AS n, round(avg(precision), 4) AS precision, round(avg(n_flagged), 4) AS flagged, round(avg(CAST(tp > 0 AS INT)), 4) AS hit FROM prec GROUP BY 1")
 def _(s, d):
     """Precision of the edited elements of found explanations, by direction."""
     p = PA.set_precision(s, d).join(PA.flagged(s, d).select(K, "mode").distinct(), K)
@@ -44,7 +44,7 @@ _SPANS = f"""{R.with_views('exp')}, {PA.FACTS}, sp AS (SELECT exp_id, mode, list
  rel AS (SELECT s.exp_id, s.mode, s.pos, coalesce(max(CASE WHEN len({_TOKS.format(x='span')}) > 0 AND len({_TOKS.format(x='unit')}) > 0 THEN len(list_intersect({_TOKS.format(x='span')}, {_TOKS.format(x='unit')})) / len(list_distinct(list_concat({_TOKS.format(x='span')}, {_TOKS.format(x='unit')}))) ELSE 0.0e0 END), 0.0e0) >= 0.4 AS relevant FROM spans s LEFT JOIN facts f ON f.exp_id = s.exp_id GROUP BY 1, 2, 3)"""
 
 
-@C.add("ev_ragex", f"{_SPANS} SELECT {PA.DIRECTION_SQL} AS direction, count(*) AS n, count(*) FILTER (relevant) AS relevant FROM rel GROUP BY 1")
+@C.add("ev_span_correctness", f"{_SPANS} SELECT {PA.DIRECTION_SQL} AS direction, count(*) AS n, count(*) FILTER (relevant) AS relevant FROM rel GROUP BY 1")
 def _(s, d):
     """Sentences of an answer that overlap a supporting fact, by token sets."""
     sp = R.exp_view(s, d, "mode", F.col("answers.original").alias("o")).where("o IS NOT NULL").select(K, "mode", F.posexplode(text.sentences_by_dot(F.col("o"))).alias("pos", "span"))

@@ -2,7 +2,7 @@
 
 utilities: (qid, mask, u), where bit i of ``mask`` says that element i is in the coalition. Exact estimators are
 joins of masks that differ in one or two bits; sampled and fitted ones work on the utilities of one question at a
-time, whose number is 2 ** n at most for n elements, n being capped by the caller.
+time. ``estimate`` reads them from a table, ``estimate_games`` asks for those that are drawn, at any number of elements.
 """
 
 from __future__ import annotations
@@ -77,7 +77,7 @@ def beta_weight(n: int, k: int, a: float, b: float) -> float:
 
 
 def bits(masks: np.ndarray, n: int) -> np.ndarray:
-    return ((masks[:, None] >> np.arange(n)) & 1).astype(float)
+    return ((masks[:, None] >> np.arange(n).astype(masks.dtype)) & 1).astype(float)
 
 
 def weighted_fit(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -103,6 +103,32 @@ def lasso(x: np.ndarray, y: np.ndarray, alpha: float = 0.01, rounds: int = 500,
 
 
 Game = dict[int, float]
+#: Up to so many elements a fit takes all coalitions, above it draws them.
+WHOLE = 10
+
+
+class Drawn(dict):
+    """A game whose utilities are computed when they are asked for. utility: from rows of 0 and 1 per element."""
+
+    def __init__(self, utility: Callable[[np.ndarray], np.ndarray], n: int) -> None:
+        super().__init__()
+        self.utility, self.n = utility, n
+
+    def __missing__(self, mask: int) -> float:
+        self[mask] = u = float(self.utility(bits(np.array([mask], None if self.n <= 62 else object), self.n))[0])
+        return u
+
+
+def drawn(rng: np.random.Generator, n: int, draws: int) -> np.ndarray:
+    """Different coalitions drawn evenly, the empty and the whole one among them."""
+    if n <= 62:
+        return np.unique(np.r_[0, (1 << n) - 1, rng.integers(0, 1 << n, draws)])
+    rows = rng.integers(0, 2, (draws, n)).tolist()
+    return np.array(sorted({0, (1 << n) - 1, *(sum(b << i for i, b in enumerate(r)) for r in rows)}), object)
+
+
+def utilities_of(game: Game, masks: np.ndarray) -> np.ndarray:
+    return game.utility(bits(masks, game.n)) if isinstance(game, Drawn) else np.array([game[int(m)] for m in masks])
 
 
 def tmc_shapley(game: Game, n: int, seed: int, orders: int = 200, tolerance: float = 1e-3) -> np.ndarray:
@@ -137,25 +163,38 @@ def beta_shapley(game: Game, n: int, seed: int, a: float = 4, b: float = 1, draw
 def context_cite(game: Game, n: int, seed: int, draws: int = 64, alpha: float = 0.01) -> np.ndarray:
     """Lasso on coalitions drawn evenly, the empty and the whole one among them."""
     rng = np.random.default_rng(seed)
-    masks = np.unique(np.r_[0, (1 << n) - 1, rng.integers(0, 1 << n, draws)])
-    return lasso(bits(masks, n), np.array([game[int(m)] for m in masks]), alpha)
-
-
-def kernel_shap(game: Game, n: int, seed: int = 0) -> np.ndarray:
-    """Weighted linear surrogate on all coalitions; with heavy end weights it equals the Shapley value."""
+    masks = drawn(rng, n, draws)
+    return lasso(bits(masks, n), utilities_of(game, masks), alpha)
+
+
+def kernel_shap(game: Game, n: int, seed: int = 0, draws: int = 2048) -> np.ndarray:
+    """Weighted linear surrogate; with heavy end weights that on all coalitions equals the Shapley value.
+
+    Above WHOLE elements coalitions are drawn by the kernel, each with its complement, and count alike.
+    """
+    if n > WHOLE:
+        rng, sizes = np.random.default_rng(seed), np.arange(1, n)
+        odds = 1.0 / (sizes * (n - sizes))
+        k = rng.choice(sizes, draws, p=odds / odds.sum())
+        x = (rng.random((draws, n)).argsort(1) < k[:, None]).astype(float)
+        x = np.vstack([np.zeros(n), np.ones(n), x, 1 - x])
+        powers = np.array([1 << i for i in range(n)], None if n <= 62 else object)
+        masks = (x.astype(np.int64).astype(powers.dtype) * powers).sum(1)
+        return weighted_fit(x, utilities_of(game, masks), np.r_[1e7, 1e7, np.ones(2 * draws)])[1:]
     masks = np.arange(1 << n)
     w = np.array([kernel_weight(n, int(m).bit_count(), 1e7) for m in masks])
-    return weighted_fit(bits(masks, n), np.array([game[int(m)] for m in masks]), w)[1:]
+    return weighted_fit(bits(masks, n), utilities_of(game, masks), w)[1:]
 
 
 def pairwise_surrogate(game: Game, n: int, seed: int = 0, draws: int = 256, ridge: float = 1e-6) -> np.ndarray:
-    """Second-order surrogate: each element's weight and half of those of its pairs."""
+    """Second-order surrogate: each element's weight and half of those of its pairs; four draws at least for each of these."""
     rng = np.random.default_rng(seed)
-    masks = np.arange(1 << n) if (1 << n) <= draws else np.unique(np.r_[0, (1 << n) - 1, rng.integers(0, 1 << n, draws)])
+    draws = max(draws, 2 * (n * n + n + 2))
+    masks = np.arange(1 << n) if (1 << n) <= draws else drawn(rng, n, draws)
     x = bits(masks, n)
     pairs = list(combinations(range(n), 2))
     a = np.column_stack([np.ones(len(x)), x, *(x[:, i] * x[:, j] for i, j in pairs)])
-    beta = np.linalg.solve(a.T @ a + ridge * np.eye(a.shape[1]), a.T @ np.array([game[int(m)] for m in masks]))
+    beta = np.linalg.solve(a.T @ a + ridge * np.eye(a.shape[1]), a.T @ utilities_of(game, masks))
     out = beta[1 : n + 1].copy()
     for (i, j), b in zip(pairs, beta[n + 1 :], strict=True):
         out[i] += b / 2
@@ -163,27 +202,27 @@ def pairwise_surrogate(game: Game, n: int, seed: int = 0, draws: int = 256, ridg
     return out
 
 
-def factorization_machine(game: Game, n: int, seed: int, rank: int = 3, rounds: int = 60, ridge: float = 1e-3) -> np.ndarray:
+def factorization_machine(game: Game, n: int, seed: int, rank: int = 3, rounds: int = 60, ridge: float = 1e-3, draws: int = 1024) -> np.ndarray:
     """Degree-2 factorization machine fitted by alternating least squares; weight plus half of the pair terms."""
     rng = np.random.default_rng(seed)
-    masks = np.arange(1 << n)
-    x, y = bits(masks, n), np.array([game[int(m)] for m in masks])
+    masks = np.arange(1 << n) if n <= WHOLE else drawn(rng, n, max(draws, 8 * n * rank))
+    x, y = bits(masks, n), utilities_of(game, masks)
     w0, w, v = y.mean(), np.zeros(n), rng.normal(0, 0.1, (n, rank))
 
-    def pair_term(v: np.ndarray) -> np.ndarray:
-        return 0.5 * (((x @ v) ** 2) - (x**2) @ (v**2)).sum(1)
-
+    a = np.column_stack([np.ones(len(x)), x])
+    solver = np.linalg.solve(a.T @ a + ridge * np.eye(n + 1), a.T)
+    columns, keep = [x[:, [i]] for i in range(n)], ridge * np.eye(rank)
     for _ in range(rounds):
-        rest = y - pair_term(v)
-        a = np.column_stack([np.ones(len(x)), x])
-        beta = np.linalg.solve(a.T @ a + ridge * np.eye(n + 1), a.T @ rest)
+        s = x @ v
+        pairs = 0.5 * (s**2 - x @ v**2).sum(1)
+        beta = solver @ (y - pairs)
         w0, w = beta[0], beta[1:]
-        for i in range(n):
-            part = x[:, [i]] * (x @ v - x[:, [i]] * v[i])
-            others = v.copy()
-            others[i] = 0
-            target = y - w0 - x @ w - pair_term(others)
-            v[i] = np.linalg.solve(part.T @ part + ridge * np.eye(rank), part.T @ target)
+        rest = y - a @ beta
+        for i, c in enumerate(columns):
+            part = c * (s - c * v[i])
+            others = pairs - part @ v[i]
+            new = np.linalg.solve(part.T @ part + keep, part.T @ (rest - others))
+            s, pairs, v[i] = s + c * (new - v[i]), others + part @ new, new
     g = v @ v.T
     return w + 0.5 * (g.sum(1) - np.diag(g))
 
@@ -198,9 +237,30 @@ def shapley_of_game(game: Game, n: int) -> np.ndarray:
     return out
 
 
-def hybrid_shapley(game: Game, n: int, seed: int, share: float = 0.5) -> np.ndarray:
-    """Exact Shapley value where a part of the utilities is replaced by those of a second-order surrogate."""
+class _Guessed(dict):
+    """A game of which a share of the coalitions is known and the others are guessed by a linear fit."""
+
+    def __init__(self, game: Game, n: int, fit: np.ndarray, share: float, rng: np.random.Generator) -> None:
+        super().__init__({m: game[m] for m in (0, (1 << n) - 1)})
+        self.of, self.n, self.fit, self.share, self.rng = game, n, fit, share, rng
+
+    def __missing__(self, mask: int) -> float:
+        guess = float(self.fit[0] + sum(self.fit[i + 1] for i in range(self.n) if mask >> i & 1))
+        self[mask] = u = self.of[mask] if self.rng.random() < self.share else guess
+        return u
+
+
+def hybrid_shapley(game: Game, n: int, seed: int, share: float = 0.5, draws: int = 512) -> np.ndarray:
+    """Shapley value where a part of the utilities is replaced by those of a linear surrogate.
+
+    Exact up to WHOLE elements; above, the surrogate is fitted on draws and gains are averaged over 200 orders.
+    """
     rng = np.random.default_rng(seed)
+    if n > WHOLE:
+        masks = drawn(rng, n, max(draws, 4 * n))
+        fit = weighted_fit(bits(masks, n), utilities_of(game, masks), np.ones(len(masks)))
+        return tmc_shapley(_Guessed(game, n, fit, share, rng), n, seed, tolerance=-1)
+    game = dict(zip(range(1 << n), utilities_of(game, np.arange(1 << n)).tolist(), strict=True))
     known = {m for m in game if m in (0, (1 << n) - 1) or rng.random() < share}
     masks = np.array(sorted(known))
     x = bits(masks, n)
@@ -212,16 +272,26 @@ def hybrid_shapley(game: Game, n: int, seed: int, share: float = 0.5) -> np.ndar
 def kg_smile(game: Game, n: int, seed: int, sigma: float = 0.25, draws: int = 64) -> np.ndarray:
     """Local surrogate on coalitions weighed by a kernel of their share of elements, which favours distant ones."""
     rng = np.random.default_rng(seed)
-    masks = np.unique(np.r_[0, (1 << n) - 1, rng.integers(0, 1 << n, draws)])
-    x, y = bits(masks, n), np.array([game[int(m)] for m in masks])
+    masks = drawn(rng, n, max(draws, 2 * n + 2))
+    x, y = bits(masks, n), utilities_of(game, masks)
     span = y.max() - y.min()
     y = (y - y.min()) / span if span > 0 else np.ones(len(y))
     cos = np.sqrt(x.mean(1))
     return weighted_fit(x, y, np.exp(-((cos / sigma) ** 2)))[1:]
 
 
+def mean_gains(game: Game, n: int, seed: int = 0, draws: int = 1024) -> np.ndarray:
+    """What an element adds, on average over all coalitions up to WHOLE elements, else over drawn ones."""
+    masks = np.arange(1 << n) if n <= WHOLE else drawn(np.random.default_rng(seed), n, draws)
+    out = np.zeros(n)
+    for i in range(n):
+        with_i = masks | (1 << i)
+        out[i] = (utilities_of(game, with_i) - utilities_of(game, with_i ^ (1 << i))).mean()
+    return out
+
+
 ESTIMATORS: dict[str, Callable] = {
-    "tmc": tmc_shapley, "beta": beta_shapley, "contextcite": context_cite, "wss": kernel_shap, "faith": pairwise_surrogate, "fm": factorization_machine, "wss_hybrid": hybrid_shapley, "kgsmile": kg_smile,
+    "tmc": tmc_shapley, "beta": beta_shapley, "contextcite": context_cite, "wss": kernel_shap, "faith": pairwise_surrogate, "fm": factorization_machine, "wss_hybrid": hybrid_shapley, "kgsmile": kg_smile, "facile": mean_gains,
 }
 
 
@@ -239,6 +309,24 @@ def estimate(utilities: DataFrame, method: str) -> DataFrame:
     return utilities.groupBy("qid").applyInPandas(one, "qid long, i int, value double")
 
 
+def estimate_games(elements: DataFrame, worth: Callable[[np.ndarray, np.ndarray], np.ndarray], method: str) -> DataFrame:
+    """(qid, i, value) as ``estimate`` gives, for any number of elements: only utilities that the estimator asks for
+    are computed.
+
+    elements: (qid, i, score) with i from 0. worth: from a question's scores and rows of 0 and 1 per element.
+    """
+    run = ESTIMATORS[method]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        scores, n, qid = pdf.sort_values("i")["score"].to_numpy(float), len(pdf), int(pdf["qid"].iloc[0])
+        values = run(Drawn(lambda x: worth(scores, x), n), n, abs(qid) % (1 << 31))
+        return pd.DataFrame({"qid": qid, "i": np.arange(n, dtype=np.int32), "value": np.asarray(values, float)})
+
+    # A number of partitions, as rows are few and work is much: adaptive execution would put them into one task.
+    parts = int(elements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return elements.select("qid", "i", "score").repartition(parts, "qid").groupBy("qid").applyInPandas(one, "qid long, i int, value double")
+
+
 def minimal_combination(utilities: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(qid, up, down): least coalition that reaches ``threshold`` of the whole's utility, and least one whose
     removal takes the rest below it; of equal sizes the lowest mask. Null where none does."""

@@ -1,11 +1,13 @@
 """Queries of the attribution estimators.
 
-The game of a question: its elements are those of its exact run, at most six of them; a coalition's utility is the sum
-of its elements' scores and half of the largest.
+The game of a question: its elements are those of its exact run; a coalition's utility is the sum of its elements'
+scores and half of the largest. Sampled and fitted estimators take every question. Queries with a SQL twin take those of
+at most six elements, as their SQL does, and pass over the others.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,10 +27,13 @@ util AS (SELECT m.qid, m.n, m.mask, round(coalesce(sum(el.score) + 0.5e0 * max(e
 gain AS (SELECT x.qid, x.n, CAST(k.i AS INT) AS i, x.mask, y.u - x.u AS gain FROM util x JOIN (SELECT unnest(range({MOST})) AS i) k ON k.i < x.n AND ((x.mask >> k.i) & 1) = 0 JOIN util y ON y.qid = x.qid AND y.mask = x.mask | (1 << k.i))"""
 
 
-def elements(s: SparkSession, d: str) -> DataFrame:
+def elements(s: SparkSession, d: str, most: int | None = MOST) -> DataFrame:
+    """Numbered elements of the questions with at most ``most`` of them; None for all questions."""
     a, _b = PA.two_runs(s, d)
-    small = a.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") <= MOST)
-    return a.join(small.select("qid"), "qid", "left_semi").withColumn("i", (F.row_number().over(Window.partitionBy("qid").orderBy("element_id")) - 1).cast("int"))
+    if most is not None:
+        small = a.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") <= most)
+        a = a.join(small.select("qid"), "qid", "left_semi")
+    return a.withColumn("i", (F.row_number().over(Window.partitionBy("qid").orderBy("element_id")) - 1).cast("int"))
 
 
 def utilities(s: SparkSession, d: str) -> DataFrame:
@@ -39,6 +44,14 @@ def utilities(s: SparkSession, d: str) -> DataFrame:
     return j.groupBy("qid", "mask").agg(rnd(u).alias("u"))
 
 
+def worth(scores: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The utilities of ``utilities``, of the coalitions in the rows of ``x``; null scores count as absent."""
+    there = (x > 0) & ~np.isnan(scores)
+    best = np.where(there, scores, -np.inf).max(1, initial=-np.inf)
+    u = np.where(there.any(1), np.where(there, scores, 0.0).sum(1) + 0.5 * np.where(np.isfinite(best), best, 0.0), 0.0)
+    return np.sign(u) * np.floor(np.abs(u) * 1e6 + 0.5 + 1e-7) / 1e6  # 6 digits, halves away from 0
+
+
 def values(df: DataFrame) -> DataFrame:
     return df.withColumn("value", rnd(F.col("value"), 11) + 0.0)  # utilities have 6 digits: fewer here would meet exact ties
 
@@ -121,7 +134,7 @@ def _(s, d):
 
 def _sampled(name: str, method: str, doc: str) -> None:
     def query(s, d):
-        return values(T.estimate(utilities(s, d), method))
+        return values(T.estimate_games(elements(s, d, None), worth, method))
 
     query.__doc__ = doc
     C.add(name)(query)

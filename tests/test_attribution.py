@@ -4,6 +4,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from flipgraph.operators import attribution as T
+from flipgraph.plans import attribution as PT
+from flipgraph.plans import registry
 
 GAMES = st.integers(2, 4).flatmap(lambda n: st.lists(st.floats(-5, 5, allow_nan=False), min_size=1 << n, max_size=1 << n).map(lambda u: (n, u)))
 
@@ -64,3 +66,31 @@ def test_too_many_elements_is_an_error(spark):
     assert T.coalitions(e, 5).count() == 32
     with pytest.raises(Exception, match="more than 4 elements"):
         T.coalitions(e, 4).count()
+
+
+def shapley_of_worth(scores):
+    """Closed form: its own score, and half of the Shapley value of a maximum of positive scores."""
+    low = np.sort(scores)
+    steps = np.diff(np.r_[0, low]) / np.arange(len(low), 0, -1)
+    return scores + 0.5 * np.array([steps[low <= x].sum() for x in scores])
+
+
+def test_estimators_take_games_too_large_for_a_table():
+    scores = np.linspace(0.1, 1.0, 26)
+    want = shapley_of_worth(scores)
+    small = T.Drawn(lambda x: PT.worth(scores[:6], x), 6)
+    assert np.allclose(T.shapley_of_game({m: small[m] for m in range(64)}, 6), shapley_of_worth(scores[:6]), atol=1e-5)
+    for method, run in T.ESTIMATORS.items():
+        got = run(T.Drawn(lambda x: PT.worth(scores, x), 26), 26, 7)
+        assert got.shape == (26,) and np.isfinite(got).all(), method
+        if method in ("tmc", "wss", "wss_hybrid"):
+            assert np.allclose(got, want, atol=0.06), method
+        assert run(T.Drawn(lambda x: PT.worth(np.ones(70), x), 70), 70, 7).shape == (70,), method
+
+
+def test_sampled_queries_cover_every_question(spark, sf):
+    n = {r.qid: r.n for r in PT.elements(spark, sf, None).groupBy("qid").count().withColumnRenamed("count", "n").collect()}
+    assert max(n.values()) > PT.MOST
+    for query in ("att_wss", "att_facile"):
+        got = registry.queries()[query](spark, sf).groupBy("qid").count().collect()
+        assert {r.qid: r["count"] for r in got} == n

@@ -8,11 +8,14 @@ pluggable: ``Judge`` classes are built per row from the row's values and count t
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Edge = tuple[str, str]
 
@@ -57,6 +60,7 @@ class Question:
     sim: dict = field(default_factory=dict)  # of nodes to the question; missing ones count 0
     grow: dict = field(default_factory=dict)  # anchor -> [(new node, description)] in the knowledge graph
     needs: frozenset = frozenset()  # what the lexical judge looks for
+    known: dict | None = None  # nodes that may be added; None for any
 
 
 class Judge:
@@ -131,8 +135,40 @@ def refine(q: Question, judge: Judge, pivot: str, seed_cost: float, seed: State,
     return best
 
 
+def plain_words(text: str | None) -> str:
+    """As ``functions.text.norm``; empty for null."""
+    return " ".join(re.findall("[a-z0-9]+", (text or "").lower()))
+
+
+class Graph:
+    """A knowledge graph: successors and vectors of its nodes."""
+
+    def __init__(self, edges: Iterable[Edge], vectors: dict[str, np.ndarray]) -> None:
+        self.vectors, self.next = vectors, {}
+        self.names = {v: plain_words(v) for v in vectors}
+        for s, t in sorted(set(edges)):
+            self.next.setdefault(s, []).append((t, ""))
+
+
+class Similarities(dict):
+    """Similarities of nodes to a question; those of the knowledge graph's nodes are computed when asked for."""
+
+    def __init__(self, known: dict, graph: Graph, vector) -> None:
+        super().__init__(known)
+        self.graph, self.vector = graph, None if vector is None else np.asarray(vector, float)
+
+    def get(self, name: str, default: float = 0.0) -> float:
+        if name not in self:
+            v = self.graph.vectors.get(name)
+            self[name] = default if v is None or self.vector is None else round(float(v @ self.vector), 6)
+        return self[name]
+
+
 def _children(q: Question, state: State, ops: tuple[str, ...], pruned: tuple[set, set], sign: int, model: int, anchored: set | None):
-    """(op rows, added cost, order of similarity, child) of every edit that the search may try next."""
+    """(op rows, added cost, order of similarity, child) of every edit that the search may try next.
+
+    The child of an addition is an edge to be added by ``with_edge``: states are built once they are reached.
+    """
     sim = q.sim.get
     if "delete_node" in ops:
         for v in sorted(state.nodes & q.state.nodes):
@@ -146,6 +182,7 @@ def _children(q: Question, state: State, ops: tuple[str, ...], pruned: tuple[set
                 child, cost = state.without_edge((s, t))
                 yield [("delete_edge", None, s, t)], cost, sign * max(sim(s, 0.0), sim(t, 0.0)), child
     if "add_node" in ops or "add_edge" in ops:
+        there = {e[:2] for e in state.edges}
         for anchor in sorted(state.nodes):
             if anchored is not None:
                 if anchor in anchored:
@@ -155,10 +192,10 @@ def _children(q: Question, state: State, ops: tuple[str, ...], pruned: tuple[set
                 close = (2 - sim(new, 0.0)) if model == 2 else 1.0
                 edge = (2 - max(sim(anchor, 0.0), sim(new, 0.0))) if model == 2 else 1.0
                 if new in state.nodes:
-                    if "add_edge" in ops and not any(e[:2] == (anchor, new) for e in state.edges):
-                        yield [("add_edge", None, anchor, new)], edge, sim(new, 0.0), state.with_edge(anchor, new, description)
-                elif "add_node" in ops:
-                    yield [("add_node", new, None, None), ("add_edge", None, anchor, new)], close + edge, sim(new, 0.0), state.with_edge(anchor, new, description)
+                    if "add_edge" in ops and (anchor, new) not in there:
+                        yield [("add_edge", None, anchor, new)], edge, sim(new, 0.0), (state, anchor, new, description)
+                elif "add_node" in ops and (q.known is None or new in q.known):
+                    yield [("add_node", new, None, None), ("add_edge", None, anchor, new)], close + edge, sim(new, 0.0), (state, anchor, new, description)
 
 
 def best_first(
@@ -195,6 +232,8 @@ def best_first(
         last = cost
         if cost > bound or judge.calls > max_calls:
             break
+        if isinstance(state, tuple):
+            state = State.with_edge(*state)
         if state in seen:
             continue
         seen.add(state)
@@ -249,21 +288,51 @@ def question_of(row: dict) -> Question:
 SEARCHED = "exp_id long, found boolean, cost double, calls long, ops array<struct<op:string,node:string,src:string,dst:string>>, nodes array<string>"
 
 
+def _found(row: dict, q: Question, run: Callable[[Question, Judge], Found], judge: type[Judge]) -> tuple:
+    f = run(q, judge(q))
+    return (row["exp_id"], f.ops is not None, float(f.cost), f.calls, [dict(zip(("op", "node", "src", "dst"), o, strict=True)) for o in f.ops or []], sorted(f.state.nodes) if f.state else None)
+
+
 def search_all(questions: DataFrame, run: Callable[[Question, Judge], Found], judge: type[Judge] = LexicalJudge) -> DataFrame:
     """Runs ``run`` on each row of ``questions`` (exp_id, entities, relations, and optionally sims, grow, needs)."""
 
     def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for row in frame.to_dict("records"):
-                q = question_of(row)
-                f = run(q, judge(q))
-                out.append((row["exp_id"], f.ops is not None, float(f.cost), f.calls, [dict(zip(("op", "node", "src", "dst"), o, strict=True)) for o in f.ops or []], sorted(f.state.nodes) if f.state else None))
+            out = [_found(row, question_of(row), run, judge) for row in frame.to_dict("records")]
             yield pd.DataFrame(out, columns=["exp_id", "found", "cost", "calls", "ops", "nodes"])
 
     return questions.mapInPandas(part, SEARCHED)
 
 
+def search_in_graphs(questions: DataFrame, nodes: DataFrame, edges: DataFrame, run: Callable[[Question, Judge], Found], judge: type[Judge] = LexicalJudge, together: int = 500) -> DataFrame:
+    """As ``search_all``, where any edge of a question's knowledge graph may be added once its source is in the state.
+
+    questions: (exp_id, kg_id, entities, relations, answer, vec); nodes: (kg_id, name, vec); edges: (kg_id, src, tgt). Only
+    ``nodes`` may be added; an edge to a present node may be added in any case. Needed are the nodes of the context and of
+    the whole knowledge graph that the answer names. About ``together`` questions share one copy of their graph, so the questions of a hot one are spread.
+    """
+    parts = questions.groupBy("kg_id").agg(F.ceil(F.count("*") / together).cast("int").alias("parts"))
+    key = parts.withColumnRenamed("kg_id", "of")
+    q = questions.join(key, questions["kg_id"].eqNullSafe(key["of"])).drop("of").withColumn("part", F.expr("pmod(xxhash64(exp_id), parts)").cast("int")).drop("parts")
+    g = nodes.select("kg_id", F.col("name").alias("src"), F.lit(None).cast("string").alias("tgt"), "vec").unionByName(edges.select("kg_id", "src", "tgt", F.lit(None).cast(nodes.schema["vec"].dataType).alias("vec")))
+    g = g.join(parts, "kg_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+    def part(asked: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
+        pairs = graph["tgt"].notna()
+        kg = Graph(zip(graph["src"][pairs], graph["tgt"][pairs], strict=True), {n: np.asarray(v, float) for n, v in zip(graph["src"][~pairs], graph["vec"][~pairs], strict=True)}) if len(asked) else None
+        out = []
+        for row in asked.to_dict("records"):
+            question = question_of(row)
+            question.grow, question.known, question.sim = kg.next, kg.vectors, Similarities(question.sim, kg, row["vec"])
+            said = plain_words(row["answer"])
+            question.needs = frozenset(v for names in (kg.names, {v: plain_words(v) for v in question.state.nodes}) for v, w in names.items() if w and w in said)
+            out.append(_found(row, question, run, judge))
+        return pd.DataFrame(out, columns=["exp_id", "found", "cost", "calls", "ops", "nodes"])
+
+    n = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # searches are much work on few rows
+    return q.repartition(n, "kg_id", "part").groupBy("kg_id", "part").cogroup(g.repartition(n, "kg_id", "part").groupBy("kg_id", "part")).applyInPandas(part, SEARCHED)
+
+
 def tiered_deletions(questions: DataFrame, max_cost: int = 20, judge: type[Judge] = LexicalJudge, hit: int = 0) -> DataFrame:
     """Deletion search by cost tiers: (exp_id, cost, evaluated), where a flip exists within ``max_cost``.
 

@@ -12,6 +12,7 @@ from flipgraph.operators import search as S
 from flipgraph.plans import graph as PG
 from flipgraph.plans.catalog import Catalog
 from flipgraph.sources import records as R
+from flipgraph.sources.tables import table
 
 C = Catalog()
 K = "exp_id"
@@ -21,26 +22,21 @@ ALL = ("delete_node", "delete_edge", "add_node", "add_edge")
 CALLS = 60
 
 
-def questions(s: SparkSession, d: str, modes: tuple[str, ...], answer: str, grow: bool = False) -> DataFrame:
-    """One row per question with its graph, similarities, additions and the nodes that ``answer`` names."""
+def questions(s: SparkSession, d: str, modes: tuple[str, ...], answer: str) -> DataFrame:
+    """One row per question with its graph, similarities and the nodes that ``answer`` names."""
     base = R.exp_view(s, d, "kg_id", "mode", F.col("original_subgraph.entities.name").alias("entities"), F.col("original_subgraph.relations").alias("relations"), F.col(f"answers.{answer}").alias("answer"))
     base = base.where(F.col("mode").isin(*modes))
     sims = PG.similarities(s, d).groupBy(K).agg(F.collect_list(F.struct("name", "sim")).alias("sims"))
-    q = base.join(sims, K, "left")
-    if not grow:
-        needs = R.cgn_view(s, d).join(base.select(K, "answer"), K).where(text.norm_contains(F.col("answer"), F.col("name"))).groupBy(K).agg(F.collect_set("name").alias("needs"))
-        return q.join(needs, K, "left").select(K, "entities", "relations", "sims", "needs")
-    # Candidates are of one graph's neighbourhood; at most 20 are kept per question, the most similar ones.
-    add = PG.additions(s, d).join(base.select(K), K, "left_semi")
-    from pyspark.sql import Window
-
-    add = add.withColumn("rn", F.row_number().over(Window.partitionBy(K).orderBy(F.desc("sim_node"), "name", "anchor"))).where("rn <= 20")
-    wanted = add.select(K, "name").unionByName(R.cgn_view(s, d).select(K, "name")).distinct()
-    needs = wanted.join(base.select(K, "answer"), K).where(text.norm_contains(F.col("answer"), F.col("name"))).groupBy(K).agg(F.collect_set("name").alias("needs"))
-    rows = add.groupBy(K).agg(F.collect_list(F.struct("anchor", "name")).alias("grow"), F.collect_list(F.struct("name", F.col("sim_node").alias("sim"))).alias("more"))
-    q = q.join(rows, K, "left").join(needs, K, "left")
-    empty = F.array().cast("array<struct<name:string,sim:double>>")
-    return q.select(K, "entities", "relations", F.concat(F.coalesce("more", empty), F.coalesce("sims", empty)).alias("sims"), "grow", "needs")
+    needs = R.cgn_view(s, d).join(base.select(K, "answer"), K).where(text.norm_contains(F.col("answer"), F.col("name"))).groupBy(K).agg(F.collect_set("name").alias("needs"))
+    return base.join(sims, K, "left").join(needs, K, "left").select(K, "entities", "relations", "sims", "needs")
+
+
+def corrected(s: SparkSession, d: str, run) -> DataFrame:
+    """``run`` on the questions answered wrongly, each with its whole knowledge graph to add from."""
+    base = R.exp_view(s, d, "kg_id", "mode", F.col("original_subgraph.entities.name").alias("entities"), F.col("original_subgraph.relations").alias("relations"), F.col("answers.ground_truth").alias("answer"))
+    v = table(s, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    q = base.where(F.col("mode").isin("ff", "tf")).withColumn("vec_id", F.col(K) % PG.VECTORS).join(v, "vec_id", "left").drop("vec_id", "mode")
+    return S.search_in_graphs(q, PG.node_vectors(s, d).select("kg_id", "name", "vec"), R.kge_view(s, d).select("kg_id", "src", "tgt"), run)
 
 
 def _summary(df: DataFrame) -> DataFrame:
@@ -62,7 +58,7 @@ def _(s, d):
 @C.add("g_search_correct")
 def _(s, d):
     """Cheapest edits, additions among them, after which the graph supports the ground truth."""
-    return _summary(S.search_all(questions(s, d, ("ff", "tf"), "ground_truth", grow=True), partial(S.best_first, ops=ALL, hit=1, max_calls=CALLS, model=2, tier=0.5)))
+    return _summary(corrected(s, d, partial(S.best_first, ops=ALL, hit=1, max_calls=CALLS, model=2, tier=0.5)))
 
 
 @C.add("g_psp_refine")
@@ -74,7 +70,7 @@ def _(s, d):
 @C.add("g_psp_ff")
 def _(s, d):
     """Corrective search with the cheapest probe hit as an upper bound."""
-    return _summary(S.search_all(questions(s, d, ("ff", "tf"), "ground_truth", grow=True), partial(S.best_first, ops=ALL, hit=1, max_calls=CALLS, psp_k=5, refine_hits=False, incumbent=True)))
+    return _summary(corrected(s, d, partial(S.best_first, ops=ALL, hit=1, max_calls=CALLS, psp_k=5, refine_hits=False, incumbent=True)))
 
 
 @C.add("g_single_edit")

@@ -85,3 +85,25 @@ def test_nulls_and_empty_rows(spark):
     df = spark.createDataFrame(rows, "exp_id long, entities array<string>, relations array<struct<src:string,tgt:string,keywords:string,description:string,weight:double>>, needs array<string>")
     out = S.search_all(df, lambda q, j: S.best_first(q, j, DELETE, 0)).collect()
     assert {r.exp_id for r in out} == {1, 2, 3}
+
+
+def test_additions_reach_the_whole_knowledge_graph(spark):
+    far = [("a", f"m{i:02}") for i in range(40)] + [("m39", "n"), ("a", "c")]
+    rows = [(i, k, ["a", "c"], [], says, [1.0, 0.0]) for i, k, says in ((1, "g", "m39"), (2, "g", "It is N."), (3, "g", "lone"), (4, None, "a"))]
+    q = spark.createDataFrame(rows, "exp_id long, kg_id string, entities array<string>, relations array<struct<src:string,tgt:string,description:string>>, answer string, vec array<double>")
+    names = {x for e in far for x in e} | {"lone"}
+    nodes = spark.createDataFrame([("g", x, [0.9, 0.1] if x in ("m39", "n") else [0.5, 0.5]) for x in sorted(names)], "kg_id string, name string, vec array<double>")
+    edges = spark.createDataFrame([("g", *e) for e in far], "kg_id string, src string, tgt string")
+    run = lambda q, j: S.best_first(q, j, ("add_node", "add_edge"), 1, model=2)
+    got = {r.exp_id: r for r in S.search_in_graphs(q, nodes, edges, run, together=2).collect()}
+    assert got[1].found and [o.node for o in got[1].ops if o.node] == ["m39"]  # one of 41 successors
+    assert got[2].found and [o.node for o in got[2].ops if o.node] == ["m39", "n"]  # a successor of an added node
+    assert not got[3].found  # needed, but no edge leads to it
+    assert len(got) == 4
+    link = S.best_first(question([("a", "b")], {"b"}, {"a": [("z", "")]}), Linked(question([])), ("add_edge",), 1)
+    assert link.ops == [("add_edge", None, "a", "z")]
+
+
+class Linked(S.Judge):
+    def score(self, state):
+        return int(("a", "z", "") in state.edges)

@@ -78,6 +78,10 @@ class Judge:
     def score(self, state: State) -> int:
         raise NotImplementedError
 
+    def hopeless(self, hit: int) -> bool:
+        """Whether no state at all has the score ``hit``; False where that is not known."""
+        return False
+
 
 class LexicalJudge(Judge):
     """1 if every node that the reference names is in the graph; without such nodes always 1."""
@@ -85,6 +89,9 @@ class LexicalJudge(Judge):
     def score(self, state: State) -> int:
         return int(self.question.needs <= state.nodes)
 
+    def hopeless(self, hit: int) -> bool:
+        return hit == 0 and not self.question.needs
+
 
 @dataclass
 class Found:
@@ -338,11 +345,14 @@ def tiered_deletions(questions: DataFrame, max_cost: int = 20, judge: type[Judge
 
     Costs of deletions are whole numbers, so all unseen states of the lowest open cost are judged together, a
     batch for an evaluator that answers many prompts at once. The first tier with a flip has the least cost.
+    Tiers have no budget of calls, so none is searched where the judge knows that nothing flips.
     """
 
     def run(q: Question, j: Judge) -> Found:
         tiers: dict[int, dict[State, list]] = {0: {q.state: []}}
         seen: set[State] = set()
+        if j.hopeless(hit):
+            return Found(None, float(max_cost), None, 0)
         for cost in range(max_cost + 1):
             batch = {s: o for s, o in tiers.pop(cost, {}).items() if s not in seen}
             seen |= batch.keys()

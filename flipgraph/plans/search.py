@@ -18,8 +18,8 @@ C = Catalog()
 K = "exp_id"
 DELETE = ("delete_node", "delete_edge")
 ALL = ("delete_node", "delete_edge", "add_node", "add_edge")
-#: Calls that a query's search may spend on a question; the operators take any budget.
-CALLS = 60
+#: Calls that a search may spend on a question, and the most that edits may cost, as in the reference; the operators take any budget.
+CALLS, COST = 200, 20
 
 
 def questions(s: SparkSession, d: str, modes: tuple[str, ...], answer: str) -> DataFrame:
@@ -46,31 +46,31 @@ def _summary(df: DataFrame) -> DataFrame:
 @C.add("g_search_break")
 def _(s, d):
     """Cheapest deletions that break an answer, exact best-first."""
-    return _summary(S.search_all(questions(s, d, ("ft",), "original"), partial(S.best_first, ops=DELETE, hit=0, max_calls=CALLS)))
+    return _summary(S.search_all(questions(s, d, ("ft",), "original"), partial(S.best_first, ops=DELETE, hit=0, max_cost=COST, max_calls=CALLS)))
 
 
 @C.add("g_search_tiered")
 def _(s, d):
-    """The same least costs, by whole tiers of states."""
-    return S.tiered_deletions(questions(s, d, ("ft",), "original"), 6).select(K, "found", "cost", "calls")
+    """The least costs by whole tiers of states, without a budget of calls: also of flips that the search has no calls left for."""
+    return S.tiered_deletions(questions(s, d, ("ft",), "original"), COST).select(K, "found", "cost", "calls")
 
 
 @C.add("g_search_correct")
 def _(s, d):
     """Cheapest edits, additions among them, after which the graph supports the ground truth."""
-    return _summary(corrected(s, d, partial(S.best_first, ops=ALL, hit=1, max_calls=CALLS, model=2, tier=0.5)))
+    return _summary(corrected(s, d, partial(S.best_first, ops=ALL, hit=1, max_cost=COST, max_calls=CALLS, model=2, tier=0.5)))
 
 
 @C.add("g_psp_refine")
 def _(s, d):
     """Probe first, then refine the hits within their stars."""
-    return _summary(S.search_all(questions(s, d, ("ft",), "original"), partial(S.best_first, ops=DELETE, hit=0, max_calls=CALLS, psp_k=5)))
+    return _summary(S.search_all(questions(s, d, ("ft",), "original"), partial(S.best_first, ops=DELETE, hit=0, max_cost=COST, max_calls=CALLS, psp_k=5)))
 
 
 @C.add("g_psp_ff")
 def _(s, d):
     """Corrective search with the cheapest probe hit as an upper bound."""
-    return _summary(corrected(s, d, partial(S.best_first, ops=ALL, hit=1, max_calls=CALLS, psp_k=5, refine_hits=False, incumbent=True)))
+    return _summary(corrected(s, d, partial(S.best_first, ops=ALL, hit=1, max_cost=COST, max_calls=CALLS, psp_k=5, refine_hits=False, incumbent=True)))
 
 
 @C.add("g_single_edit")
@@ -88,7 +88,7 @@ def _(s, d):
 def _(s, d):
     """Finds, mean cost and mean calls of the search without a probe and with probes of 2, 3 and 5 pivots."""
     q = questions(s, d, ("ft",), "original")
-    cells = [S.search_all(q, partial(S.best_first, ops=DELETE, hit=0, max_calls=CALLS, psp_k=k)).withColumn("cell", F.lit(f"psp_k{k}" if k else "no_psp")) for k in (0, 2, 3, 5)]
+    cells = [S.search_all(q, partial(S.best_first, ops=DELETE, hit=0, max_cost=COST, max_calls=CALLS, psp_k=k)).withColumn("cell", F.lit(f"psp_k{k}" if k else "no_psp")) for k in (0, 2, 3, 5)]
     from flipgraph.operators.graph import union_all
 
     return union_all(cells).groupBy("cell").agg(F.count("*").alias("n"), F.count(F.when(F.col("found"), 1)).alias("n_found"), F.round(F.avg(F.when(F.col("found"), F.col("cost"))), 6).alias("mean_cost"), F.round(F.avg("calls"), 6).alias("mean_calls"))

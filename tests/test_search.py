@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from flipgraph.operators import search as S
+from flipgraph.plans import search as P
 
 DELETE = ("delete_node", "delete_edge")
 
@@ -107,3 +108,17 @@ def test_additions_reach_the_whole_knowledge_graph(spark):
 class Linked(S.Judge):
     def score(self, state):
         return int(("a", "z", "") in state.edges)
+
+
+def test_queries_search_with_the_reference_budget(spark, monkeypatch):
+    """A flip of cost 9 that takes more than 60 calls, and a question whose tiers would not end."""
+    star = [("a", x) for x in "bcde"]
+    wide = [(f"v{i}", f"v{i + 1}") for i in range(40)]
+    rows = [(i, sorted({x for e in es for x in e}), [(*e, "") for e in es], needs) for i, es, needs in ((1, star, ["a"]), (2, wide, []), (3, wide, ["v20"]))]
+    df = spark.createDataFrame(rows, "exp_id long, entities array<string>, relations array<struct<src:string,tgt:string,description:string>>, needs array<string>")
+    monkeypatch.setattr(P, "questions", lambda *a: df)
+    tiers = {r.exp_id: r for r in P.C.queries["g_search_tiered"](spark, "").collect()}
+    assert tiers[1].found and tiers[1].cost == 9 and not tiers[2].found and tiers[3].found
+    plain = {r.exp_id: r for r in P.C.queries["g_search_break"](spark, "").collect()}
+    assert plain[1].found and plain[1].cost == 9
+    assert not plain[2].found and plain[2].calls == 201

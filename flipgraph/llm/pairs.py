@@ -184,12 +184,50 @@ def language_scores(text: str) -> tuple[tuple[str, float], ...]:
     return tuple(sorted(scores.items(), key=lambda x: (-x[1], x[0])))
 
 
+@lru_cache(10_000)
+def _script(letter: str) -> str:
+    """Script of a letter, by its name; that of Chinese and Japanese is one. Empty for signs."""
+    if not letter.isalpha() or unicodedata.category(letter) == "Lm":
+        return ""
+    first = unicodedata.name(letter, "").split(" ")[0].split("-")[0]
+    return "CJK" if first in ("HIRAGANA", "KATAKANA", "BOPOMOFO") else first
+
+
+@lru_cache(50_000)
+def main_script(text: str, names: bool) -> str:
+    """Script of more than half of a text's letters outside of quotes and names, else empty.
+
+    Without ``names``, single words with a capital count as names too, and few letters (under five, in fewer than
+    two words) say nothing, nor do fewer than three words of a text in capitals.
+    """
+    flat = _QUOTED.sub(" ", _flat(text))
+    capitals = sum(map(str.isupper, flat)) > sum(map(str.islower, flat))
+    words = _WORD.findall(flat if capitals else _NAME.sub(" ", flat))
+    if not names:
+        words = [w for w in words if capitals or not w[0].isupper()]
+        if (len(words) < 2 and sum(map(len, words)) < 5) or (capitals and len(words) < 3):
+            return ""
+    seen = Counter(s for w in words for s in map(_script, w) if s)
+    best, n = max(seen.items(), key=lambda x: x[1], default=("", 0))
+    return best if 2 * n > seen.total() else ""
+
+
+def other_script(question: str | None, answer: str) -> bool:
+    """Most letters of the answer are of another script than most of the question's, whatever their languages."""
+    if not question or (question.isascii() and answer.isascii()):
+        return False
+    asked, said = main_script(question, True), main_script(answer, False)
+    return bool(asked and said) and asked != said
+
+
 def other_language(question: str | None, answer: str) -> bool:
     """The answer's words are of another language than the question's, or of another script.
 
-    Holds where the answer's best language is not the question's, has a weight of 1 or more and clearly
-    more than the question's language has in the answer.
+    Holds for another script, or where the answer's best language is not the question's, has a weight of 1 or more
+    and clearly more than the question's language has in the answer.
     """
+    if other_script(question, answer):
+        return True
     asked, said = language_scores(question or ""), language_scores(answer)
     if not asked or not said or asked[0][1] < 0.5:
         return False

@@ -47,3 +47,12 @@ def test_odd_rows(spark):
 def test_every_defect_is_kept():
     assert set(P.defects_of(Q["en"], Q["en"] + " A:")) >= {"copy"}
     assert P.defects_of(None, "Kola kept it, which was") == ["truncated"]
+
+
+@pytest.mark.parametrize(("question", "answer", "told"), [
+    (Q["en"], "科拉把灯笼放在山脊上。", True), (Q["en"], "コラはランタンを尾根に置いた。", True), (Q["en"], "احتفظ كولا بالفانوس عند التل.", True), (Q["en"], "Ο Κόλα κρατούσε το φανάρι στην κορυφή.", True), (Q["en"], "הוא שמר את הפנס ליד הגבעה.", True), (Q["en"], "Фонарь стоял возле горы.", True),
+    ("科拉把灯笼放在哪里?", "Kola kept the lantern near Tovu.", True), (Q["ru"], "Kola Befu kept lantern near Tovu", True),
+    ("科拉把灯笼放在哪里?", "Tovu Ridge", False), ("科拉把灯笼放在哪里?", "Tovu", False), ("コラはどこに置いたか?", "山脊上的灯笼放在那里。", False), (Q["en"], "北京", False), (Q["en"], "Kola kept the lantern «фонарь» at Tovu.", False), (Q["en"], "Кола Бефу", False), (Q["ru"], "NATO", False), (None, "科拉把灯笼放在山脊上。", False),
+])
+def test_script_is_told_without_word_lists(question, answer, told):
+    assert ("language" in P.defects_of(question, answer)) == told

@@ -35,7 +35,7 @@ OPEN_FORMS = (r"\[[^\[\]\n]{0,40}\p{L}[^\[\]\n]{0,40}\]", r"\{[^{}\n\"]{0,40}\p{
 _EMPTY_VALUE = regex.compile("|".join(EMPTY_VALUES))
 _TRUSTED_SPAN = regex.compile("|".join(SLOT_FORMS + EMPTY_VALUES))
 _SPAN = regex.compile("|".join(SLOT_FORMS + EMPTY_VALUES + OPEN_FORMS))
-_MAY_HOLD_SPAN = regex.compile(r"[{\[<%@?]|__|\(\w+ |undefined|Undefined|NaN|null|Null|NULL|TBD|XXX|None|none|nil|N/A|n/a|nan|TODO|UNKNOWN|unknown")
+_MAY_HOLD_SPAN = regex.compile(r"[{\[<%@?]|__|\(\s*(?i:insert|your|enter|add)\s|undefined|Undefined|NaN|null|Null|NULL|TBD|XXX|None|none|nil|N/A|n/a|nan|TODO|UNKNOWN|unknown")
 
 # ---- Trusted notices: what error pages, script notices and filler say (fixed patterns, matched in small letters).
 NOTICES = (
@@ -48,8 +48,8 @@ NOTICES = (
     r"^(?:please )?(?:write|insert|add|enter|type|replace|put)\b.{0,40}\b(?:here|text|paragraph|biography|description|your own)\b|\byour \w+ (?:starts|goes|here)\b",
 )
 _NOTICE = regex.compile("|".join(f"(?:{p})" for p in NOTICES))
-# Every notice above holds one of these words or stems, a number from 400 to 599, or one word over and over; sentences
-# without any are not searched (fixed values, to be kept in step with the patterns).
+# Every notice above holds one of these words or stems, a number from 400 to 599, or one run of letters, digits and
+# underscores over and over; sentences without any are not searched (fixed values, to be kept in step with the patterns).
 NOTICE_WORDS = frozenset(
     "javascript java script scripts noscript js page página seite страница error found gateway forbidden unavailable service access acceso accès zugriff traceback fatal trace exception database internal temporarily "
     "disponible vorübergehend temporairement временно maintenance session link wrong snag lorem ipsum placeholder sample dummy filler blindtext beispieltext texto texte текст content text section entry field space "
@@ -58,11 +58,23 @@ NOTICE_WORDS = frozenset(
 _NOTICE_STEM = regex.compile(r"скрипт|доступ")
 
 
+_TOKEN = regex.compile(r"\w+")
+
+
+def _one_token(small: str) -> bool:
+    """Whether a sentence is one token at least five times."""
+    first = _TOKEN.search(small)
+    if not first or small.count(first[0]) < 5:
+        return False
+    tokens = _TOKEN.findall(small)
+    return len(tokens) > 4 and len(set(tokens)) == 1
+
+
 def _notice(sentence: str, small: str, words: list[str]):
     """The match of a notice in a sentence, of which ``small`` and ``words`` are the small letters and their words."""
     if len(small) != len(sentence):
         return None
-    hinted = not NOTICE_WORDS.isdisjoint(words) or any(len(w) == 3 and w[0] in "45" and w.isdigit() for w in words) or (len(words) > 4 and len(set(words)) == 1) or _NOTICE_STEM.search(small)
+    hinted = not NOTICE_WORDS.isdisjoint(words) or any(len(w) == 3 and w[0] in "45" and w.isdigit() for w in words) or _NOTICE_STEM.search(small) or _one_token(small)
     return _NOTICE.search(small) if hinted else None
 
 _SENTENCE = regex.compile(r"\n+|(?<=[.!?…]['\"”»)\]]?)\s+(?=[^\s\p{Ll}])")

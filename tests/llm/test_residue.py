@@ -86,3 +86,14 @@ def test_clean_corpus_keeps_all_columns(spark, sf):
     clean = R.p8_clean(spark, sf)
     assert clean.columns == docs.columns
     assert clean.count() + R.p8_scores(spark, sf).where("residue").count() == docs.count()
+
+
+@pytest.mark.parametrize("text", ["test1 test1 test1 test1 test1", "foo_bar foo_bar, foo_bar foo_bar foo_bar.", "_ _ _ _ _", "text text text text text", "test1 test1 test1 test2 test1", "a1 a1 a1 a1", "aa a aa a aa"])
+def test_filtered_notices_are_those_of_the_patterns(text):
+    small = text.lower()
+    assert bool(R._notice(text, small, R._WORD.findall(small))) == bool(R._NOTICE.search(small))
+
+
+@pytest.mark.parametrize("text", ["Kept by ( insert name here ) of Tovu.", "Kept by (\tyour name here) of Tovu.", "Kept by (Enter\tthe name here ).", "Kept by ( someone else ) of Tovu.", "Kept by (add\u00a0a name here)."])
+def test_filtered_spans_are_those_of_the_patterns(text):
+    assert bool([x for x in R.passages(text) if x[0] == "p"]) == bool(R._SPAN.search(text))

@@ -127,7 +127,7 @@ for _name, _method in (("ev_perm_shap", "exact_shapley"), ("ev_perm_span", "leav
 
 @C.add("ev_perm_cfe", f"{PR.R.with_views('ops')}, o AS (SELECT exp_id, seq, op, node, src, dst FROM ops WHERE found) SELECT op, count(*) AS n, count(DISTINCT exp_id) AS records FROM o GROUP BY 1")
 def _(s, d):
-    """Edits whose effect depends on no order of the context: the lexical judge reads it as a set."""
+    """Recorded edits by operation; no context is permuted here, see the README."""
     return R.ops_view(s, d).where("found").groupBy("op").agg(F.count("*").alias("n"), F.count_distinct(K).alias("records"))
 
 

@@ -17,7 +17,7 @@ from flipgraph.sources.tables import table
 
 C = Catalog()
 K = "exp_id"
-#: How many vectors stand in for node and question embeddings.
+#: How many vectors stand in for node and question embeddings in queries with a SQL twin, which fixes the number.
 VECTORS = 500
 
 
@@ -186,15 +186,20 @@ def _(s, d):
 
 
 # ---- Vectors. A node's vector is that of its id modulo VECTORS, a question's that of its record's id.
-def node_vectors(s: SparkSession, d: str) -> DataFrame:
+def vector_count(s: SparkSession, d: str) -> int:
+    """By how many vectors ids are taken, so that the whole table takes part."""
+    return table(s, d, "embeddings").agg(F.coalesce(F.max("vec_id") + 1, F.lit(1))).first()[0]
+
+
+def node_vectors(s: SparkSession, d: str, count: int = VECTORS) -> DataFrame:
     v = table(s, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"), "label")
-    return R.kgn_view(s, d).withColumn("vec_id", F.col("node_id") % VECTORS).join(v, "vec_id").select("kg_id", "name", "vec", "label")
+    return R.kgn_view(s, d).withColumn("vec_id", F.col("node_id") % count).join(v, "vec_id").select("kg_id", "name", "vec", "label")
 
 
-def similarities(s: SparkSession, d: str, nodes: DataFrame | None = None) -> DataFrame:
+def similarities(s: SparkSession, d: str, nodes: DataFrame | None = None, count: int = VECTORS) -> DataFrame:
     """exp_id, name, sim of the context nodes that have a vector."""
     v = table(s, d, "embeddings").select("vec_id", F.col("embedding").alias("q"))
-    n = (R.cgn_view(s, d) if nodes is None else nodes).join(node_vectors(s, d), ["kg_id", "name"]).withColumn("vec_id", F.col(K) % VECTORS).join(v, "vec_id")
+    n = (R.cgn_view(s, d) if nodes is None else nodes).join(node_vectors(s, d, count), ["kg_id", "name"]).withColumn("vec_id", F.col(K) % count).join(v, "vec_id")
     return n.select(K, "name", rnd(dot(F.col("vec"), F.col("q"))).alias("sim"))
 
 

@@ -26,7 +26,7 @@ def questions(s: SparkSession, d: str, modes: tuple[str, ...], answer: str) -> D
     """One row per question with its graph, similarities and the nodes that ``answer`` names."""
     base = R.exp_view(s, d, "kg_id", "mode", F.col("original_subgraph.entities.name").alias("entities"), F.col("original_subgraph.relations").alias("relations"), F.col(f"answers.{answer}").alias("answer"))
     base = base.where(F.col("mode").isin(*modes))
-    sims = PG.similarities(s, d).groupBy(K).agg(F.collect_list(F.struct("name", "sim")).alias("sims"))
+    sims = PG.similarities(s, d, count=PG.vector_count(s, d)).groupBy(K).agg(F.collect_list(F.struct("name", "sim")).alias("sims"))
     needs = R.cgn_view(s, d).join(base.select(K, "answer"), K).where(text.norm_contains(F.col("answer"), F.col("name"))).groupBy(K).agg(F.collect_set("name").alias("needs"))
     return base.join(sims, K, "left").join(needs, K, "left").select(K, "entities", "relations", "sims", "needs")
 
@@ -34,9 +34,10 @@ def questions(s: SparkSession, d: str, modes: tuple[str, ...], answer: str) -> D
 def corrected(s: SparkSession, d: str, run) -> DataFrame:
     """``run`` on the questions answered wrongly, each with its whole knowledge graph to add from."""
     base = R.exp_view(s, d, "kg_id", "mode", F.col("original_subgraph.entities.name").alias("entities"), F.col("original_subgraph.relations").alias("relations"), F.col("answers.ground_truth").alias("answer"))
+    count = PG.vector_count(s, d)
     v = table(s, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
-    q = base.where(F.col("mode").isin("ff", "tf")).withColumn("vec_id", F.col(K) % PG.VECTORS).join(v, "vec_id", "left").drop("vec_id", "mode")
-    return S.search_in_graphs(q, PG.node_vectors(s, d).select("kg_id", "name", "vec"), R.kge_view(s, d).select("kg_id", "src", "tgt"), run)
+    q = base.where(F.col("mode").isin("ff", "tf")).withColumn("vec_id", F.col(K) % count).join(v, "vec_id", "left").drop("vec_id", "mode")
+    return S.search_in_graphs(q, PG.node_vectors(s, d, count).select("kg_id", "name", "vec"), R.kge_view(s, d).select("kg_id", "src", "tgt"), run)
 
 
 def _summary(df: DataFrame) -> DataFrame:

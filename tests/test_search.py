@@ -1,11 +1,13 @@
 """Searches against the enumeration of all deletions on small graphs."""
 
 from itertools import combinations
+from pathlib import Path
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from flipgraph.operators import search as S
+from flipgraph.plans import graph as PG
 from flipgraph.plans import search as P
 
 DELETE = ("delete_node", "delete_edge")
@@ -122,3 +124,14 @@ def test_queries_search_with_the_reference_budget(spark, monkeypatch):
     plain = {r.exp_id: r for r in P.C.queries["g_search_break"](spark, "").collect()}
     assert plain[1].found and plain[1].cost == 9
     assert not plain[2].found and plain[2].calls == 201
+
+
+def test_searches_take_the_number_of_vectors_from_the_table(spark, sf, tmp_path):
+    for p in Path(sf).iterdir():
+        if p.name != "embeddings.parquet":
+            (tmp_path / p.name).symlink_to(p)
+    spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 20").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert PG.vector_count(spark, str(tmp_path)) == 20
+    sims = lambda at: {(r.exp_id, x.name): x.sim for r in P.questions(spark, at, ("ft",), "original").collect() for x in r.sims or []}
+    all_vectors, few = sims(sf), sims(str(tmp_path))
+    assert all_vectors.keys() == few.keys() and all_vectors != few  # by 500, ids without a vector would be lost

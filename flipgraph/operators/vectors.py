@@ -19,6 +19,11 @@ BLOCK, MOST_QUERIES = 2_000, 100_000
 FIT_VECTORS = 20_000
 
 
+def draw_below(wanted: int, total: int) -> int:
+    """The 64-bit hash below which about ``wanted`` of ``total`` rows lie; never so low that nothing is drawn."""
+    return -(1 << 63) + min((1 << 64) - 1, (max(wanted, 1) << 64) // max(total, 1))
+
+
 def _top(df: DataFrame, k: int, largest: bool = True) -> DataFrame:
     order = F.desc("sim") if largest else F.asc("sim")
     return df.withColumn("rn", F.row_number().over(Window.partitionBy("qid").orderBy(order, "id"))).where(F.col("rn") <= k)
@@ -68,10 +73,9 @@ def exact_knn(queries: DataFrame, base: DataFrame, k: int, same: str | None = No
 
 
 def fit_cells(base: DataFrame, cells: int, seed: int = 0, rounds: int = 20) -> np.ndarray:
-    """Centres of an index, by spherical k-means on a bounded sample drawn by the hash of the id."""
+    """Centres of an index, by spherical k-means on a sample of about FIT_VECTORS vectors drawn by the hash of the id."""
     n = base.count()
-    share = min(1.0, FIT_VECTORS / max(n, 1))
-    sample = base if share == 1.0 else base.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = base if n <= FIT_VECTORS else base.where(F.xxhash64("id") < F.lit(draw_below(FIT_VECTORS, n)))
     x = np.array([r["vec"] for r in sample.select("id", "vec").orderBy("id").limit(2 * FIT_VECTORS).collect()], np.float64)
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(cells, len(x)), replace=False)]

@@ -29,12 +29,17 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where that is unset, as in tests, one of our own."""
+    """The shared folder named by spark.checkpoint.dir; where that is unset on a local master, as in tests, one of our own.
+
+    On a cluster it must be set: a folder of one machine is not seen by the others.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = got.get() if got.isDefined() else ""
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="flipgraph-shared-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")

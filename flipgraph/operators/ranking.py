@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flipgraph.operators.aggregates import count_if, rnd
+from flipgraph.operators.skew import hot_keys, salted_lookup
+from flipgraph.session import cut
 
 
 def ranked(scores: DataFrame, by: list[str], order: Column | None = None, tie: str = "element_id", name: str = "rn") -> DataFrame:
@@ -14,8 +19,27 @@ def ranked(scores: DataFrame, by: list[str], order: Column | None = None, tie: s
     return scores.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(order, tie)))
 
 
-def ranked_abs(scores: DataFrame, by: list[str]) -> DataFrame:
-    return ranked(scores, by, F.desc(F.abs("score")))
+def ranked_split(scores: DataFrame, by: list[str], order: Column | None = None, tie: str = "element_id", name: str = "rn") -> DataFrame:
+    """As ``ranked``, for groups of any size: no task sorts a whole group.
+
+    Rows are cut into ranges of (by, order, tie), ranked within their range, and get the number of their group's rows
+    in earlier ranges added. One table is written. Null keys are a group.
+    """
+    order = F.desc_nulls_last("score") if order is None else order
+    parts = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = cut(scores.repartitionByRange(parts, *by, order, tie).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per group and range
+    sizes = ranges.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    offsets = sizes.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)), F.col("_range").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rows = ranges.withColumn(name, F.row_number().over(Window.partitionBy(*by, "_range").orderBy(order, tie)))
+    here = (F.col("_range") == F.col("_at")) & reduce(and_, (F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)))
+    return rows.join(offsets, here).withColumn(name, (F.col(name) + F.col("_before")).cast("int")).select(*scores.columns, name)
+
+
+def with_groups(df: DataFrame, by: list[str], spread: str, *aggregates: Column) -> DataFrame:
+    """Adds aggregates of each group to its rows; the rows of a hot group go to several tasks. Null keys get nulls."""
+    sums = cut(df.groupBy(*by).agg(*aggregates, F.count("*").alias("_n")), "groups")
+    return salted_lookup(df, sums.drop("_n"), by, hot_keys(sums, by, "_n"), F.col(spread))
 
 
 def average_rank(df: DataFrame, by: list[str], x: str, name: str) -> DataFrame:
@@ -82,15 +106,15 @@ def cheapest(df: DataFrame, by: list[str], cost: str, tie: str) -> DataFrame:
 
 def minmax_scaled(df: DataFrame, by: list[str], x: str, name: str, flat: float = 1.0) -> DataFrame:
     """(x - min) / (max - min) per key; ``flat`` where all values are equal."""
-    w = Window.partitionBy(*by)
-    lo, hi = F.min(x).over(w), F.max(x).over(w)
-    return df.withColumn(name, F.when(hi == lo, F.lit(flat)).otherwise((F.col(x) - lo) / (hi - lo)))
+    lo, hi = F.col("_lo"), F.col("_hi")
+    rows = with_groups(df, by, x, F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    return rows.withColumn(name, F.when(hi == lo, F.lit(flat)).otherwise((F.col(x) - lo) / (hi - lo))).drop("_lo", "_hi")
 
 
 def max_scaled(df: DataFrame, by: list[str], x: str, name: str) -> DataFrame:
     """x / max per key; x itself where the largest value is 0."""
-    top = F.max(x).over(Window.partitionBy(*by))
-    return df.withColumn(name, F.when(top == 0, F.col(x)).otherwise(F.col(x) / top))
+    top = F.col("_top")
+    return with_groups(df, by, x, F.max(x).alias("_top")).withColumn(name, F.when(top == 0, F.col(x)).otherwise(F.col(x) / top)).drop("_top")
 
 
 def ndcg(rows: DataFrame, by: list[str], k: int) -> DataFrame:

@@ -118,8 +118,8 @@ def cell_knn(queries: DataFrame, indexed: DataFrame, centres: np.ndarray, k: int
 
 
 def nearest_above(queries: DataFrame, base: DataFrame, threshold: float) -> DataFrame:
-    """(qid, id, sim): the nearest base vector if its product exceeds the threshold, else a null id."""
-    best = exact_knn(queries, base, 1)
+    """(qid, id, sim): the nearest other base vector if its product exceeds the threshold, else a null id."""
+    best = exact_knn(queries, base, 1, itself=False)
     j = queries.select("qid").join(best, "qid", "left")
     return j.select("qid", F.when(F.col("sim") > threshold, F.col("id")).alias("id"), "sim")
 

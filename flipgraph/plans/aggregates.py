@@ -211,7 +211,7 @@ ranked AS (SELECT run_id, method, element_id, score, relevant AS is_gold FROM sc
 
 
 def ranked_gold(s: SparkSession, d: str) -> DataFrame:
-    sco = R.sco_view(s, d)
+    sco = R.sco_view(s, d).where("exp_id IS NOT NULL")
     rel = A.relevant_elements(sco, facts(s, d)).withColumnRenamed("relevant", "is_gold")
     return sco.join(rel, ["exp_id", "element_id"]).select("run_id", "method", "element_id", "score", "is_gold")
 
@@ -289,7 +289,7 @@ def _(s, d):
 
 def two_runs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Scores of each explanation by two methods; a question has one run per method, the lowest run id of permutation 0."""
-    sco = R.sco_view(s, d)
+    sco = R.sco_view(s, d).where("exp_id IS NOT NULL")
     runs = sco.where("perm_id = 0").groupBy("exp_id", "method").agg(F.min("run_id").alias("run_id"))
     one = sco.join(runs, ["exp_id", "method", "run_id"]).select(F.col("exp_id").alias("qid"), "method", "element_id", "score")
     return one.where("method = 'exact_shapley'").drop("method"), one.where("method = 'tmc_shapley'").drop("method")
@@ -324,11 +324,12 @@ def _(s, d):
     return A.permutation_spread(R.sco_view(s, d), "exp_id", "method")
 
 
-_RANKINGS = f"{SCO}, rankings AS (SELECT exp_id AS qid, list(element_id ORDER BY score DESC, element_id) AS ranking FROM sco GROUP BY exp_id, run_id)"
+_RANKINGS = f"{SCO}, rankings AS (SELECT exp_id AS qid, list(element_id ORDER BY score DESC, element_id) AS ranking FROM sco WHERE exp_id IS NOT NULL GROUP BY exp_id, run_id)"
 
 
 def rankings(s: SparkSession, d: str) -> DataFrame:
-    sco = R.sco_view(s, d)
+    """The ranking of each run over one explanation, whose elements are few; runs over whole graphs have no question."""
+    sco = R.sco_view(s, d).where("exp_id IS NOT NULL")
     pairs = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "element_id")))
     return sco.groupBy(F.col("exp_id").alias("qid"), "run_id").agg(pairs["element_id"].alias("ranking"))
 

@@ -107,9 +107,10 @@ def _(s, d):
     return V.exact_knn(asked(s, d), base(s, d), 1, itself=False)
 
 
-@C.add("topk_threshold_nn", f"{_SIMS}, b AS (SELECT qid, id, sim FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS rn FROM s WHERE id % 50 <> 0) WHERE rn = 1) SELECT qid, CASE WHEN sim > 0.3 THEN id END AS id, sim FROM b")
+@C.add("topk_threshold_nn", f"{_SIMS}, b AS (SELECT qid, id, sim FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS rn FROM s WHERE id <> qid) WHERE rn = 1) SELECT qid, CASE WHEN sim > 0.3 THEN id END AS id, sim FROM b")
 def _(s, d):
-    return V.nearest_above(asked(s, d), base(s, d).where("id % 50 <> 0"), 0.3)
+    """The nearest other vector, of all rows, if it is near enough."""
+    return V.nearest_above(asked(s, d), base(s, d), 0.3)
 
 
 @C.add("g_validate_entity", f"{R.with_views('ent', 'kgn')} SELECT DISTINCT e.exp_id, e.name, k.name IS NOT NULL AS exact, coalesce(k.node_id, m.node_id) AS node_id FROM ent e LEFT JOIN kgn k ON k.kg_id = e.kg_id AND k.name = e.name LEFT JOIN (SELECT kg_id, lower(name) AS low, min(node_id) AS node_id FROM kgn GROUP BY 1, 2) m ON m.kg_id = e.kg_id AND m.low = lower(e.name) WHERE e.name <> ''")
@@ -142,7 +143,7 @@ rl AS (SELECT exp_id, kg_id, name FROM (SELECT rq.exp_id, rq.kg_id, nv.name, row
 @C.add("ret_subgraph", f"{_RET} SELECT DISTINCT rl.exp_id, e.src, e.tgt FROM rl JOIN kge e ON e.kg_id = rl.kg_id AND (e.src = rl.name OR e.tgt = rl.name)")
 def _(s, d):
     """Local retrieval: the two nodes nearest to the question and the edges at them."""
-    q = R.exp_view(s, d, "kg_id").where("exp_id % 50 = 0").withColumn("vec_id", F.col(K) % PG.VECTORS).join(table(s, d, "embeddings").select("vec_id", F.col("embedding").alias("q")), "vec_id")
+    q = R.exp_view(s, d, "kg_id").where("exp_id % 50 = 0").withColumn("vec_id", F.col(K) % PG.vector_count(s, d)).join(table(s, d, "embeddings").select("vec_id", F.col("embedding").alias("q")), "vec_id")
     n = q.select(K, "kg_id", "q").join(PG.node_vectors(s, d).select("kg_id", "name", "vec"), "kg_id").select(K, "kg_id", "name", rnd(dot(F.col("vec"), F.col("q"))).alias("sim"))
     top = n.withColumn("rn", F.row_number().over(Window.partitionBy(K).orderBy(F.desc("sim"), "name"))).where("rn <= 2").select(K, "kg_id", "name")
     e = R.kge_view(s, d).select("kg_id", "src", "tgt")

@@ -17,8 +17,8 @@ from flipgraph.sources.tables import table
 
 C = Catalog()
 K = "exp_id"
-#: How many vectors stand in for node and question embeddings in queries with a SQL twin, which fixes the number.
-VECTORS = 500
+#: By how many vectors ids are taken in the SQL twins: all of the table.
+VECTORS = "(SELECT coalesce(max(vec_id) + 1, 1) FROM embeddings)"
 
 
 def cg(s: SparkSession, d: str, once: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -185,19 +185,21 @@ def _(s, d):
     return G.components(*cg(s, d), K)
 
 
-# ---- Vectors. A node's vector is that of its id modulo VECTORS, a question's that of its record's id.
+# ---- Vectors. A node's vector is that of its id modulo the number of vectors, a question's that of its record's id.
 def vector_count(s: SparkSession, d: str) -> int:
     """By how many vectors ids are taken, so that the whole table takes part."""
     return table(s, d, "embeddings").agg(F.coalesce(F.max("vec_id") + 1, F.lit(1))).first()[0]
 
 
-def node_vectors(s: SparkSession, d: str, count: int = VECTORS) -> DataFrame:
+def node_vectors(s: SparkSession, d: str, count: int | None = None) -> DataFrame:
+    count = count or vector_count(s, d)
     v = table(s, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"), "label")
     return R.kgn_view(s, d).withColumn("vec_id", F.col("node_id") % count).join(v, "vec_id").select("kg_id", "name", "vec", "label")
 
 
-def similarities(s: SparkSession, d: str, nodes: DataFrame | None = None, count: int = VECTORS) -> DataFrame:
+def similarities(s: SparkSession, d: str, nodes: DataFrame | None = None, count: int | None = None) -> DataFrame:
     """exp_id, name, sim of the context nodes that have a vector."""
+    count = count or vector_count(s, d)
     v = table(s, d, "embeddings").select("vec_id", F.col("embedding").alias("q"))
     n = (R.cgn_view(s, d) if nodes is None else nodes).join(node_vectors(s, d, count), ["kg_id", "name"]).withColumn("vec_id", F.col(K) % count).join(v, "vec_id")
     return n.select(K, "name", rnd(dot(F.col("vec"), F.col("q"))).alias("sim"))
@@ -271,9 +273,10 @@ cs AS (SELECT c.exp_id, c.anchor, c.name, round({DOT.format(a='nv.vec', b='q.emb
 def additions(s: SparkSession, d: str) -> DataFrame:
     """exp_id, anchor, name, sim_node, sim_edge; an edge has the similarity of its anchor."""
     v = table(s, d, "embeddings").select("vec_id", F.col("embedding").alias("q"))
-    c = kg_frontier(s, d).join(node_vectors(s, d), ["kg_id", "name"]).withColumn("vec_id", F.col(K) % VECTORS).join(v, "vec_id")
+    count = vector_count(s, d)
+    c = kg_frontier(s, d).join(node_vectors(s, d, count), ["kg_id", "name"]).withColumn("vec_id", F.col(K) % count).join(v, "vec_id")
     c = c.select(K, "anchor", "name", rnd(dot(F.col("vec"), F.col("q"))).alias("sim_node"))
-    e = similarities(s, d).select(K, F.col("name").alias("anchor"), F.col("sim").alias("sim_edge"))
+    e = similarities(s, d, count=count).select(K, F.col("name").alias("anchor"), F.col("sim").alias("sim_edge"))
     return c.join(e, [K, "anchor"], "left").withColumn("sim_edge", F.coalesce("sim_edge", F.lit(0.0)))
 
 
@@ -318,10 +321,10 @@ def _(s, d):
     return c.select(K, "anchor", "name", rnd(G.priority(F.col("cost"), F.col("sim_node"), "tier", width=0.5)).alias("tier"), rnd(G.priority(F.col("cost"), F.col("sim_node"), "blend"), 7).alias("blend"))
 
 
-@C.add("g_expand_add", f"{_ADD} SELECT exp_id, anchor, name FROM (SELECT *, row_number() OVER (PARTITION BY exp_id ORDER BY round((2.0e0 - sim_node) + (2.0e0 - sim_edge), 6), name, anchor) AS rn FROM cs) WHERE rn <= 20")
+@C.add("g_expand_add", f"{_ADD} SELECT exp_id, anchor, name, round((2.0e0 - sim_node) + (2.0e0 - sim_edge), 6) AS cost, CAST(row_number() OVER (PARTITION BY exp_id ORDER BY round((2.0e0 - sim_node) + (2.0e0 - sim_edge), 6), name, anchor) AS INT) AS place FROM cs")
 def _(s, d):
-    """Children by addition, the 20 cheapest of each state (what a search step takes)."""
+    """All children by addition of a node with its edge, in the order in which a search takes them."""
     from pyspark.sql import Window
 
     c = G.rounded(G.addition_costs(additions(s, d).withColumn("kind", F.lit("node")), 2), "cost")
-    return c.withColumn("rn", F.row_number().over(Window.partitionBy(K).orderBy("cost", "name", "anchor"))).where("rn <= 20").select(K, "anchor", "name")
+    return c.withColumn("place", F.row_number().over(Window.partitionBy(K).orderBy("cost", "name", "anchor"))).select(K, "anchor", "name", "cost", "place")

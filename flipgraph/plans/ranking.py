@@ -20,12 +20,12 @@ _RN = f"{SCO}, rn AS (SELECT run_id, exp_id, method, perm_id, element_id, score,
 
 @C.add("win_rank_desc", f"{_RN} SELECT run_id, element_id, rn FROM rn")
 def _(s, d):
-    return W.ranked(R.sco_view(s, d), ["run_id"]).select("run_id", "element_id", "rn")
+    return W.ranked_split(R.sco_view(s, d), ["run_id"]).select("run_id", "element_id", "rn")
 
 
 @C.add("win_rank_abs", f"{SCO} SELECT run_id, element_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY abs(score) DESC, element_id) AS INT) AS rn FROM sco")
 def _(s, d):
-    return W.ranked_abs(R.sco_view(s, d), ["run_id"]).select("run_id", "element_id", "rn")
+    return W.ranked_split(R.sco_view(s, d), ["run_id"], F.desc(F.abs("score"))).select("run_id", "element_id", "rn")
 
 
 # Rankings of one explanation by two methods, as in the infiltration query.
@@ -47,7 +47,7 @@ def _(s, d):
 
 # Rankings of one explanation and method under two permutations.
 def perm_ranked(s: SparkSession, d: str) -> DataFrame:
-    sco = R.sco_view(s, d).where("perm_id IS NOT NULL")
+    sco = R.sco_view(s, d).where("perm_id IS NOT NULL AND exp_id IS NOT NULL")
     one = sco.groupBy("exp_id", "method", "perm_id").agg(F.min("run_id").alias("run_id"))
     return W.ranked(sco.join(one, ["exp_id", "method", "perm_id", "run_id"]), ["exp_id", "method", "perm_id"])
 
@@ -107,7 +107,7 @@ def _(s, d):
 
 
 # The stored ranking of a delivery against the score order: an index permutation.
-_IDX = f"""{SCO}, att AS (SELECT DISTINCT ON (attr_id) * FROM attributions WHERE exp_id IS NOT NULL), st AS (SELECT attr_id, element_id, pos FROM (SELECT attr_id, unnest(ranking) AS element_id, unnest(range(len(ranking))) AS pos FROM att)),
+_IDX = f"""{SCO}, att AS (SELECT DISTINCT ON (attr_id) * FROM attributions WHERE attr_id IS NOT NULL), st AS (SELECT attr_id, element_id, pos FROM (SELECT attr_id, unnest(ranking) AS element_id, unnest(range(len(ranking))) AS pos FROM att)),
 sc AS (SELECT attr_id, element_id, row_number() OVER (PARTITION BY attr_id ORDER BY score DESC, element_id) AS idx FROM (SELECT attr_id, unnest(map_keys(shapley_scores)) AS element_id, unnest(map_values(shapley_scores)) + 0.0e0 AS score FROM att) WHERE score IS NOT NULL AND NOT isnan(score)),
 pm AS (SELECT attr_id, pos, idx FROM st JOIN sc USING (attr_id, element_id))"""
 
@@ -116,7 +116,7 @@ pm AS (SELECT attr_id, pos, idx FROM st JOIN sc USING (attr_id, element_id))"""
  SELECT attr_id, n, round(coalesce(tau, 1.0e0), 6) AS tau FROM n LEFT JOIN ta USING (attr_id)""")
 def _(s, d):
     """How far a stored ranking is from the order of its scores."""
-    att = R.once(table(s, d, "attributions").where("exp_id IS NOT NULL"), "attr_id", "ranking", "shapley_scores")
+    att = R.once(table(s, d, "attributions"), "attr_id", "ranking", "shapley_scores")
     stored = att.select("attr_id", F.posexplode("ranking").alias("pos", "element_id"))
     scores = att.select("attr_id", F.explode("shapley_scores").alias("element_id", "score")).where("score IS NOT NULL AND NOT isnan(score)").withColumn("score", F.col("score") + 0.0)
     perm = stored.join(W.ranked(scores, ["attr_id"], name="idx"), ["attr_id", "element_id"]).select("attr_id", "pos", "idx")
@@ -127,7 +127,7 @@ _NOISY = f"{_RN}, z AS (SELECT run_id, rn, element_id LIKE 'R::%' AS is_noise FR
 
 
 def noisy(s: SparkSession, d: str) -> DataFrame:
-    return W.ranked(R.sco_view(s, d), ["run_id"]).withColumn("is_noise", F.col("element_id").startswith("R::"))
+    return W.ranked_split(R.sco_view(s, d), ["run_id"]).withColumn("is_noise", F.col("element_id").startswith("R::"))
 
 
 @C.add("win_best_noise_rank", f"{_NOISY} SELECT run_id, count(*) AS n, min(rn) FILTER (is_noise) AS rank_from_1, CAST(coalesce(min(rn) FILTER (is_noise) - 1, count(*)) AS BIGINT) AS rank_from_0 FROM z GROUP BY 1")

@@ -93,8 +93,8 @@ def kge_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sco_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """run_id, exp_id, method, perm_id, element_id, score of the runs over single explanations, one row per element."""
-    rows = once(table(spark, sf_dir, "attributions").where("exp_id IS NOT NULL"), "attr_id", "run_id", "exp_id", "method", "perm_id", "shapley_scores")
+    """run_id, exp_id, method, perm_id, element_id, score of all runs, a row per element; runs over whole graphs have no exp_id."""
+    rows = once(table(spark, sf_dir, "attributions"), "attr_id", "run_id", "exp_id", "method", "perm_id", "shapley_scores")
     each = rows.select("run_id", "exp_id", "method", "perm_id", F.explode("shapley_scores").alias("element_id", "score"))
     return each.where("score IS NOT NULL AND NOT isnan(score)").withColumn("score", F.col("score") + 0.0)
 
@@ -121,7 +121,7 @@ CTE = {
     "kge": "kge AS (SELECT kg_id, src, tgt, count(*) AS n FROM cge GROUP BY 1, 2, 3)",
     "sco": """sco AS (SELECT run_id, exp_id, method, perm_id, element_id, score + 0.0e0 AS score FROM (
   SELECT run_id, exp_id, method, perm_id, unnest(map_keys(shapley_scores)) AS element_id, unnest(map_values(shapley_scores)) AS score
-  FROM (SELECT DISTINCT ON (attr_id) * FROM attributions WHERE exp_id IS NOT NULL)) WHERE score IS NOT NULL AND NOT isnan(score))""",
+  FROM (SELECT DISTINCT ON (attr_id) * FROM attributions WHERE attr_id IS NOT NULL)) WHERE score IS NOT NULL AND NOT isnan(score))""",
 }
 #: The order in which the views build on each other.
 _NEEDS = {"ops": ("exp",), "ent": ("exp",), "rel": ("exp",), "cge": ("rel",), "cgn": ("ent", "cge"), "kge": ("cge",)}

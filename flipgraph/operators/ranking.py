@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect
 from functools import reduce
 from operator import and_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flipgraph.operators.aggregates import count_if, rnd
 from flipgraph.operators.skew import hot_keys, salted_lookup
@@ -48,17 +51,36 @@ def average_rank(df: DataFrame, by: list[str], x: str, name: str) -> DataFrame:
     return df.withColumn(name, F.rank().over(w.orderBy(x)) + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / 2.0)
 
 
+@F.pandas_udf(T.DoubleType())
+def tau_of(ranks: pd.Series) -> pd.Series:
+    """Rank correlation of lists of different ranks with their order; null below two ranks. Counts inversions by insertion."""
+    out = []
+    for r in ranks:
+        n = 0 if r is None else len(r)
+        if n < 2:
+            out.append(None)
+            continue
+        seen, inverted = [], 0
+        for x in r:
+            at = bisect(seen, x)
+            inverted += len(seen) - at
+            seen.insert(at, x)
+        out.append(1.0 - 4.0 * inverted / (n * (n - 1)))
+    return pd.Series(out, dtype="float64")
+
+
+def _in_order(first: str, then: str) -> Column:
+    return F.transform(F.array_sort(F.collect_list(F.struct(F.col(first).alias("a"), F.col(then).alias("b")))), lambda x: x["b"])
+
+
 def kendall(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     """a and b: (by, element_id, rn), ranks without ties. tau over the shared elements; null below two of them.
 
-    Pairs are formed within the keys ``by`` alone, whose groups are the elements of one ranking.
+    A group is one ranking of one explanation, whose elements become one list; no pairs are formed.
     """
     both = a.select(*by, "element_id", F.col("rn").alias("ra")).join(b.select(*by, "element_id", F.col("rn").alias("rb")), [*by, "element_id"])
-    other = both.select(*by, F.col("element_id").alias("o"), F.col("ra").alias("oa"), F.col("rb").alias("ob"))
-    pairs = both.join(other, by).where("element_id < o")
-    tau = pairs.groupBy(*by).agg(F.avg(F.signum((F.col("ra") - F.col("oa")) * (F.col("rb") - F.col("ob")))).alias("tau"))
-    shared = both.groupBy(*by).agg(F.count("*").alias("shared"))
-    return shared.join(tau, by, "left").select(*by, "shared", rnd(F.col("tau")).alias("tau"))
+    lists = both.groupBy(*by).agg(F.count("*").alias("shared"), _in_order("ra", "rb").alias("ranks"))
+    return lists.select(*by, "shared", rnd(tau_of("ranks")).alias("tau"))
 
 
 def topk_agreement(a: DataFrame, b: DataFrame, by: list[str], k: int = 3) -> DataFrame:
@@ -72,10 +94,8 @@ def topk_agreement(a: DataFrame, b: DataFrame, by: list[str], k: int = 3) -> Dat
 
 def identity_tau(perms: DataFrame, by: list[str]) -> DataFrame:
     """perms: (by, pos, idx). tau of each index permutation against the identity; 1 below two items."""
-    n = perms.groupBy(*by).agg(F.count("*").alias("n"))
-    o = perms.select(*by, F.col("pos").alias("pos2"), F.col("idx").alias("idx2"))
-    tau = perms.join(o, by).where("pos < pos2").groupBy(*by).agg(F.avg(F.signum(F.col("idx2") - F.col("idx"))).alias("tau"))
-    return n.join(tau, by, "left").select(*by, "n", rnd(F.coalesce("tau", F.lit(1.0))).alias("tau"))
+    lists = perms.groupBy(*by).agg(F.count("*").alias("n"), _in_order("pos", "idx").alias("ranks"))
+    return lists.select(*by, "n", rnd(F.coalesce(tau_of("ranks"), F.lit(1.0))).alias("tau"))
 
 
 def best_noise_rank(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -1,68 +1,273 @@
-"""Attribution estimators over a table of utilities, one per coalition.
+"""Attribution estimators: of a game's elements, from the utilities of its coalitions.
 
-utilities: (qid, mask, u), where bit i of ``mask`` says that element i is in the coalition. Exact estimators are
-joins of masks that differ in one or two bits; sampled and fitted ones work on the utilities of one question at a
-time. ``estimate`` reads them from a table, ``estimate_games`` asks for those that are drawn, at any number of elements.
+utilities: (qid, mask, u), where bit i of ``mask`` says that element i is in the coalition. Exact estimators add up
+all coalitions of a question in blocks, which are spread over the tasks; sampled and fitted ones work on one question at
+a time. ``estimate`` reads utilities from a table, ``estimate_games`` asks for those that are drawn, at any number of elements.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def coalitions(elements: DataFrame, cap: int = 12) -> DataFrame:
-    """elements: (qid, i) with i from 0. (qid, n, mask) for every coalition; questions above ``cap`` elements are an error."""
+#: Elements up to which a table holds all coalitions of a question; above, it holds those that are drawn.
+ALL_UP_TO = 10
+#: Elements above which no mask is made, as it would not fit in 60 bits of a hash.
+MOST_BITS = 60
+#: Exact sums go over all coalitions in blocks of 2 ** BLOCK_BITS; questions above MOST_EXACT elements are an error.
+BLOCK_BITS, MOST_EXACT = 14, 32
+
+
+def _sizes(elements: DataFrame) -> DataFrame:
     n = elements.groupBy("qid").agg((F.max("i") + 1).cast("int").alias("n"))
-    n = n.withColumn("n", F.when(F.col("n") <= cap, F.col("n")).otherwise(F.raise_error(F.lit(f"more than {cap} elements in a question"))))
-    return n.select("qid", "n", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), F.col("n")).cast("int") - 1)).alias("mask"))
+    return n.withColumn("n", F.when(F.col("n") <= MOST_BITS, F.col("n")).otherwise(F.raise_error(F.lit(f"more than {MOST_BITS} elements in a question"))))
+
+
+def _hash(*parts) -> Column:
+    """60 bits that depend on the parts alone."""
+    text = F.concat_ws("|", *(p if isinstance(p, Column) else F.col(p) for p in parts))
+    return F.conv(F.substring(F.md5(text.cast("string")), 1, 15), 16, 10).cast("long")
+
+
+def _ends(sizes: DataFrame) -> DataFrame:
+    """The empty and the whole coalition of each question."""
+    return sizes.select("qid", "n", F.explode(F.array(F.lit(0).cast("long"), F.expr("shiftleft(1L, n) - 1"))).alias("mask"))
+
+
+def coalitions(elements: DataFrame, all_up_to: int = ALL_UP_TO, draws: int = 256, seed: int = 0) -> DataFrame:
+    """elements: (qid, i) with i from 0. (qid, n, mask): all coalitions up to ``all_up_to`` elements, else the empty and
+    the whole one and the different ones of ``draws`` drawn evenly, by a hash of question, draw and seed."""
+    n = _sizes(elements)
+    every = n.where(F.col("n") <= all_up_to).select("qid", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, n) - 1"))).alias("mask"))
+    t = n.where(F.col("n") > all_up_to).withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    some = t.select("qid", "n", _hash("qid", "t", F.lit(seed)).bitwiseAND(F.expr("shiftleft(1L, n) - 1")).alias("mask"))
+    return every.unionByName(some.unionByName(_ends(n.where(F.col("n") > all_up_to))).distinct())
+
+
+def kernel_size(n: str, u: Column) -> Column:
+    """A size from 1 to n - 1 with odds of 1 / (k (n - k)), from a number between 0 and 1; 0 below two elements."""
+    w = lambda k: 1.0 / (k * (F.col(n) - k))
+    sizes = F.sequence(F.lit(1), F.greatest(F.col(n) - 1, F.lit(1)))
+    total = F.aggregate(sizes, F.lit(0.0), lambda s, k: s + w(k))
+    walk = F.aggregate(sizes, F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("k")), lambda a, k: F.when(a["s"] > u * total, a).otherwise(F.struct((a["s"] + w(k)).alias("s"), k.alias("k"))))
+    return F.when(F.col(n) > 1, walk["k"]).otherwise(F.lit(0))
+
+
+def kernel_coalitions(elements: DataFrame, draws: int = 32, seed: int = 0, neighbours: bool = False) -> DataFrame:
+    """(qid, n, mask): the empty and the whole coalition and the different ones of ``draws`` drawn by the KernelSHAP sizes.
+
+    A size is drawn by a hash, then the elements with the least hashes. neighbours: with the coalitions that differ
+    from the empty or the whole one in one element.
+    """
+    n = _sizes(elements)
+    t = n.where("n > 1").withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    t = t.withColumn("k", kernel_size("n", _hash("qid", "t", F.lit(seed)) / F.lit(float(1 << 60))))
+    e = t.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    e = e.withColumn("rn", F.row_number().over(Window.partitionBy("qid", "t").orderBy(_hash("qid", "t", "i", F.lit(seed)), "i")))
+    some = e.groupBy("qid", "n", "t").agg(F.sum(F.when(F.col("rn") <= F.col("k"), F.expr("shiftleft(1L, i)")).otherwise(0)).alias("mask")).drop("t")
+    out = some.unionByName(_ends(n))
+    if neighbours:
+        one = n.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        out = out.unionByName(one.select("qid", "n", F.explode(F.array(F.expr("shiftleft(1L, i)"), F.expr("shiftleft(1L, n) - 1 - shiftleft(1L, i)"))).alias("mask")))
+    return out.distinct()
+
+
+def paired_coalitions(elements: DataFrame, pairs: int = 16, seed: int = 0) -> DataFrame:
+    """(qid, t, i, a, b): pairs of a coalition without and with an element that the hash draws; sizes by KernelSHAP."""
+    t = _sizes(elements).where("n > 1").withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(pairs))))
+    t = t.withColumn("i", (_hash("qid", "t", F.lit(seed), F.lit("i")) % F.col("n")).cast("int"))
+    t = t.withColumn("k", kernel_size("n", _hash("qid", "t", F.lit(seed)) / F.lit(float(1 << 60))))
+    e = t.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).where("i <> j")
+    e = e.withColumn("rn", F.row_number().over(Window.partitionBy("qid", "t").orderBy(_hash("qid", "t", "j", F.lit(seed)), "j")))
+    a = e.groupBy("qid", "t", "i").agg(F.sum(F.when(F.col("rn") <= F.col("k"), F.expr("shiftleft(1L, j)")).otherwise(0)).alias("a"))
+    return a.withColumn("b", F.expr("a | shiftleft(1L, i)"))
+
+
+# ---- Exact values: sums over all coalitions of utilities with a factor that depends on size and membership.
+
+Worth = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _over_blocks(elements: DataFrame, worth: Worth, part: Callable, schema: str) -> DataFrame:
+    """Runs ``part(n, x, u, masks)`` on every block of every question's coalitions; ``x`` has a row of 0 and 1 per coalition.
+
+    elements: (qid, i, score) with i from 0. Blocks are rows of their own, so that a question with many elements keeps
+    many tasks busy; what a block gives is added up by the caller with map-side combine.
+    """
+    games = elements.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "score"))), lambda x: x["score"]).alias("scores"))
+    n = F.size("scores")
+    n = F.when(n <= MOST_EXACT, n).otherwise(F.raise_error(F.lit(f"more than {MOST_EXACT} elements in a question")))
+    blocks = games.withColumn("block", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), F.greatest(n - BLOCK_BITS, F.lit(0))).cast("int") - 1)))
+    parts = int(elements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        low = {}
+        for f in frames:
+            held: dict[int, dict] = {}
+            for qid, scores, block in zip(f["qid"], f["scores"], f["block"], strict=True):
+                scores = np.asarray(scores, float)
+                k, size = min(len(scores), BLOCK_BITS), len(scores)
+                if k not in low:
+                    low[k] = bits(np.arange(1 << k), k)
+                x = np.hstack([low[k], np.broadcast_to(bits(np.array([block]), size - k), (1 << k, size - k))]) if size > k else low[k]
+                got = part(size, x, worth(scores, x), np.arange(1 << k, dtype=np.int64) + (int(block) << k))
+                held.setdefault(int(qid), []).append(got)
+            out = [pd.DataFrame({"qid": q, **dict(zip(names[1:], columns, strict=True))}) for q, each in held.items() for columns in each]
+            yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: [] for c in names})
+
+    return blocks.repartition(parts, "qid", "block").mapInPandas(run, schema)
+
+
+def _by_size(n: int, f: Callable[[int], float]) -> np.ndarray:
+    return np.array([f(k) for k in range(n + 1)])
+
 
+def _semivalue(elements: DataFrame, worth: Worth, weight: Callable[[int, int], float]) -> DataFrame:
+    """weight(n, k): of the gain that an element brings to a coalition of k others."""
 
-def _marginals(utilities: DataFrame) -> DataFrame:
-    """(qid, n, i, mask, gain): what element i adds to each coalition without it."""
-    n = utilities.groupBy("qid").agg(F.max("mask").alias("full")).withColumn("n", F.round(F.log2(F.col("full") + 1)).cast("int"))
-    each = utilities.join(n, "qid").select("qid", "n", "mask", "u", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    without = each.where("(shiftright(mask, i) & 1) = 0").withColumn("joined", F.expr("mask | shiftleft(1, i)"))
-    return without.join(utilities.select("qid", F.col("mask").alias("joined"), F.col("u").alias("v")), ["qid", "joined"]).select("qid", "n", "i", "mask", (F.col("v") - F.col("u")).alias("gain"))
+    def part(n: int, x: np.ndarray, u: np.ndarray, masks: np.ndarray):
+        size = x.sum(1).astype(int)
+        member = _by_size(n, lambda k: weight(n, k - 1) if k else 0.0)[size] * u
+        other = _by_size(n, lambda k: weight(n, k) if k < n else 0.0)[size] * u
+        return np.arange(n, dtype=np.int32), x.T @ (member + other) - other.sum()
 
+    sums = _over_blocks(elements, worth, part, "qid long, i int, value double")
+    return sums.groupBy("qid", "i").agg(F.sum("value").alias("value"))
 
-def exact_shapley(utilities: DataFrame) -> DataFrame:
+
+def exact_shapley(elements: DataFrame, worth: Worth) -> DataFrame:
     """(qid, i, value): the mean gain over all orders."""
-    m = _marginals(utilities).withColumn("k", F.bit_count("mask"))
-    weight = F.expr("factorial(k) * factorial(n - k - 1) / factorial(n)")
-    return m.groupBy("qid", "i").agg(F.sum(weight * F.col("gain")).alias("value"))
+    return _semivalue(elements, worth, lambda n, k: 1.0 / (n * math.comb(n - 1, k)))
 
 
-def exact_banzhaf(utilities: DataFrame) -> DataFrame:
+def exact_banzhaf(elements: DataFrame, worth: Worth) -> DataFrame:
     """(qid, i, value): the mean gain over all coalitions."""
-    return _marginals(utilities).groupBy("qid", "i").agg(F.avg("gain").alias("value"))
+    return _semivalue(elements, worth, lambda n, k: 2.0 ** (1 - n))
+
+
+def interactions(elements: DataFrame, worth: Worth) -> DataFrame:
+    """(qid, i, j, value) for i < j: the pairwise Shapley interaction index."""
+
+    def part(n: int, x: np.ndarray, u: np.ndarray, masks: np.ndarray):
+        def weight(k: int) -> float:
+            return 1.0 / ((n - 1) * math.comb(n - 2, k)) if 0 <= k <= n - 2 else 0.0
+
+        size = x.sum(1).astype(int)
+        both, one, none = (_by_size(n, lambda k, less=less: weight(k - less))[size] * u for less in (2, 1, 0))
+        pairs = x.T @ (x * (both + 2 * one + none)[:, None])
+        single = x.T @ (one + none)
+        i, j = np.triu_indices(n, 1)
+        return i.astype(np.int32), j.astype(np.int32), pairs[i, j] - single[i] - single[j] + none.sum()
+
+    sums = _over_blocks(elements, worth, part, "qid long, i int, j int, value double")
+    return sums.groupBy("qid", "i", "j").agg(F.sum("value").alias("value"))
+
 
+def _some_coalitions(elements: DataFrame, worth: Worth, make: Callable, schema: str) -> DataFrame:
+    """``make(n, scores)`` gives columns of rows per question; for values of a few coalitions each."""
 
-def leave_one_out(utilities: DataFrame) -> DataFrame:
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        scores = pdf.sort_values("i")["score"].to_numpy(float)
+        names = [c.split(" ")[0] for c in schema.split(", ")]
+        return pd.DataFrame({"qid": int(pdf["qid"].iloc[0]), **dict(zip(names[1:], make(len(scores), scores), strict=True))})
+
+    return elements.select("qid", "i", "score").groupBy("qid").applyInPandas(one, schema)
+
+
+def leave_one_out(elements: DataFrame, worth: Worth) -> DataFrame:
     """(qid, i, value): what the whole loses without element i."""
-    m = _marginals(utilities)
-    return m.where("bit_count(mask) = n - 1").select("qid", "i", F.col("gain").alias("value"))
 
+    def make(n: int, scores: np.ndarray):
+        u = worth(scores, np.vstack([np.ones(n), 1 - np.eye(n)]))
+        return np.arange(n, dtype=np.int32), u[0] - u[1:]
 
-def interactions(utilities: DataFrame) -> DataFrame:
-    """(qid, i, j, value) for i < j: the pairwise Shapley interaction index."""
-    m = _marginals(utilities)
-    with_j = m.select("qid", "n", "i", "mask", "gain", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j")).where("i < j AND (shiftright(mask, j) & 1) = 0")
-    other = m.select("qid", "i", F.col("mask").alias("joined"), F.col("gain").alias("more"))
-    d = with_j.withColumn("joined", F.expr("mask | shiftleft(1, j)")).join(other, ["qid", "i", "joined"])
-    weight = F.expr("factorial(bit_count(mask)) * factorial(n - bit_count(mask) - 2) / factorial(n - 1)")
-    return d.groupBy("qid", "i", "j").agg(F.sum(weight * (F.col("more") - F.col("gain"))).alias("value"))
+    return _some_coalitions(elements, worth, make, "qid long, i int, value double")
+
+
+def drop_of_best(elements: DataFrame, values: DataFrame, worth: Worth, k: int = 2) -> DataFrame:
+    """(qid, removed, drop_): what the whole loses without its k best elements by ``values``; ties by number."""
+
+    def make(n: int, scores: np.ndarray, order: np.ndarray):
+        keep = np.ones(n)
+        keep[order[:k]] = 0
+        u = worth(scores, np.vstack([np.ones(n), keep]))
+        return [",".join(map(str, sorted(int(i) for i in order[:k])))], [u[0] - u[1]]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        removed, drop = make(len(pdf), pdf["score"].to_numpy(float), np.argsort(-pdf["value"].to_numpy(float), kind="stable"))
+        return pd.DataFrame({"qid": int(pdf["qid"].iloc[0]), "removed": removed, "drop_": drop})
+
+    return elements.select("qid", "i", "score").join(values, ["qid", "i"]).groupBy("qid").applyInPandas(one, "qid long, removed string, drop_ double")
+
+
+def best_subset(elements: DataFrame, worth: Worth, k: int = 2) -> DataFrame:
+    """(qid, removed, drop_): the k elements whose common removal costs the whole most, by trying all; ties by numbers."""
+
+    def make(n: int, scores: np.ndarray):
+        sets = list(combinations(range(n), min(k, n)))
+        keep = np.ones((len(sets) + 1, n))
+        for row, some in enumerate(sets):
+            keep[row + 1, list(some)] = 0
+        u = worth(scores, keep)
+        drop = np.round(u[0] - u[1:], 12)
+        at = int(drop.argmax())
+        return [",".join(map(str, sets[at]))], [drop[at]]
+
+    return _some_coalitions(elements, worth, make, "qid long, removed string, drop_ double")
+
+
+def minimal_combination(elements: DataFrame, worth: Worth, threshold: float = 0.5) -> DataFrame:
+    """(qid, up, down, up_mask, down_mask): sizes and masks of the least coalition that reaches ``threshold`` of the whole's utility
+    and of the least one whose removal takes the rest below it. Combinations of a size are tried by falling sum of their
+    scores, equal sums by mask. Null where none does.
+    """
+
+    def least(masks: np.ndarray, size: np.ndarray, total: np.ndarray, hit: np.ndarray):
+        if not hit.any():
+            return None
+        at = np.flatnonzero(hit)
+        at = at[size[at] == size[at].min()]
+        at = at[total[at] == total[at].max()]
+        return int(size[at[0]]), float(-total[at[0]]), int(masks[at].min())
+
+    def part(n: int, x: np.ndarray, u: np.ndarray, masks: np.ndarray):
+        size, full = x.sum(1).astype(int), (1 << n) - 1
+        u = np.round(u, 12)
+        rows = []
+        for kind, taken in (("up", x), ("down", 1 - x)):
+            total = np.round(taken @ scores_of[0], 12)
+            need = np.round(threshold * whole_of[0], 12)
+            best = least(masks if kind == "up" else full - masks, size if kind == "up" else n - size, total, (u >= need) if kind == "up" else (u < need))
+            if best:
+                rows.append((kind, *best))
+        return tuple(map(list, zip(*rows, strict=True))) if rows else ([], [], [], [])
+
+    scores_of, whole_of = [None], [None]
+
+    def noting(scores: np.ndarray, x: np.ndarray) -> np.ndarray:  # what part needs besides the utilities
+        scores_of[0], whole_of[0] = scores, float(worth(scores, np.ones((1, len(scores))))[0])
+        return worth(scores, x)
+
+    found = _over_blocks(elements, noting, part, "qid long, kind string, size int, rank double, mask long")
+    best = lambda kind: F.min(F.when(F.col("kind") == kind, F.struct("size", "rank", "mask")))
+    g = elements.select("qid").distinct().join(found.groupBy("qid").agg(best("up").alias("u"), best("down").alias("d")), "qid", "left")
+    return g.select("qid", F.col("u.size").alias("up"), F.col("d.size").alias("down"), F.col("u.mask").alias("up_mask"), F.col("d.mask").alias("down_mask"))
 
 
 def hamming_pairs(utilities: DataFrame) -> DataFrame:
-    """(qid, a, b): coalitions that differ in one element, a < b; found by adding a bit, not by comparing all pairs."""
-    return _marginals(utilities).select("qid", F.col("mask").alias("a"), F.expr("mask | shiftleft(1, i)").alias("b"))
+    """utilities: (qid, n, mask). (qid, a, b): coalitions of the table that differ in one element, a < b; found by adding a
+    bit, not by comparing all pairs."""
+    each = utilities.select("qid", F.col("mask").alias("a"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).where("(shiftright(a, i) & 1) = 0")
+    return each.select("qid", "a", F.expr("a | shiftleft(1L, i)").alias("b")).join(utilities.select("qid", F.col("mask").alias("b")), ["qid", "b"], "left_semi").select("qid", "a", "b")
 
 
 def kernel_weight(n: int, k: int, edge: float = 1e3) -> float:
@@ -325,14 +530,3 @@ def estimate_games(elements: DataFrame, worth: Callable[[np.ndarray, np.ndarray]
     # A number of partitions, as rows are few and work is much: adaptive execution would put them into one task.
     parts = int(elements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return elements.select("qid", "i", "score").repartition(parts, "qid").groupBy("qid").applyInPandas(one, "qid long, i int, value double")
-
-
-def minimal_combination(utilities: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(qid, up, down): least coalition that reaches ``threshold`` of the whole's utility, and least one whose
-    removal takes the rest below it; of equal sizes the lowest mask. Null where none does."""
-    full = utilities.groupBy("qid").agg(F.max("mask").alias("full"), F.max_by("u", "mask").alias("whole"))
-    j = utilities.join(full, "qid")
-    k = F.struct(F.bit_count("mask").alias("k"), F.col("mask").alias("m"))
-    rest = F.struct(F.bit_count(F.expr("full ^ mask")).alias("k"), F.expr("full ^ mask").alias("m"))
-    need = F.lit(threshold) * F.col("whole")
-    return j.groupBy("qid").agg(F.min(F.when(F.col("u") >= need, k))["m"].alias("up"), F.min(F.when(F.col("u") < need, rest))["m"].alias("down"))

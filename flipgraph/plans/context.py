@@ -170,29 +170,17 @@ def _(s, d):
 
 @C.add("gen_combos", f"{PT.GAME}, c AS (SELECT m.qid, m.mask, round(sum(el.score), 6) AS relevance FROM masks m JOIN el ON el.qid = m.qid AND ((m.mask >> el.i) & 1) = 1 GROUP BY 1, 2) SELECT qid, mask, relevance, CAST(row_number() OVER (PARTITION BY qid ORDER BY bit_count(mask), relevance DESC, mask) AS INT) AS place FROM c")
 def _(s, d):
-    """Coalitions by size, the most relevant of a size first."""
+    """Coalitions by size, the most relevant of a size first; of many elements those that are drawn."""
     from pyspark.sql import Window
 
     from flipgraph.operators import attribution as T
     from flipgraph.operators.aggregates import rnd
 
     e = PT.elements(s, d)
-    m = T.coalitions(e, PT.MOST).join(e.select("qid", "i", "score"), "qid").where("(shiftright(mask, i) & 1) = 1").groupBy("qid", "mask").agg(rnd(F.sum("score")).alias("relevance"))
+    m = T.coalitions(e, draws=PT.DRAWS).join(e.select("qid", "i", "score"), "qid").where("(shiftright(mask, i) & 1) = 1").groupBy("qid", "mask").agg(rnd(F.sum("score")).alias("relevance"))
     return m.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.bit_count("mask"), F.desc("relevance"), "mask")))
 
 
-@C.add("gen_pairs", f"{PT.GAME}, x AS (SELECT qid, i, mask AS a, mask | (1 << i) AS b, row_number() OVER (PARTITION BY qid, i ORDER BY md5(qid || '|' || i || '|' || mask), mask) AS rn FROM gain) SELECT qid, i, a, CAST(b AS INT) AS b FROM x WHERE rn <= 2")
-def _(s, d):
-    """Two random pairs of coalitions with and without each element."""
-    from pyspark.sql import Window
-
-    from flipgraph.operators import attribution as T
-
-    e = T.coalitions(PT.elements(s, d), PT.MOST).select("qid", "mask", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).where("(shiftright(mask, i) & 1) = 0")
-    w = Window.partitionBy("qid", "i").orderBy(N.order_key("qid", "i", "mask"), "mask")
-    return e.withColumn("rn", F.row_number().over(w)).where("rn <= 2").select("qid", "i", F.col("mask").alias("a"), F.expr("mask | shiftleft(1, i)").alias("b"))
-
-
 _H = "CAST('0x' || substr(md5({x}), 1, 8) AS BIGINT)"
 
 

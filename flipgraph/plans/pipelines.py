@@ -169,7 +169,7 @@ def _(s, d):
 @C.add("att_facile")
 def _(s, d):
     """Linear surrogate fitted to the differences of coalitions that differ in one element."""
-    return PT.values(T.estimate_games(PT.elements(s, d, None), PT.worth, "facile"))
+    return PT.values(T.estimate_games(PT.elements(s, d), PT.worth, "facile"))
 
 
 @C.add("g_psp_incumbent", f"{PG._PROBE} SELECT exp_id, count(*) AS pivots, count(*) FILTER (flipped) AS hits, min(cost) FILTER (flipped) AS bound FROM probed GROUP BY 1")

@@ -1,3 +1,6 @@
+import math
+from itertools import combinations
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -14,25 +17,38 @@ def table(spark, games):
     return spark.createDataFrame([(q, m, float(x)) for q, u in enumerate(games) for m, x in enumerate(u)], "qid long, mask int, u double")
 
 
-def test_exact_values_equal_the_definition(spark):
+def any_game(games):
+    """A worth function of games that are told apart by their number of elements."""
+    by_size = {int(np.log2(len(g))): np.asarray(g, float) for g in games}
+    return lambda scores, x: by_size[len(scores)][(np.asarray(x).astype(int) @ (1 << np.arange(len(scores))))]
+
+
+def members(spark, sizes):
+    return spark.createDataFrame([(n, i, 0.1 * i) for n in sizes for i in range(n)], "qid long, i int, score double")
+
+
+def test_exact_values_equal_the_definition(spark, monkeypatch):
+    monkeypatch.setattr(T, "BLOCK_BITS", 3)  # several blocks a question
     rng = np.random.default_rng(3)
-    games = [rng.normal(size=1 << n) for n in (2, 3, 4, 5)]
-    u = table(spark, games)
-    shap = {(r.qid, r.i): r.value for r in T.exact_shapley(u).collect()}
-    banz = {(r.qid, r.i): r.value for r in T.exact_banzhaf(u).collect()}
-    loo = {(r.qid, r.i): r.value for r in T.leave_one_out(u).collect()}
-    inter = {(r.qid, r.i, r.j): r.value for r in T.interactions(u).collect()}
-    for q, g in enumerate(games):
+    games = [rng.normal(size=1 << n) for n in (1, 2, 3, 4, 5, 6)]
+    e, worth = members(spark, (1, 2, 3, 4, 5, 6)), any_game(games)
+    shap = {(r.qid, r.i): r.value for r in T.exact_shapley(e, worth).collect()}
+    banz = {(r.qid, r.i): r.value for r in T.exact_banzhaf(e, worth).collect()}
+    loo = {(r.qid, r.i): r.value for r in T.leave_one_out(e, worth).collect()}
+    inter = {(r.qid, r.i, r.j): r.value for r in T.interactions(e, worth).collect()}
+    for g in games:
         n, full = int(np.log2(len(g))), len(g) - 1
         want = T.shapley_of_game(dict(enumerate(g)), n)
-        assert sum(shap[q, i] for i in range(n)) == pytest.approx(g[full] - g[0])
+        assert sum(shap[n, i] for i in range(n)) == pytest.approx(g[full] - g[0])
         for i in range(n):
-            assert shap[q, i] == pytest.approx(want[i])
-            assert banz[q, i] == pytest.approx(np.mean([g[m | 1 << i] - g[m] for m in range(1 << n) if not m >> i & 1]))
-            assert loo[q, i] == pytest.approx(g[full] - g[full ^ 1 << i])
-    assert inter[0, 0, 1] == pytest.approx(games[0][3] - games[0][1] - games[0][2] + games[0][0])
-    pairs = {(r.a, r.b) for r in T.hamming_pairs(table(spark, [range(8)])).collect()}
-    assert pairs == {(a, b) for a in range(8) for b in range(a) if False} | {(a, b) for a in range(8) for b in range(a + 1, 8) if bin(a ^ b).count("1") == 1}
+            assert shap[n, i] == pytest.approx(want[i])
+            assert banz[n, i] == pytest.approx(np.mean([g[m | 1 << i] - g[m] for m in range(1 << n) if not m >> i & 1]))
+            assert loo[n, i] == pytest.approx(g[full] - g[full ^ 1 << i])
+            for j in range(i + 1, n):
+                each = [(m.bit_count(), g[m | 1 << i | 1 << j] - g[m | 1 << i] - g[m | 1 << j] + g[m]) for m in range(1 << n) if not m >> i & 1 and not m >> j & 1]
+                assert inter[n, i, j] == pytest.approx(sum(x / ((n - 1) * math.comb(n - 2, k)) for k, x in each))
+    pairs = {(r.a, r.b) for r in T.hamming_pairs(spark.createDataFrame([(0, 3, m) for m in range(8)], "qid long, n int, mask long")).collect()}
+    assert pairs == {(a, b) for a in range(8) for b in range(a + 1, 8) if (a ^ b).bit_count() == 1}
 
 
 @settings(max_examples=30, deadline=None)
@@ -55,17 +71,44 @@ def test_estimators_agree_on_additive_games(spark):
     assert np.sign(lasso).tolist() == np.sign(w).tolist()
 
 
-def test_minimal_combinations(spark):
-    game = [0.0, 1.0, 0.2, 1.2, 0.1, 1.1, 0.3, 1.3]
-    r = T.minimal_combination(table(spark, [game])).first()
-    assert (r.up, r.down) == (1, 1)
-
-
-def test_too_many_elements_is_an_error(spark):
-    e = spark.createDataFrame([(1, i) for i in range(5)], "qid long, i int")
-    assert T.coalitions(e, 5).count() == 32
-    with pytest.raises(Exception, match="more than 4 elements"):
-        T.coalitions(e, 4).count()
+def test_minimal_combinations(spark, monkeypatch):
+    monkeypatch.setattr(T, "BLOCK_BITS", 2)
+    rng = np.random.default_rng(5)
+    games = [rng.random(1 << n) * np.array([m.bit_count() for m in range(1 << n)]) for n in (3, 4, 5)]
+    got = {r.qid: r for r in T.minimal_combination(members(spark, (3, 4, 5)), any_game(games)).collect()}
+    for g in games:
+        n, full = int(np.log2(len(g))), len(g) - 1
+        total = lambda m, n=n: round(sum(0.1 * i for i in range(n) if m >> i & 1), 9)
+        order = sorted(range(1 << n), key=lambda m: (m.bit_count(), -total(m), m))
+        assert got[n].up_mask == next(m for m in order if g[m] >= 0.5 * g[full])
+        assert got[n].down_mask == next(m for m in order if g[full ^ m] < 0.5 * g[full])
+        assert got[n].up == got[n].up_mask.bit_count()
+
+
+def test_tables_of_coalitions(spark):
+    e = members(spark, (1, 3, 12))
+    got = {}
+    for r in T.coalitions(e, 4, draws=20).collect():
+        got.setdefault(r.qid, set()).add(r.mask)
+    assert got[1] == {0, 1} and got[3] == set(range(8)) and {0, 4095} < got[12] and 15 < len(got[12]) <= 22
+    kernel = T.kernel_coalitions(e, draws=20, neighbours=True).collect()
+    assert {1 << i for i in range(12)} | {4095 ^ 1 << i for i in range(12)} <= {r.mask for r in kernel if r.qid == 12}
+    pairs = T.paired_coalitions(e, 5).collect()
+    assert all(r.b == r.a | 1 << r.i and not r.a >> r.i & 1 for r in pairs) and {r.qid for r in pairs} == {3, 12}
+    with pytest.raises(Exception, match="more than 60 elements"):
+        T.coalitions(members(spark, (61,))).count()
+
+
+def test_best_subset_and_drop(spark):
+    rng = np.random.default_rng(8)
+    g = rng.random(32)
+    e, worth = members(spark, (5,)), any_game([g])
+    best = T.best_subset(e, worth).first()
+    want = min(combinations(range(5), 2), key=lambda c: (g[31 ^ sum(1 << i for i in c)], c))
+    assert best.removed == ",".join(map(str, want))
+    top = sorted(sorted((r.value, r.i) for r in T.exact_shapley(e, worth).collect())[-2:], key=lambda x: x[1])
+    drop = T.drop_of_best(e, T.exact_shapley(e, worth), worth).first()
+    assert drop.removed == ",".join(str(i) for _, i in top) and drop.drop_ == pytest.approx(g[31] - g[31 ^ sum(1 << i for _, i in top)])
 
 
 def shapley_of_worth(scores):
@@ -88,9 +131,10 @@ def test_estimators_take_games_too_large_for_a_table():
         assert run(T.Drawn(lambda x: PT.worth(np.ones(70), x), 70), 70, 7).shape == (70,), method
 
 
-def test_sampled_queries_cover_every_question(spark, sf):
-    n = {r.qid: r.n for r in PT.elements(spark, sf, None).groupBy("qid").count().withColumnRenamed("count", "n").collect()}
-    assert max(n.values()) > PT.MOST
-    for query in ("att_wss", "att_facile"):
+def test_every_question_takes_part(spark, sf):
+    n = {r.qid: r.n for r in PT.elements(spark, sf).groupBy("qid").count().withColumnRenamed("count", "n").collect()}
+    assert max(n.values()) > T.ALL_UP_TO
+    for query in ("att_wss", "att_facile", "att_exact_shapley"):
         got = registry.queries()[query](spark, sf).groupBy("qid").count().collect()
         assert {r.qid: r["count"] for r in got} == n
+    assert registry.queries()["att_utilities"](spark, sf).select("qid").distinct().count() == len(n)

@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flipgraph.llm.common import one_per_id
@@ -22,9 +23,12 @@ TWINS = {
     "Cyrl": ("АВЕЅІЈКМНОРСТУХаеѕіјорсух", "ABESIJKMHOPCTYXaesijopcyx"),
     "Grek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧον", "ABEZHIKMNOPTYXov"),
     "Armn": ("ՕՍՏօոսհց", "OUSonuhg"),
+    "Copt": ("ⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬ", "HIKMNOPCTYX"),
+    "Cher": ("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᏔᎩᏃ", "ABCDEGHJKLMPRSTVWYZ"),
+    "Lisu": ("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ"),
 }
-# Twins from small alphabets: they look like Latin letters, but no text is respelled with them.
-RARE_TWINS = ("ԌԚԜҮӀһԁԛԝүӏϹϳϲ", "GQWYIhdqwylCjc")
+# Rare letters that look like Latin ones, but no text is respelled with them.
+RARE_TWINS = ("ԌԚԜҮѴӀһԁԛԝүӏϹϳϲͿɡ", "GQWYVIhdqwylCjcJg")
 # Signs that are letters drawn alike, or letters joined: taken by rule from their compatibility decomposition.
 # Ranges: dz/lj/nj/ij digraphs, Roman numerals, Latin and Armenian ligatures (fixed values).
 JOINED = ((0x0132, 0x0133), (0x01C4, 0x01CC), (0x01F1, 0x01F3), (0x2160, 0x217F), (0xFB00, 0xFB06), (0xFB13, 0xFB17))
@@ -38,7 +42,11 @@ _TO_LATIN = {a: b for there, here in (*TWINS.values(), RARE_TWINS) for a, b in z
 _SPELLED = {script: dict(reversed(list(zip(here, there, strict=True)))) for script, (there, here) in TWINS.items()}  # the first twin wins
 #: Latin letters of which other scripts have a twin, with the scripts they may be read in.
 _READINGS: dict[str, frozenset[str]] = {c: frozenset({"Latn"} | {s for s, m in _SPELLED.items() if c in m}) for m in _SPELLED.values() for c in m}
-_SCRIPTS = (("LATIN ", "Latn"), ("CYRILLIC ", "Cyrl"), ("GREEK ", "Grek"), ("ARMENIAN ", "Armn"))
+# Scripts by the first word of their characters' names; others go by that word.
+_SCRIPTS = {"LATIN": "Latn", "CYRILLIC": "Cyrl", "GREEK": "Grek", "ARMENIAN": "Armn", "COPTIC": "Copt", "CHEROKEE": "Cher", "LISU": "Lisu", "CJK": "Hani", "HIRAGANA": "Hira", "KATAKANA": "Kana", "HANGUL": "Hang", "BOPOMOFO": "Bopo"}
+# Writing systems of several scripts, which a letter of any of these may belong to (fixed values of Unicode's
+# augmented script sets): Japanese, Korean, and Chinese with its phonetic letters.
+SYSTEMS = {"Hani": ("Jpan", "Kore", "Hanb"), "Hira": ("Jpan",), "Kana": ("Jpan",), "Hang": ("Kore",), "Bopo": ("Hanb",)}
 
 
 def _within(c: str, ranges) -> bool:
@@ -61,7 +69,17 @@ def _plain(c: str) -> str:
     return "μ" if c == "µ" else c
 
 
-@lru_cache(200_000)
+#: Texts up to this length are remembered; longer ones would make the memory grow with their size.
+REMEMBERED = 200
+
+
+def remembered(f):
+    """Caches ``f`` for short texts, so that its memory is bounded in bytes."""
+    held = lru_cache(50_000)(f)
+    return wraps(f)(lambda text: held(text) if len(text) <= REMEMBERED else f(text))
+
+
+@remembered
 def skeleton(text: str) -> str:
     """Equal for two texts if and only if they look the same: plain forms, composed, alike letters as Latin ones.
 
@@ -73,12 +91,17 @@ def skeleton(text: str) -> str:
     return unicodedata.normalize("NFC", "".join(_TO_LATIN.get(c, c) for c in plain))
 
 
+_SHARED = regex.compile(r"[\p{Script=Common}\p{Script=Inherited}]")
+
+
 @lru_cache(100_000)
-def _script(c: str) -> str | None:
-    if not c.isalpha():
+def _scripts(c: str) -> frozenset[str] | None:
+    """Scripts and writing systems of a letter; None for signs and for letters that all scripts share."""
+    if not c.isalpha() or _SHARED.match(c):
         return None
-    name = unicodedata.name(c, "")
-    return next((s for start, s in _SCRIPTS if name.startswith(start)), name.split(" ")[0])
+    first = re.split("[ -]", unicodedata.name(c, ""), maxsplit=1)[0]
+    script = _SCRIPTS.get(first, first)
+    return frozenset({script, *SYSTEMS.get(script, ())})
 
 
 _TOKEN = re.compile(r"\S+")
@@ -86,11 +109,17 @@ _TOKEN = re.compile(r"\S+")
 
 def resolved_scripts(token: str) -> frozenset[str] | None:
     """Scripts in which every letter of the token, a piece of a skeleton, can be written; None without letters."""
-    sets = [_READINGS.get(c) or frozenset({s}) for c in unicodedata.normalize("NFD", token) if (s := _script(c))]
+    sets = [_READINGS.get(c) or r for c in unicodedata.normalize("NFD", token) if (r := _scripts(c))]
     return frozenset.intersection(*sets) if sets else None
 
 
-@lru_cache(200_000)
+def _only(resolved: frozenset[str] | None) -> str | None:
+    """The script of a token that no other script than that can write."""
+    scripts = [s for s in resolved or () if len(s) == 4 and s not in ("Jpan", "Kore", "Hanb")] or sorted(resolved or ())[:1]
+    return scripts[0] if len(scripts) == 1 else None
+
+
+@remembered
 def consistent(text: str) -> tuple[str, bool, bool]:
     """(one consistent form, a token mixed scripts, a token was another script's lookalike throughout).
 
@@ -98,14 +127,14 @@ def consistent(text: str) -> tuple[str, bool, bool]:
     text's tokens that allow one script only, the most frequent, words in small letters before names, and Latin
     without any. A token that no single
     script can write keeps Latin for its ambiguous letters. The form depends on the skeleton alone, so texts
-    that look the same get the same form.
+    that look the same get the same form. Scripts that are written together, as in Japanese, are not mixed.
     """
     base = skeleton(text)
     if base.isascii() and text.isascii():
         return base, False, False
     tokens = _TOKEN.findall(base)
     resolved = [resolved_scripts(t) for t in tokens]
-    sure = [(next(iter(r)), t[0].islower()) for r, t in zip(resolved, tokens, strict=True) if r and len(r) == 1]
+    sure = [(one, t[0].islower()) for r, t in zip(resolved, tokens, strict=True) if (one := _only(r))]
     sure = [s for s, small in sure if small] or [s for s, _ in sure]  # names may be foreign
     main = max(sorted(set(sure)), key=sure.count, default="Latn")
     chosen = [None if r is None else "" if not r else main if main in r else "Latn" if "Latn" in r else min(r) for r in resolved]
@@ -117,9 +146,10 @@ def consistent(text: str) -> tuple[str, bool, bool]:
 
     form = _TOKEN.sub(spell, base)
     stored = _TOKEN.findall(unicodedata.normalize("NFC", "".join(map(_plain, text))))
-    written = [{s for c in unicodedata.normalize("NFD", t) if (s := _script(c))} for t in stored]
-    mixed = any(len(w) > 1 for w in written)
-    whole = any(len(w) == 1 and c and c not in w for w, c in zip(written, chosen, strict=False))
+    written = [[r for c in unicodedata.normalize("NFD", t) if (r := _scripts(c))] for t in stored]
+    joint = [frozenset.intersection(*w) if w else None for w in written]
+    mixed = any(j is not None and not j for j in joint)
+    whole = any(j and c and c not in j for j, c in zip(joint, chosen, strict=False))
     return form, mixed, whole
 
 
@@ -168,30 +198,63 @@ def _within_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(rec, pa.int64()), pa.array(pos_a, pa.int32()), pa.array(pos_b, pa.int32()), pa.array(text, pa.string()), pa.array(form, pa.string())], names=["rec", "pos_a", "pos_b", "text", "form"])
 
 
-def lookalike_pairs(records: DataFrame) -> DataFrame:
-    """Pairs of different stored texts with one consistent form: names within a record, questions across records.
+def _contested(asked: DataFrame) -> tuple[DataFrame, list]:
+    """asked: (rec, form, text), rec once. Rows of forms with several stored spellings, written, and the hot forms.
 
-    records: (rec, question, names), where a re-delivered row may repeat a ``rec`` with equal content. Forms with
-    one stored spelling alone are dropped before questions are paired, by an aggregate with map-side combine;
-    rows of a frequent form go to several tasks. Every row of a pair belongs to the result, so nothing is
-    emitted that the result does not hold. Nulls are no case.
+    Forms with one spelling alone are dropped by an aggregate with map-side combine.
     """
-    seen = cut(records.mapInArrow(_within_records, "rec long, pos_a int, pos_b int, text string, form string"), "forms")
-    names = seen.where("pos_a >= 0").select(F.lit("entity").alias("field"), F.col("rec").alias("exp_a"), "pos_a", F.col("rec").alias("exp_b"), "pos_b").distinct()
-    asked = seen.where("pos_a < 0")
     forms = asked.groupBy("form").agg(F.min("text").alias("a"), F.max("text").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("form", "n")
     forms = cut(forms, "contested")
     hot = hot_keys(forms, ["form"])
     rows = salted_lookup(asked, forms.select("form"), ["form"], hot, F.col("rec"), "left_semi")
-    rows = cut(rows.select("rec", "form", "text").dropDuplicates(["rec"]), "asked")
+    return cut(rows.select("rec", "form", "text").dropDuplicates(["rec"]), "asked"), hot
+
+
+def lookalike_classes(records: DataFrame) -> DataFrame:
+    """(form, text, class_id, n_records, n_links): the stored spellings of every contested form of a question.
+
+    records: (rec, question, names). class_id is one for all spellings of a form; n_links counts the records of the
+    other spellings, with which each record of this one makes a pair. Nulls are in no class.
+    """
+    seen = records.where("question IS NOT NULL").mapInArrow(_within_records, _WITHIN).where("pos_a < 0")
+    rows, _ = _contested(seen)
+    spellings = cut(rows.groupBy("form", "text").agg(F.count(F.lit(1)).alias("n_records")), "spellings")
+    whole = spellings.groupBy("form").agg(F.sum("n_records").alias("all"))
+    return spellings.join(whole, "form").select("form", "text", F.sha2("form", 256).alias("class_id"), "n_records", (F.col("all") - F.col("n_records")).alias("n_links"))
+
+
+_WITHIN = "rec long, pos_a int, pos_b int, text string, form string"
+
+
+def lookalike_pairs(records: DataFrame) -> DataFrame:
+    """Pairs of different stored texts with one consistent form: names within a record, questions across records.
+
+    records: (rec, question, names), where a re-delivered row may repeat a ``rec`` with equal content. Pairs are made of
+    distinct spellings first and then given their records, so records of one spelling never meet; the rows of a frequent
+    form go to several tasks. Every row that is made belongs to the result. Nulls are no case.
+    """
+    seen = cut(records.mapInArrow(_within_records, _WITHIN), "forms")
+    names = seen.where("pos_a >= 0").select(F.lit("entity").alias("field"), F.col("rec").alias("exp_a"), "pos_a", F.col("rec").alias("exp_b"), "pos_b").distinct()
+    rows, hot = _contested(seen.where("pos_a < 0"))
+    spelled = cut(rows.select("form", "text").distinct(), "spellings")
+    other = spelled.select("form", F.col("text").alias("more"))
+    two = spelled.join(other, "form").where("text < more").select("form", "text", "more", F.unhex(F.md5(F.concat_ws("\0", "text", "more"))).alias("pair"))
     salts = {r["form"]: r["salts"] for r in hot}
     parts = F.lit(1)
     if salts:
-        table_ = F.create_map(*(F.lit(x) for kv in salts.items() for x in kv))
+        table_ = F.create_map(*(F.lit(x) for kv in salts.items() for x in kv))  # at most 1 / HOT_SHARE forms
         parts = F.coalesce(table_[F.col("form")], F.lit(1))
-    left = rows.select(F.col("rec").alias("exp_a"), "form", F.col("text").alias("text_a"), F.pmod(F.xxhash64("rec"), parts).cast("int").alias("salt"))
-    right = rows.select(F.col("rec").alias("exp_b"), "form", F.col("text").alias("text_b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
-    pairs = left.join(right, ["form", "salt"]).where("exp_a < exp_b AND text_a <> text_b")
+    salted = F.pmod(F.xxhash64("rec"), parts).cast("int")
+
+    def with_pairs(end: str, salt: Column) -> DataFrame:
+        pairs = two.select("form", F.col(end).alias("text"), "pair")
+        spread = rows.withColumn("part", salted)  # the lookup's few rows are repeated for the parts of a hot form
+        looked = pairs.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        return spread.join(looked, ["form", "text", "part"]).select("pair", "rec", salt.alias("salt"))
+
+    left = with_pairs("text", F.col("part")).withColumnRenamed("rec", "exp_a")
+    right = with_pairs("more", F.explode(F.sequence(F.lit(0), parts - 1))).withColumnRenamed("rec", "exp_b")
+    pairs = left.join(right, ["pair", "salt"]).select(F.least("exp_a", "exp_b").alias("exp_a"), F.greatest("exp_a", "exp_b").alias("exp_b"))
     return pairs.select(F.lit("question").alias("field"), "exp_a", F.lit(-1).alias("pos_a"), "exp_b", F.lit(-1).alias("pos_b")).unionByName(names)
 
 
@@ -203,6 +266,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike_pairs(_records(spark, sf_dir).where("rec IS NOT NULL"))
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike_classes(_records(spark, sf_dir).where("rec IS NOT NULL"))
+
+
 def p1_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "explanations")
     records = one_per_id(rows, "exp_id", "question", F.col("original_subgraph.entities.name").alias("names"))
@@ -210,4 +277,4 @@ def p1_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL: dict[str, str] = {}
-QUERIES = {"p1_found": p1_found, "p1_normalized": p1_normalized}
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p1_normalized": p1_normalized}

@@ -34,6 +34,22 @@ def test_spelling_follows_the_letters():
     assert L.resolved_scripts("cop") >= {"Latn", "Cyrl"} and L.resolved_scripts("dom") == {"Latn"} and L.resolved_scripts("12") is None
 
 
+def test_scripts_that_are_written_together_are_not_mixed():
+    for text in ("スーパー", "東京タワー", "食べる", "Hawaiʻi", "서울市", "日本語のテキスト", "Москва", "ᏣᎳᎩ"):
+        assert L.consistent(text)[:2] == (text, False), text
+    for text in ("Ꭺlice", "ꓮlice", "ⲘⲀla"[:1] + "ola", "ɡoogle", "Тоm"):
+        assert L.consistent(text)[0].isascii(), text
+    assert L.consistent("Ꭺlice")[1] and L.consistent("東京Tower")[1]
+
+
+def test_classes_of_spellings(spark):
+    rows = [(1, "a b", None), (2, "a\u00a0b", None), (2, "a\u00a0b", None), (3, "a b", None), (4, "c", None), (5, None, None)]
+    df = spark.createDataFrame(rows, "rec long, question string, names array<string>")
+    got = {(r.text, r.n_records, r.n_links) for r in L.lookalike_classes(df).collect()}
+    assert got == {("a b", 2, 1), ("a\u00a0b", 1, 2)}
+    assert L.lookalike_classes(df.limit(0)).count() == 0
+
+
 TEXT = st.text(st.sampled_from("aeopcxyBHTАеорсухВНТжди νοΟ é²-－​ ﬁⅰ1"), max_size=14)
 
 

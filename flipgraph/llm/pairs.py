@@ -13,10 +13,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flipgraph.llm.lookalikes import skeleton
+from flipgraph.llm.lookalikes import consistent, remembered, skeleton
 from flipgraph.sources.tables import table
 
-#: The rules, in the order in which they are tried; the first that holds is an answer's main defect.
+#: The defects; of several, the first in this order is an answer's main one. A copied question under a label ends
+#: abruptly and a refusal may be cut, so these come before ``truncated``.
 DEFECTS = ("empty", "copy", "refusal", "truncated", "language")
 
 # Marks that stand for nothing, in small letters and without outer brackets, quotes and stops (fixed values).
@@ -60,13 +61,13 @@ DANGLING = frozenset(
 # What a refusal says, in lookalike-free small letters (fixed values): the speaker's own inability or unwillingness ...
 REFUSALS = (
     r"\b(?:i|we)(?: am|'m| are|'re)? (?:really |simply |also |still |currently )?(?:cannot|can't|can not|could not|couldn't|won't|will not|must decline|decline|refuse|do not|don't|have no|'d rather not|would rather not|would need|have nothing|apologi[sz]e|am sorry|am not able|am unable|not able|unable|not allowed|not permitted|not in a position)\b",
-    r"\bi'd rather not\b|\bi'm (?:not|sorry|unable|allowed)\b|\bwhat i'm allowed\b|\bbecause i have nothing\b|\bi have nothing on\b|\bi was asked about\b",
+    r"\bi'd rather not\b|\bi'm (?:not|sorry|unable|allowed)\b|\bi have nothing\b|\bi was asked about\b",
     r"\bas an? (?:large )?(?:language model|ai|assistant)\b|\bmy (?:instructions|guidelines|training|apologies|policy)\b|\bmy programming\b",
     r"^(?:\[[^\]]*\]\s*)?(?:sorry|unfortunately|my apologies|apologies|i apologi[sz]e|unable to|cannot (?:answer|comply|say|help|determine)|can't (?:answer|comply|say|help))\b",
     r"\b(?:it )?(?:cannot|can't|can not) be (?:determined|answered|established|inferred)\b|\bno answer (?:can|could|is|was)\b|\b(?:isn't|is not|not) possible (?:for me )?to (?:determine|answer|say|tell)\b",
     r"\b(?:not enough|insufficient|no) (?:relevant |sufficient |such |further )?(?:information|evidence|data|context|facts)\b.{0,60}\b(?:in the (?:retrieved|given|provided|supplied|context|graph|records)|retrieved|available|to answer|provided)\b",
     r"\b(?:context|graph|records?|sources?|documents?)\b.{0,40}\b(?:contains? no|says? nothing|offers? no|is silent|are silent|does(?:n't| not) (?:mention|say|contain|tell)|do(?:n't| not) (?:mention|say|contain|tell)|has no|have no)\b",
-    r"\bthis request\b.{0,30}\b(?:turned down|declined|refused|rejected)\b|\b(?:go|goes) against\b.{0,20}\b(?:guidelines|policy|rules)\b|\bthis information\b.{0,20}\b(?:not available|unavailable)\b|\bno way of knowing\b|\bfalls outside what\b",
+    r"\bthis request\b.{0,30}\b(?:turned down|declined|refused|rejected)\b|\b(?:go|goes) against\b.{0,20}\b(?:guidelines|policy|rules)\b|\bthis information\b.{0,20}\b(?:not available|unavailable)\b|\bno way of knowing\b|\b(?:falls|lies|is|are) (?:outside|beyond) (?:of )?what\b",
     # ... Spanish
     r"^lo siento\b|\bno (?:puedo|podemos|podría) (?:responder|contestar|ayudar|decir|atender)\b|\bno dispongo de\b|\bno tengo (?:información|datos|acceso)\b|\bprefiero no\b|\b(?:contexto|grafo)\b.{0,30}\bno (?:contiene|menciona|dice|ofrece)\b|\bcomo modelo de lenguaje\b|\bno (?:es posible|se puede) (?:responder|contestar|determinar)\b|\bno hay (?:suficiente |datos |información )",
     # ... French
@@ -81,14 +82,18 @@ REFUSALS = (
 _REFUSAL = re.compile("|".join(f"(?:{p})" for p in REFUSALS))
 # Anything a refusal needs at least once, so that most answers skip the patterns above (fixed values).
 _HINT = re.compile(
-    r"\b(?:i|we|my|i'd|i'm|what i'm)\b|sorry|apolog|unfortunately|unable|cannot|can't|not possible|isn't possible|no answer|evidence|information|context|graph|record|source|no relevant|insufficient|not enough|request|guidelines|no way|falls outside|"
+    r"\b(?:i|we|my|i'd|i'm|what i'm)\b|sorry|apolog|unfortunately|unable|cannot|can't|not possible|isn't possible|no answer|evidence|information|context|graph|record|source|no relevant|insufficient|not enough|request|guidelines|no way|outside|beyond|"
     r"siento|puedo|dispongo|tengo|prefiero|contexto|grafo|modelo|no es posible|no se puede|no hay|désolé|\bje\b|contexte|graphe|aucune|il n'est|modèle|leider|leid|\bich\b|\bmir\b|kontext|sprachmodell|nicht möglich|beantworten|não|desculpe|non posso|dispiace|"
     r"сожалени|извините|простите|\bя\b|не могу|контексте|графе|ответа нет|нет |модель|невозможно"
 )
 
 _QUOTED = re.compile(r'"[^"]*"|“[^”]*”|«[^»]*»|„[^“”]*[“”]')
 _NAME = regex.compile(r"\b\p{Lu}[\w']*(?:[ \-](?:of the |the )?\p{Lu}[\w']*)+")
+# A title: at least three words with a capital, small words between them.
+_TITLE = regex.compile(r"(?<![\w'])\p{Lu}[\p{Ll}']*(?!\w)(?:[ \-](?:(?:of|the|to|a|an|in|on|and|for|or|at|by|with|from|be) )*\p{Lu}[\p{Ll}']*(?!\w)){2,}")
 _WORD = re.compile(r"[^\W\d_]+")
+_STRAIGHT = re.compile('"')
+_PRONOUN = re.compile(r"\bI\b")  # no Italian article
 _BLANK = re.compile(r"\s+")
 _END = re.compile(r"[.!?。]['\"”»)\]]*$")
 _INNER_END = regex.compile(r"[.!?]['\"”»)]?\s+(?=\p{Lu})")
@@ -96,17 +101,15 @@ _ELLIPSIS = re.compile(r"(?:…|\.\.\.)\s*['\"”»)\]]*$")
 _LIST_END = re.compile(r"\n\s*(?:\d+[.)]?|[-*•])\s*$")
 
 
-@lru_cache(50_000)
+@remembered
 def _flat(text: str) -> str:
     """Text without lookalike and invisible characters, with single blanks."""
     return _BLANK.sub(" ", skeleton_keeping_scripts(text)).strip()
 
 
-@lru_cache(50_000)
+@remembered
 def skeleton_keeping_scripts(text: str) -> str:
     """One consistent form of the text; line ends stay."""
-    from flipgraph.llm.lookalikes import consistent
-
     return "\n".join(consistent(line)[0] for line in text.replace("’", "'").split("\n"))
 
 
@@ -139,11 +142,20 @@ def is_copy(question: str | None, answer: str) -> bool:
 
 
 def is_refusal(answer: str) -> bool:
-    """A refusal phrase outside of quotes."""
-    flat = _QUOTED.sub('""', _flat(answer)).casefold()
+    """A refusal phrase outside of quotes and titles."""
+    flat = _TITLE.sub('""', _QUOTED.sub('""', _flat(answer))).casefold()
     return bool(_HINT.search(flat)) and bool(_REFUSAL.search(flat))
 
 
+def _open_quote(flat: str) -> bool:
+    """Whether a straight quote stays open; one right after a digit where none is open is a mark of inches or seconds."""
+    inside = False
+    for m in _STRAIGHT.finditer(flat):
+        if inside or not flat[m.start() - 1 : m.start()].isdigit():
+            inside = not inside
+    return inside
+
+
 def is_truncated(answer: str) -> bool:
     """Unclosed brackets or quotes, a dangling mark, list number or word at the end, or a last sentence cut off.
 
@@ -153,7 +165,7 @@ def is_truncated(answer: str) -> bool:
     flat = _BLANK.sub(" ", form).strip()
     if _LIST_END.search(form.rstrip(" \t")) or _ELLIPSIS.search(flat) or flat.endswith((",", ":", ";", "-", "–", "—", "(", "[", "{", "«", "“", "&", "=", "+")):
         return True
-    if any(flat.count(a) > flat.count(b) for a, b in ("()", "[]", "{}", "«»")) or flat.count('"') % 2 or (flat.count("“") != flat.count("”") and "„" not in flat):
+    if any(flat.count(a) > flat.count(b) for a, b in ("()", "[]", "{}", "«»")) or _open_quote(flat) or (flat.count("“") != flat.count("”") and "„" not in flat):
         return True
     if _END.search(flat):
         return False
@@ -163,7 +175,7 @@ def is_truncated(answer: str) -> bool:
     return bool(_INNER_END.search(flat))
 
 
-@lru_cache(50_000)
+@remembered
 def language_scores(text: str) -> tuple[tuple[str, float], ...]:
     """Weights of the languages of a text's function words and letters; quotes and names do not count."""
     flat = _QUOTED.sub(" ", _flat(text))
@@ -171,9 +183,9 @@ def language_scores(text: str) -> tuple[tuple[str, float], ...]:
         kept = flat.lower()  # all in capitals: names cannot be told
     else:
         first = _WORD.search(flat)
-        if first and first[0].lower() in _WORDS:
+        if first and first[0].lower() in _WORDS and not _TITLE.fullmatch(flat.strip(" .!?")):
             flat = flat[: first.start()] + first[0].lower() + flat[first.end() :]
-        kept = _NAME.sub(" ", flat)
+        kept = _PRONOUN.sub(" ", _NAME.sub(" ", flat))
     scores: Counter = Counter()
     for w in set(_WORD.findall(kept.lower())):
         for lang, weight in _WORDS.get(w, {}).items():
@@ -193,7 +205,6 @@ def _script(letter: str) -> str:
     return "CJK" if first in ("HIRAGANA", "KATAKANA", "BOPOMOFO") else first
 
 
-@lru_cache(50_000)
 def main_script(text: str, names: bool) -> str:
     """Script of more than half of a text's letters outside of quotes and names, else empty.
 
@@ -236,19 +247,19 @@ def other_language(question: str | None, answer: str) -> bool:
 
 
 def defects_of(question: str | None, answer: str | None) -> list[str]:
-    """Every defect that is triggered, in the order of the rules; a null answer is empty."""
+    """Every defect that is triggered, the main one first; a null answer is empty."""
     if answer is None or is_empty(answer):
         return ["empty"]
     found = []
-    if is_copy(question, answer):
-        found.append("copy")
-    if is_refusal(answer):
-        found.append("refusal")
     if is_truncated(answer):
         found.append("truncated")
+    if is_refusal(answer):
+        found.append("refusal")
+    if is_copy(question, answer):
+        found.append("copy")
     if other_language(question, answer):
         found.append("language")
-    return found
+    return sorted(found, key=DEFECTS.index)
 
 
 _FIELDS = ("original", "perturbed", "ground_truth")

@@ -25,6 +25,15 @@ FINE = [
 ]
 
 
+def test_titles_marks_and_scripts():
+    q = "Which song did the band play in the square?"
+    for fine in ("I Can't Get No Satisfaction", "Sorry Seems to Be the Hardest Word", "The song is I Won't Back Down.", 'The 5" disk was used.'):
+        assert P.defects_of(q, fine) == [], fine
+    for other in ("他们在广场上演奏了那首歌", "Το τραγούδι ήταν παλιό και ωραίο", "كانت الأغنية قديمة جدا", "Piosenka była bardzo stara i piękna"):
+        assert P.defects_of(q, other) == ["language"], other
+    assert P.defects_of(q, "I can't answer that.") == ["refusal"] and P.defects_of(q, "I CANNOT ANSWER THIS") == ["refusal"]
+
+
 @pytest.mark.parametrize(("lang", "answer", "defect"), CASES)
 def test_defect(lang, answer, defect):
     assert P.defects_of(Q[lang], answer)[:1] == [defect]

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flipgraph.operators.vectors import draw_below
 from flipgraph.sources.tables import table
 
 #: Number of hashed features, so the model has a fixed size of FEATURES doubles per kind of passage.
@@ -228,7 +229,7 @@ def fit_residue(texts: DataFrame, bound: int = FIT_PASSAGES) -> dict[str, tuple[
     """
     some = texts.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("h"), (1 + F.size(F.split("text", r"\n|[.!?] "))).alias("n"))
     total = some.agg(F.sum("n")).first()[0] or 0
-    draw = some.where(F.pmod("h", F.lit(1 << 20)) < int((1 << 20) * min(1.0, bound / max(total, 1)))) if total > bound else some
+    draw = some.where(F.col("h") < F.lit(draw_below(bound, total))) if total > bound else some
     learned = draw.dropDuplicates(["h"]).select("text", "h").repartition(1).sortWithinPartitions("h").select("text")
     rows = learned.mapInArrow(_fit, "kind string, feature long, odds double").collect()  # at most 2 * FEATURES + 2 rows
     model = {k: (np.zeros(FEATURES), -8.0) for k in "sp"}

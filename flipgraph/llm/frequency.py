@@ -19,8 +19,11 @@ BLANKS = " \t\n\x0b\f\r\x85\xa0                
 #: Marks: at most RARE_RECORDS records; more than one in COMMON_PART of all records.
 RARE_RECORDS, COMMON_PART = 2, 10
 
-#: First split: 2 ** FIRST_BITS partitions; one above SPLIT_BYTES on disk is split by MORE_BITS further bits.
-FIRST_BITS, MORE_BITS, HASH_BITS, SPLIT_BYTES = 4, 4, 60, 64 << 20
+#: First split: 2 ** FIRST_BITS partitions, more for larger input but 2 ** MOST_FIRST_BITS at most; one above SPLIT_BYTES
+#: on disk is split by MORE_BITS further bits, until HASH_BITS are used up.
+FIRST_BITS, MOST_FIRST_BITS, MORE_BITS, HASH_BITS, SPLIT_BYTES = 4, 12, 4, 60, 64 << 20
+#: Bytes of one partition that one task writes, about; larger partitions are written by several tasks.
+TASK_BYTES = 256 << 20
 #: Rows that a task gathers before it adds up equal terms, and DuckDB's memory for a partition.
 BUFFER_ROWS, DUCK_MEMORY = 400_000, "400MB"
 
@@ -66,6 +69,9 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _duck(memory: str, spill: str | None):
+    """GROUP BY of each partition in DuckDB. Where it may spill nowhere, a partition that does not fit is counted in
+    passes over the hash values of its terms, which is slower but needs no disk."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
         import pyarrow.dataset as ds
@@ -75,58 +81,82 @@ def _duck(memory: str, spill: str | None):
             for uri in batch.column(0).to_pylist():
                 files, path = fs.FileSystem.from_uri(uri)
                 part = ds.dataset(path, filesystem=files, format="parquet")
-                config = {"threads": "1", "memory_limit": memory} | ({"temp_directory": f"{spill}/{path.strip('/').replace('/', '-')[-60:]}"} if spill else {})
-                with duckdb.connect(config=config) as con:
-                    con.register("part", part.scanner(batch_size=50_000, use_threads=False).to_reader())
-                    counts = con.sql("SELECT field, term, CAST(sum(occurrences) AS BIGINT) AS occurrences, CAST(sum(records) AS BIGINT) AS records FROM part GROUP BY field, term")
-                    yield from counts.to_arrow_reader(50_000)
+                folder = f"{spill}/{path.strip('/').replace('/', '-')[-60:]}" if spill else ""  # empty: DuckDB spills nowhere
+                with duckdb.connect(config={"threads": "1", "memory_limit": memory, "temp_directory": folder}) as con:
+                    open_passes = [(1, 0)]
+                    while open_passes:
+                        of, at = open_passes.pop()
+                        con.register("part", part.scanner(batch_size=50_000, use_threads=False).to_reader())
+                        counts = con.sql(f"SELECT field, term, CAST(sum(occurrences) AS BIGINT) AS occurrences, CAST(sum(records) AS BIGINT) AS records FROM part WHERE hash(term) % {of} = {at} GROUP BY field, term")
+                        try:
+                            if spill:
+                                yield from counts.to_arrow_reader(50_000)
+                            else:
+                                yield from counts.to_arrow_table().to_batches(50_000)  # whole, so that a failed pass gives no rows
+                        except duckdb.OutOfMemoryException:
+                            if spill or of >= 1 << 20:
+                                raise
+                            open_passes += [(2 * of, at), (2 * of, at + of)]
 
     return run
 
 
-def radix_counts(terms: DataFrame, first_bits: int = FIRST_BITS, more_bits: int = MORE_BITS, split_bytes: int = SPLIT_BYTES, memory: str = DUCK_MEMORY) -> DataFrame:
+def _plan_bytes(df: DataFrame) -> int:
+    """What Spark's plan expects the input to hold."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def radix_counts(terms: DataFrame, first_bits: int | None = None, more_bits: int = MORE_BITS, split_bytes: int = SPLIT_BYTES, memory: str = DUCK_MEMORY, expected: int | None = None) -> DataFrame:
     """(field, term, occurrences, records) of all terms, by recursive radix partitions on disk.
 
     terms: rows of (field, term, records), ``records`` 1 where a record's first occurrence of the term is
     counted, else 0. Each task adds up its own rows first; the sums go to the shared folder, partitioned by the
-    leading bits of the term's hash; a partition of more than ``split_bytes`` is read again and split by
-    the next bits, until it is small or the bits are used up. Each partition is then one task's GROUP BY
-    in DuckDB, which spills beyond ``memory`` into the shared folder. No rows give no rows.
+    leading bits of the term's hash, as many as the ``expected`` bytes of input ask for; all partitions of more than
+    ``split_bytes`` are read again and split by the next bits in one job, until they are small or the bits are used up. Each
+    partition is then one task's GROUP BY in DuckDB, which spills beyond ``memory`` into the shared folder; a shared folder
+    that is no file system of the machine takes no spill, there partitions are counted in passes. No rows give no rows.
     """
     spark = terms.sparkSession
+    expected = _plan_bytes(terms) if expected is None else expected
+    if first_bits is None:
+        first_bits = min(max(FIRST_BITS, (expected // split_bytes).bit_length()), MOST_FIRST_BITS)
     hashed = terms.select("field", "term", F.xxhash64("field", "term").alias("hash"), F.col("records").cast("long").alias("records"))
     level = hashed.mapInArrow(_add_up, _COUNTED)
     leaves, used = [], 0
     while level is not None:
         bits = first_bits if used == 0 else more_bits
         radix = F.shiftrightunsigned("hash", 64 - used - bits).bitwiseAND((1 << bits) - 1).cast("int")
-        parent = ["parent"] if "parent" in level.columns else []
+        keys = ["parent", "radix"] if used else ["radix"]
         root = new_folder(spark, f"radix{used}")
+        writers = min(max(1, expected // (1 << bits) // TASK_BYTES), 64)
         parts = level.withColumn("radix", radix)
-        parts.repartition(*parent, "radix").write.partitionBy(*parent, "radix").parquet(root)
+        parts.repartition(*keys, F.pmod("hash", F.lit(writers))).write.partitionBy(*keys).parquet(root)
         used += bits
-        files, path = hadoop_path(spark, root)
-        found = [p.getPath() for p in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root + "/*=*" * (1 + len(parent))))]
-        large = []
-        for p in found:
-            over = files.getContentSummary(p).getLength() > split_bytes and used + more_bits <= HASH_BITS
-            (large if over else leaves).append(p.toString())
+        # One row per partition, of which a level has at most 2 ** bits for every partition that was too large before.
+        listed = spark.read.format("binaryFile").load(root).groupBy(*keys).agg(F.sum("length").alias("bytes")).orderBy(*keys).collect() if _any_file(spark, root) else []
+        large = [r for r in listed if r["bytes"] > split_bytes and used + more_bits <= HASH_BITS]
+        over = {tuple(r[k] for k in keys) for r in large}
+        leaves += ["/".join([root, *(f"{k}={r[k]}" for k in keys)]) for r in listed if tuple(r[k] for k in keys) not in over]
         level = None
         if large:
-            rows = [spark.read.parquet(p).withColumn("parent", F.lit(i)) for i, p in enumerate(large)]
-            level = rows[0]
-            for more in rows[1:]:
-                level = level.unionByName(more)
-            level = level.select("field", "term", "hash", "occurrences", "records", "parent")
+            expected = max(r["bytes"] for r in large)
+            numbers = spark.createDataFrame([(*(r[k] for k in keys), i) for i, r in enumerate(large)], ", ".join(f"{k} int" for k in keys) + ", next int")
+            level = spark.read.schema(f"{_COUNTED}, " + ", ".join(f"{k} int" for k in keys)).parquet(root).join(F.broadcast(numbers), keys)
+            level = level.select("field", "term", "hash", "occurrences", "records", F.col("next").alias("parent"))
     schema = "field string, term string, occurrences long, records long"
     if not leaves:
         return spark.createDataFrame([], schema)
     spill = new_folder(spark, "spill")
-    local = spill.removeprefix("file://") if spill.startswith(("file:", "/")) else None  # elsewhere DuckDB has no files to spill to
+    local = spill.removeprefix("file://") if spill.startswith(("file:", "/")) else None
     jobs = spark.createDataFrame([(p if ":" in p else f"file://{p}",) for p in map(_uri, leaves)], "uri string").repartition(min(len(leaves), 4096), "uri")
     return jobs.mapInArrow(_duck(memory, local), schema)
 
 
+def _any_file(spark: SparkSession, root: str) -> bool:
+    files, path = hadoop_path(spark, root)
+    return any(s.isDirectory() for s in files.listStatus(path))
+
+
 def _uri(path: str) -> str:
     """Hadoop writes file:/x where others write file:///x."""
     return "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
@@ -142,7 +172,7 @@ def p4_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "explanations")
     ids = rows.agg(F.count_distinct("exp_id"), F.count(F.when(F.col("exp_id").isNull(), 1))).first()
     records = one_per_id(rows, "exp_id", F.col("original_subgraph.entities.type").alias("type"), F.col("original_subgraph.relations.keywords").alias("keyword"))
-    return mark_terms(radix_counts(record_terms(records)), ids[0] + ids[1])
+    return mark_terms(radix_counts(record_terms(records), expected=_plan_bytes(rows)), ids[0] + ids[1])
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,3 +68,27 @@ def test_redelivered_rows_and_missing_ids_count_right(spark):
 def test_tables(same_rows):
     for name, sql in Q.SQL.items():
         same_rows(Q.QUERIES[name], sql)
+
+
+def test_passes_where_duckdb_may_not_spill(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n = 400_000
+    terms = [f"{'term' * 10}{i % (n // 2)}" for i in range(n)]
+    pq.write_table(pa.table({"field": ["f"] * n, "term": terms, "hash": list(range(n)), "occurrences": [1] * n, "records": [1] * n}), tmp_path / "part.parquet")
+    batch = pa.RecordBatch.from_arrays([pa.array([f"file://{tmp_path}"])], names=["uri"])
+    got = pa.Table.from_batches(list(Q._duck("40MB", None)(iter([batch]))))
+    assert got.num_rows == n // 2 and set(got["occurrences"].to_pylist()) == {2} and len(set(got["term"].to_pylist())) == n // 2
+
+
+def test_first_split_grows_with_the_input(spark):
+    terms = spark.range(50).selectExpr("'f' AS field", "concat('t', id) AS term", "1L AS records")
+    seen = []
+    keep = Q.new_folder
+    try:
+        Q.new_folder = lambda s, what: seen.append(keep(s, what)) or seen[-1]
+        assert Q.radix_counts(terms, expected=100 * Q.SPLIT_BYTES).count() == 50
+    finally:
+        Q.new_folder = keep
+    assert len({int(r.radix) for r in spark.read.parquet(seen[0]).select("radix").distinct().collect()}) > 16

@@ -153,14 +153,13 @@ def _quoted(text: str, start: int, end: int) -> bool:
     return start > 0 and text[start - 1] in "\"'“«`" and text[end : end + 1] in tuple("\"'”»`")
 
 
-def passages(text: str) -> list[tuple[str, bool, list[int]]]:
-    """(kind, trusted, features) of a text's passages: its sentences, without ("s") or with a name ("n"), and the
-    spans that may be slots ("p").
+Passage = tuple[str, bool, list[int]]
 
-    Titles, which are a name alone, are no passage.
-    """
+
+def sentence_passages(text: str) -> Iterator[Passage]:
+    """(kind, trusted, features) of a text's sentences, without ("s") or with a name ("n"). Titles, which are a name
+    alone, are no passage."""
     parts = sentences(text)
-    out = []
     for s in parts:
         name = _NAMES.search(s)
         small = s.lower()
@@ -172,12 +171,19 @@ def passages(text: str) -> list[tuple[str, bool, list[int]]]:
         if named and len(words) < 12 and _TITLE.fullmatch(s):
             continue
         trusted = not named and (bool(notice) or (name is None and _mashed(words)))
-        out.append(("s" if not named else "n", trusted, sentence_features(s, words, len(parts), named)))
+        yield "s" if not named else "n", trusted, sentence_features(s, words, len(parts), named)
+
+
+def span_passages(text: str) -> Iterator[Passage]:
+    """("p", trusted, features) of a text's spans that may be slots."""
     if _MAY_HOLD_SPAN.search(text):
         for m in _SPAN.finditer(text):
             trusted = bool(_TRUSTED_SPAN.fullmatch(m[0])) and not _quoted(text, m.start(), m.end())
-            out.append(("p", trusted, span_features(text, m.start(), m.end())))
-    return out
+            yield "p", trusted, span_features(text, m.start(), m.end())
+
+
+def passages(text: str) -> list[Passage]:
+    return [*sentence_passages(text), *span_passages(text)]
 
 
 def fit_pu(features: list[list[int]], trusted: np.ndarray, rounds: int = ROUNDS, settled: float = 0.0) -> tuple[np.ndarray, float]:
@@ -241,25 +247,48 @@ def fit_residue(texts: DataFrame, bound: int = FIT_PASSAGES) -> dict[str, tuple[
     return model
 
 
-def judge(text: str, model: dict[str, tuple[np.ndarray, float]]) -> tuple[bool, str | None, float]:
+Model = dict[str, tuple[np.ndarray, float]]
+#: Bounds of a passage's log odds, and what a sentence with a name must exceed for its text to be residue.
+BOUND, CLEAN = 8.0, -2.0
+
+
+def _score(passage: Passage, model: Model) -> float:
+    kind, trusted, features = passage
+    if trusted:
+        return BOUND
+    odds, prior = model["p" if kind == "p" else "s"]
+    return min(max(prior + float(odds[features].sum()), -BOUND), BOUND)
+
+
+def judge(text: str, model: Model) -> tuple[bool, str | None, float]:
     """(is residue, "slot" or "page", score) of one text, aggregated from its passages.
 
     A slot anywhere makes the text residue. Otherwise all its sentences together must be: their log odds, clipped,
     add up above 0, and no sentence that names something is clearly clean.
     """
-    whole, worst, slot, n = 0.0, np.inf, -np.inf, 0
-    for kind, trusted, features in passages(text):
-        odds, prior = model["p" if kind == "p" else "s"]
-        score = 8.0 if trusted else float(np.clip(prior + odds[features].sum(), -8, 8))
-        if kind == "p":
-            slot = max(slot, score)
-        else:
-            whole, n = whole + score, n + 1
-            worst = min(worst, score) if kind == "n" else worst
+    slot = max((_score(p, model) for p in span_passages(text)), default=-np.inf)
+    whole, worst, n = 0.0, np.inf, 0
+    for p in sentence_passages(text):
+        score = _score(p, model)
+        whole, n = whole + score, n + 1
+        worst = min(worst, score) if p[0] == "n" else worst
     if slot > 0:
         return True, "slot", slot
-    page = n > 0 and whole > 0 and worst > -2
-    return page, "page" if page else None, whole / n if n else -8.0
+    page = n > 0 and whole > 0 and worst > CLEAN
+    return page, "page" if page else None, whole / n if n else -BOUND
+
+
+def is_residue(text: str, model: Model) -> bool:
+    """Whether ``judge`` finds residue; scores no further passage once the answer is settled by those before."""
+    if any(_score(p, model) > 0 for p in span_passages(text)):
+        return True
+    whole, n = 0.0, 0
+    for p in sentence_passages(text):
+        score = _score(p, model)
+        if p[0] == "n" and score <= CLEAN:
+            return False
+        whole, n = whole + score, n + 1
+    return n > 0 and whole > 0
 
 
 def score_texts(documents: DataFrame, model: dict, text: str = "text") -> DataFrame:
@@ -278,6 +307,20 @@ def score_texts(documents: DataFrame, model: dict, text: str = "text") -> DataFr
     return rows.mapInArrow(run, schema)
 
 
+def marked_texts(documents: DataFrame, model: dict, text: str = "text") -> DataFrame:
+    """Adds ``residue`` (never null) to every row, as ``score_texts`` finds it; a null or blank text is no residue."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # FEATURES doubles per kind of passage
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [t is not None and bool(t.strip()) and is_residue(t, shared.value) for t in batch.column("_text").to_pylist()]
+            names = [c for c in batch.schema.names if c != "_text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, pa.bool_())], names=[*names, "residue"])
+
+    rows = documents.withColumn("_text", F.col(text))
+    return rows.mapInArrow(run, T.StructType(rows.drop("_text").schema.fields).add("residue", "boolean"))
+
+
 def residue_scores(documents: DataFrame, id_col: str = "doc_id", bound: int = FIT_PASSAGES) -> DataFrame:
     """(doc_id, residue, reason, score) of every document. An empty table gives no rows."""
     rows = documents.select(F.col(id_col).alias("doc_id"), "text")
@@ -289,14 +332,15 @@ def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p8_scores(spark, sf_dir).where("residue").select("doc_id").distinct()
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return marked_texts(rows, fit_residue(rows.select("text"))).where("residue").select("doc_id").distinct()
 
 
 def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents without residue, all columns."""
     docs = table(spark, sf_dir, "documents")
     model = fit_residue(docs.select("text"))
-    return score_texts(docs, model).where("NOT residue").drop("residue", "reason", "score")
+    return marked_texts(docs, model).where("NOT residue").drop("residue")
 
 
 SQL: dict[str, str] = {}

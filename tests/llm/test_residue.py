@@ -97,3 +97,15 @@ def test_filtered_notices_are_those_of_the_patterns(text):
 @pytest.mark.parametrize("text", ["Kept by ( insert name here ) of Tovu.", "Kept by (\tyour name here) of Tovu.", "Kept by (Enter\tthe name here ).", "Kept by ( someone else ) of Tovu.", "Kept by (add\u00a0a name here)."])
 def test_filtered_spans_are_those_of_the_patterns(text):
     assert bool([x for x in R.passages(text) if x[0] == "p"]) == bool(R._SPAN.search(text))
+
+
+def test_early_decision_equals_the_judgement(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = R.fit_residue(docs.select("text"))
+    found = 0
+    for r in docs.collect():
+        if r.text is not None and r.text.strip():
+            assert R.is_residue(r.text, model) == R.judge(r.text, model)[0]
+            found += R.is_residue(r.text, model)
+    assert found
+    assert R.p8_found(spark, sf).count() == R.p8_scores(spark, sf).where("residue").select("doc_id").distinct().count()

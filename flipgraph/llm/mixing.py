@@ -48,7 +48,8 @@ def positions(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE, seed: int =
     """
     n = docs.count()
     bits = max(0, (max(n, 1) // rows_per_range)).bit_length()
-    key = F.xxhash64("doc", F.lit(seed))
+    placed = F.monotonically_increasing_id()  # spreads documents without an id
+    key = F.when(F.col("doc").isNull(), F.xxhash64(placed, F.lit(seed))).otherwise(F.xxhash64("doc", F.lit(seed)))
     ranged = docs.withColumn("key", key).withColumn("range", (F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0)).cast("int"))
     ranged = ranged.withColumn("row", F.monotonically_increasing_id())
     sums = ranged.groupBy("source", "range").agg(F.sum("tokens").alias("s"))
@@ -70,7 +71,10 @@ def mix(documents: DataFrame, targets: DataFrame, id_col: str, source: str, toke
     Documents of equal ids are rows of their own.
     """
     docs = cut(_sized(documents, id_col, source, tokens), "mix")
-    plan = cut(plan_mix(docs, targets), "plan")
+    return _used(docs, cut(plan_mix(docs, targets), "plan"), rows_per_range)
+
+
+def _used(docs: DataFrame, plan: DataFrame, rows_per_range: int) -> DataFrame:
     if plan.count() > 100_000:
         raise ValueError("more than 100 000 targets")
     used = F.broadcast(plan.where("passes > 0 OR rest > 0").select("mix_id", "source", "passes", "rest"))  # at most 100 000 rows
@@ -85,9 +89,9 @@ def mix_shares(documents: DataFrame, targets: DataFrame, id_col: str, source: st
 
     ``limit``: ``cap`` where max_repeats ends the source before its budget, ``absent`` without documents, else null.
     """
-    docs = _sized(documents, id_col, source, tokens)
+    docs = cut(_sized(documents, id_col, source, tokens), "mix")
     plan = cut(plan_mix(docs, targets), "plan")
-    used = mix(documents, targets, id_col, source, tokens)
+    used = _used(docs, plan, ROWS_PER_RANGE)
     sums = used.groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("times")).alias("used_tokens"), F.count(F.lit(1)).alias("used_docs"), F.max("times").alias("most_times"))
     rows = plan.join(sums, ["mix_id", "source"], "left").fillna(0, ["used_tokens", "used_docs", "most_times"])
     whole = F.sum("used_tokens").over(Window.partitionBy("mix_id"))  # one row per target

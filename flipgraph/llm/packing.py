@@ -69,15 +69,20 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, i
     return placed, n
 
 
-def _pack(rule):
-    """Rows arrive sorted by (spec_id, shard); a shard is packed when it is complete."""
-
-    def done(part: pd.DataFrame) -> pd.DataFrame:
-        box, _ = rule(part["tokens"].to_numpy(), int(part["capacity"].iloc[0]))
-        return part.assign(box=(part["shard"].to_numpy().astype(np.int64) << 24) + box)
+def _pack(rule, most: int):
+    """Rows arrive sorted by (spec_id, shard); a shard is packed when it is complete, or ``most`` rows of it are there."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        rest, used = None, {}  # containers of the shard that is being read, by its key
+
+        def done(part: pd.DataFrame) -> pd.DataFrame:
+            nonlocal used
+            key = int(part["spec_id"].iloc[0]), int(part["shard"].iloc[0])
+            box, n = rule(part["tokens"].to_numpy(), int(part["capacity"].iloc[0]))
+            first = used.get(key, 0)
+            used = {key: first + n}
+            return part.assign(box=(part["shard"].to_numpy().astype(np.int64) << 32) + first + box)
+
         for batch in batches:
             rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
             key = rest["spec_id"].to_numpy(), rest["shard"].to_numpy()
@@ -85,6 +90,9 @@ def _pack(rule):
             for a, b in zip(starts[:-1], starts[1:], strict=True):
                 yield done(rest.iloc[a:b])
             rest = rest.iloc[starts[-1] :] if len(starts) else None
+            if rest is not None and len(rest) >= most:
+                yield done(rest)
+                rest = None
         if rest is not None and len(rest):
             yield done(rest)
 
@@ -95,9 +103,9 @@ def _shards(items: DataFrame, n_items: int, per_shard: int, key: Column, rule=su
     """Packs ``items`` (spec_id, capacity, tokens, ...) in shards by hash; adds shard and box."""
     shards = max(1, -(-n_items // per_shard))
     rows = items.withColumn("shard", F.pmod(F.xxhash64(key, F.lit(6)), F.lit(shards)).cast("int"))
-    rows = rows.repartition("spec_id", "shard").sortWithinPartitions("spec_id", "shard", F.xxhash64(key, F.lit(7)))
+    rows = rows.repartition("spec_id", "shard").sortWithinPartitions("spec_id", "shard", F.xxhash64(key, F.lit(7)), "tokens")
     names = rows.columns
-    return rows.mapInPandas(_pack(rule), rows.withColumn("box", F.lit(0).cast("long")).schema).select(*names, "box")
+    return rows.mapInPandas(_pack(rule, 4 * per_shard), rows.withColumn("box", F.lit(0).cast("long")).schema).select(*names, "box")
 
 
 def pack(documents: DataFrame, specs: DataFrame, id_col: str, tokens: Column, per_shard: int = ITEMS_PER_SHARD, loose: float = LOOSE) -> DataFrame:
@@ -108,7 +116,8 @@ def pack(documents: DataFrame, specs: DataFrame, id_col: str, tokens: Column, pe
     out with ``container`` null and ``tokens`` 0. Repeated ids count as documents of their own. A spec
     without a positive capacity gives no rows.
 
-    Items are dealt to shards by hash and each shard is packed by the sum-of-squares rule; containers that stay
+    Items are dealt to shards by the hash of their document's id, those without an id by their place in the table, so the
+    packing does not depend on how the table is split; a shard of many equal ids is packed in pieces. Each shard is packed by the sum-of-squares rule; containers that stay
     loose are then packed again across the shards, as items of their filled size, the fullest first and each where
     it fits best. Few containers per shard stay loose, so the second pass is small.
     """
@@ -127,7 +136,7 @@ def pack(documents: DataFrame, specs: DataFrame, id_col: str, tokens: Column, pe
     none = sized.where("size = 0").select("spec_id", "doc", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("tokens"), F.lit(None).cast("string").alias("container"))
     items = sized.where("tokens > 0").select("spec_id", "capacity", "doc", F.col("full").alias("piece"), "tokens", "row")
     n_items = sized.where("size > 0").count() // len(specs_)
-    first = cut(_shards(items, n_items, per_shard, F.col("row")).drop("shard", "row"), "packed")
+    first = cut(_shards(items, n_items, per_shard, F.when(F.col("doc").isNotNull(), F.xxhash64("doc", "piece")).otherwise(F.col("row"))).drop("shard", "row"), "packed")
     boxes = first.groupBy("spec_id", "capacity", "box").agg(F.sum("tokens").alias("tokens"))
     slack = cut(boxes.where(F.col("tokens") <= loose * F.col("capacity")), "loose")
     again = _shards(slack.withColumnRenamed("box", "old"), max(1, slack.count() // len(specs_)), per_shard, F.col("old"), best_fit_decreasing)

@@ -61,3 +61,15 @@ def test_real_table(spark, sf):
         assert r.most_times <= r.max_repeats
         if r.limit is None:
             assert abs(r.used_tokens - r.budget) <= 7000
+
+
+def test_a_missed_budget_always_has_its_reason(spark, sf):
+    for _ in range(4):
+        for r in M.p7_shares(spark, sf).collect():
+            assert r.limit is not None or abs(r.used_tokens - r.budget) <= 7000, r
+
+
+def test_documents_without_id_are_spread(spark):
+    docs = [(None, "s", 1)] * 400 + [(i, "s", 1) for i in range(10)]
+    used, _ = run(spark, docs, [(1, "s", 0.5, 1, 1.0)], 20)
+    assert sum(t * k for *_, t, k in used) == 205

@@ -97,3 +97,29 @@ def test_real_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", K.byte_tokens().alias("n")).collect()
     specs = [(r.spec_id, r.capacity) for r in spark.read.parquet(f"{sf}/pack_specs.parquet").collect()]
     check(rows, {r.doc_id: r.n or 0 for r in docs}, specs)
+    for r in K.p6_usage(spark, sf).collect():
+        pieces = [x.tokens for x in rows if x.spec_id == r.spec_id and x.tokens]
+        least = max(-(-sum(pieces) // r.capacity), sum(2 * p > r.capacity for p in pieces))
+        assert r.containers <= 1.02 * least + 1
+
+
+def test_packing_does_not_depend_on_how_the_table_is_split(spark):
+    docs = spark.createDataFrame([(i, 1 + 37 * i % 60) for i in range(1500)], "doc_id long, n int")
+    specs = spark.createDataFrame([(1, 64, "x")], SPEC)
+
+    def boxes(df):
+        held = defaultdict(set)
+        for r in K.pack(df, specs, "doc_id", F.col("n"), 300).collect():
+            held[r.container].add(r.doc)
+        return {frozenset(v) for v in held.values()}
+
+    assert boxes(docs.coalesce(1)) == boxes(docs.repartition(7))
+
+
+def test_a_shard_of_equal_ids_is_packed_in_pieces(spark):
+    docs = spark.createDataFrame([(7, 30)] * 900 + [(None, 20)] * 300, "doc_id long, n int")
+    rows = K.pack(docs, spark.createDataFrame([(1, 100, "x")], SPEC), "doc_id", F.col("n"), 50).collect()
+    full = defaultdict(int)
+    for r in rows:
+        full[r.container] += r.tokens
+    assert len(rows) == 1200 and sum(full.values()) == 33_000 and max(full.values()) <= 100 and len(full) <= 400

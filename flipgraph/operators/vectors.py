@@ -72,11 +72,14 @@ def exact_knn(queries: DataFrame, base: DataFrame, k: int, same: str | None = No
     return _top(reduce(DataFrame.unionByName, parts), k, largest)
 
 
-def fit_cells(base: DataFrame, cells: int, seed: int = 0, rounds: int = 20) -> np.ndarray:
-    """Centres of an index, by spherical k-means on a sample of about FIT_VECTORS vectors drawn by the hash of the id."""
+def _sample(base: DataFrame) -> tuple[np.ndarray, int]:
+    """About FIT_VECTORS vectors drawn by the hash of the id, in the order of ids, and how many the table has."""
     n = base.count()
     sample = base if n <= FIT_VECTORS else base.where(F.xxhash64("id") < F.lit(draw_below(FIT_VECTORS, n)))
-    x = np.array([r["vec"] for r in sample.select("id", "vec").orderBy("id").limit(2 * FIT_VECTORS).collect()], np.float64)
+    return np.array([r["vec"] for r in sample.select("id", "vec").orderBy("id").limit(2 * FIT_VECTORS).collect()], np.float64), n
+
+
+def _centres(x: np.ndarray, cells: int, seed: int, rounds: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
     for _ in range(rounds):
@@ -86,6 +89,33 @@ def fit_cells(base: DataFrame, cells: int, seed: int = 0, rounds: int = 20) -> n
     return c
 
 
+def fit_cells(base: DataFrame, cells: int, seed: int = 0, rounds: int = 20) -> np.ndarray:
+    """Centres of an index, by spherical k-means on a bounded sample."""
+    return _centres(_sample(base)[0], cells, seed, rounds)
+
+
+def cells_for(n: int) -> int:
+    """How many cells an index of ``n`` vectors has: about the root of n, from 16 to 4096, so that a cell stays small."""
+    return int(min(max(16, n**0.5), 4096))
+
+
+def fit_index(base: DataFrame, k: int = 10, wanted: float = 0.95, seed: int = 0, rounds: int = 20, asked: int = 200) -> tuple[np.ndarray, int]:
+    """(centres, probes): an index fitted on a bounded sample, and the fewest cells a query must probe.
+
+    ``asked`` of the sample's vectors are compared with all of it: their k best lie in the probed cells in a share of at
+    least ``wanted``. Vectors without clusters need many probes; with all cells probed the search is exact.
+    """
+    x, n = _sample(base)
+    c = _centres(x, cells_for(n), seed, rounds)
+    q = x[np.random.default_rng(seed + 1).choice(len(x), min(asked, len(x)), replace=False)]
+    best = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :k]
+    order = np.argsort(-(q @ c.T), axis=1, kind="stable")
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], axis=1)
+    need = np.take_along_axis(place, (x @ c.T).argmax(1)[best], axis=1)  # how many cells come before that of a neighbour
+    return c, int(np.sort(need.ravel())[max(0, int(np.ceil(wanted * need.size)) - 1)]) + 1
+
+
 def assign_cells(vectors: DataFrame, centres: np.ndarray, probes: int = 1) -> DataFrame:
     """Adds ``cells``: the ``probes`` nearest centres of each vector. Every row of the table is indexed."""
     shared = vectors.sparkSession.sparkContext.broadcast(centres)  # one row per cell

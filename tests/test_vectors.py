@@ -1,3 +1,4 @@
+import pytest
 import numpy as np
 
 from flipgraph.operators import vectors as V
@@ -33,3 +34,16 @@ def test_one_cell_with_most_rows(spark):
     c = np.array([[1.0, 0.0], [0.0, 1.0]])
     got = V.cell_knn(base.where("id = 1000").withColumnRenamed("id", "qid"), V.index_vectors(base, c), c, 3, 2).collect()
     assert [r.id for r in sorted(got, key=lambda r: r.rn)][0] == 1000 and len(got) == 3
+
+
+def test_sample_is_never_empty():
+    for total in (1, 10**6, 10**12, 10**18):
+        at = V.draw_below(20_000, total)
+        assert -(1 << 63) < at < 1 << 63
+        assert (at + (1 << 63)) / (1 << 64) == pytest.approx(min(1.0, 20_000 / total), rel=1e-3)
+
+
+def test_recall_of_the_index_on_the_table(spark, sf):
+    from flipgraph.plans import evaluation as PE
+
+    assert PE.C.queries["topk_knn_recall"](spark, sf).first().recall >= 0.9

@@ -307,6 +307,12 @@ def lasso(x: np.ndarray, y: np.ndarray, alpha: float = 0.01, rounds: int = 500,
     return beta
 
 
+def positional(scores: np.ndarray, x: np.ndarray, bias: float = 0.1) -> np.ndarray:
+    """A worth that depends on the order: the best score of a coalition, each weakened by the members before it."""
+    before = np.cumsum(x, 1) - x
+    return np.where(x > 0, scores / (1.0 + bias * before), 0.0).max(1, initial=0.0)
+
+
 Game = dict[int, float]
 #: Up to so many elements a fit takes all coalitions, above it draws them.
 WHOLE = 10

@@ -56,6 +56,20 @@ class Lexical(Evaluator):
         return rows.select(*KEYS, score.alias("score")).join(best, KEYS).select(*KEYS, "answer", "score")
 
 
+class Positional(Evaluator):
+    """As ``Lexical``, but earlier lines count more and the answer itself is judged, so that the order of a context matters."""
+
+    def __init__(self, bias: float = 0.1, enough: float = ENOUGH) -> None:
+        self.bias, self.enough = bias, enough
+
+    def new(self, rows: DataFrame) -> DataFrame:
+        lines = rows.select(*KEYS, "question", F.posexplode_outer(F.split("context", "\n")).alias("pos", "line"))
+        near = text.token_jaccard(F.col("line"), F.col("question")) / (1.0 + F.lit(self.bias) * F.col("pos"))
+        best = lines.groupBy(*KEYS).agg(F.min_by("line", F.struct((-near).alias("s"), "pos")).alias("answer"))
+        judged = rows.select(*KEYS, "reference").join(best, KEYS)
+        return judged.select(*KEYS, "answer", lexical_score(F.col("answer"), F.col("reference"), self.enough).alias("score"))
+
+
 class Callable_(Evaluator):
     """A Python function of lists (contexts, questions, references) that gives (answers, scores), called in batches."""
 

@@ -10,6 +10,9 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flipgraph.operators.ranking import ranked_split
+from flipgraph.session import cut
+
 
 def draw(*parts: Column | str) -> Column:
     """A number from 0 to 2 ** 32 - 1 that depends on the parts alone."""
@@ -101,7 +104,7 @@ def noise_nodes(graph_nodes: DataFrame, kg_nodes: DataFrame, key: str, share: fl
     graph, so graphs are not compared with whole knowledge graphs; nodes that the graph holds or that were drawn
     before are passed over, with ``tries`` draws for each wanted one.
     """
-    numbered = kg_nodes.select("kg_id", "name").distinct().withColumn("no", F.row_number().over(Window.partitionBy("kg_id").orderBy("name")) - 1)
+    numbered = cut(ranked_split(kg_nodes.select("kg_id", "name").distinct(), ["kg_id"], F.asc("name"), "name", "no").withColumn("no", F.col("no") - 1), "numbered")
     size = numbered.groupBy("kg_id").agg(F.count("*").alias("kg_size"))
     g = graph_nodes.groupBy(key, "kg_id").agg(F.count("*").alias("n")).join(size, "kg_id")
     want = F.greatest(F.lit(1), F.bround(F.col("n") * share, 0).cast("int"))

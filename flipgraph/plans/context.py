@@ -218,10 +218,15 @@ def _(s, d):
     return N.strings_of_json(ops, "noise_id", "o")
 
 
-@C.add("g_noise_nodes", f"""{R.with_views('cgn', 'kgn')}, num AS (SELECT kg_id, name, row_number() OVER (PARTITION BY kg_id ORDER BY name) - 1 AS no, count(*) OVER (PARTITION BY kg_id) AS ks FROM kgn), g AS (SELECT exp_id, kg_id, count(*) AS n FROM cgn GROUP BY 1, 2),
- dr AS (SELECT exp_id, kg_id, n, w, t FROM (SELECT exp_id, kg_id, n, w, unnest(range(1, w * 4 + 1)) AS t FROM (SELECT *, CAST(greatest(1, round_even(n * 0.2e0, 0)) AS INT) AS w FROM g))), pk AS (SELECT dr.*, num.name FROM dr JOIN num ON num.kg_id = dr.kg_id AND num.no = {_H.format(x="exp_id || '|' || t || '|0'")} % num.ks),
- ok AS (SELECT exp_id, n, w, name, min(t) AS t FROM pk WHERE NOT EXISTS (SELECT 1 FROM cgn c WHERE c.exp_id = pk.exp_id AND c.name = pk.name) GROUP BY 1, 2, 3, 4), kp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY exp_id ORDER BY t) AS rn FROM ok) WHERE rn <= w),
- an AS (SELECT exp_id, name AS anchor, row_number() OVER (PARTITION BY exp_id ORDER BY name) - 1 AS a FROM cgn) SELECT kp.exp_id, kp.name, an.anchor FROM kp JOIN an ON an.exp_id = kp.exp_id AND an.a = {_H.format(x="kp.exp_id || '|' || kp.name || '|0'")} % kp.n""")
+def noise_sql(share: float, seed: int, tag: str = "") -> str:
+    """CTE ``noise`` (exp_id, name, anchor) over cgn and kgn, its name and those of its parts ending on ``tag``."""
+    return f"""num{tag} AS (SELECT kg_id, name, row_number() OVER (PARTITION BY kg_id ORDER BY name) - 1 AS no, count(*) OVER (PARTITION BY kg_id) AS ks FROM kgn), g{tag} AS (SELECT exp_id, kg_id, count(*) AS n FROM cgn GROUP BY 1, 2),
+ dr{tag} AS (SELECT exp_id, kg_id, n, w, t FROM (SELECT exp_id, kg_id, n, w, unnest(range(1, w * 4 + 1)) AS t FROM (SELECT *, CAST(greatest(1, round_even(n * {share}e0, 0)) AS INT) AS w FROM g{tag}))), pk{tag} AS (SELECT d.*, num{tag}.name FROM dr{tag} d JOIN num{tag} ON num{tag}.kg_id = d.kg_id AND num{tag}.no = {_H.format(x=f"exp_id || '|' || t || '|{seed}'")} % num{tag}.ks),
+ ok{tag} AS (SELECT exp_id, n, w, name, min(t) AS t FROM pk{tag} WHERE NOT EXISTS (SELECT 1 FROM cgn c WHERE c.exp_id = pk{tag}.exp_id AND c.name = pk{tag}.name) GROUP BY 1, 2, 3, 4), kp{tag} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY exp_id ORDER BY t) AS rn FROM ok{tag}) WHERE rn <= w),
+ an{tag} AS (SELECT exp_id, name AS anchor, row_number() OVER (PARTITION BY exp_id ORDER BY name) - 1 AS a FROM cgn), noise{tag} AS (SELECT k.exp_id, k.name, a.anchor FROM kp{tag} k JOIN an{tag} a ON a.exp_id = k.exp_id AND a.a = {_H.format(x=f"k.exp_id || '|' || k.name || '|{seed}'")} % k.n)"""
+
+
+@C.add("g_noise_nodes", f"{R.with_views('cgn', 'kgn')}, {noise_sql(0.2, 0)} SELECT exp_id, name, anchor FROM noise")
 def _(s, d):
     return N.noise_nodes(R.cgn_view(s, d), R.kgn_view(s, d), "exp_id", 0.2)
 

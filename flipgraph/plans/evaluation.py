@@ -249,7 +249,7 @@ def _(s, d):
 _NOI = R.with_views("noi")
 
 
-@C.add("ev_noise", f"{_NOI} SELECT noise_level, count(*) AS n, count(*) FILTER (NOT noise.noise_robust) AS changed, count(*) FILTER (noise.noise_robust AND found) AS found, count(*) FILTER (noise.noise_robust AND found AND NOT coalesce(noise.noise_in_explanation, false)) AS resistant FROM noi GROUP BY 1")
+@C.add("agg_noise_outcome", f"{_NOI} SELECT noise_level, count(*) AS n, count(*) FILTER (NOT noise.noise_robust) AS changed, count(*) FILTER (noise.noise_robust AND found) AS found, count(*) FILTER (noise.noise_robust AND found AND NOT coalesce(noise.noise_in_explanation, false)) AS resistant FROM noi GROUP BY 1")
 def _(s, d):
     """Runs whose answer the noise alone changes are passed over; of the others, finds without noise in them."""
     n = R.noise_view(s, d, "noise_level", "found", "noise")

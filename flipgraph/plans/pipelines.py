@@ -16,7 +16,6 @@ from flipgraph.plans import aggregates as PA
 from flipgraph.plans import attribution as PT
 from flipgraph.plans import context as PC
 from flipgraph.plans import graph as PG
-from flipgraph.plans import ranking as PR
 from flipgraph.plans.catalog import Catalog
 from flipgraph.sources import records as R
 
@@ -88,49 +87,6 @@ def _(s, d):
     return j.groupBy("mode").agg(F.count("*").alias("n"), F.sum(E.lexical_score(F.col("c"), F.col("o"))).alias("sufficient"))
 
 
-# ---- Noise: where a method puts injected elements. The relations of an explanation stand in for them.
-
-
-def _noise(name: str, method: str) -> None:
-    sql = f"""{PR._NOISY}, m AS (SELECT DISTINCT run_id, method FROM sco), g AS (SELECT z.run_id, least(count(*), 3) AS k_eff, count(*) FILTER (is_noise AND rn <= 3) AS in_topk, count(*) FILTER (is_noise) AS n_noise, min(rn) FILTER (is_noise) AS first FROM z JOIN m USING (run_id) WHERE m.method = '{method}' GROUP BY 1)
- SELECT count(*) AS runs, count(*) FILTER (in_topk > 0) AS hit_runs, round(avg(in_topk / nullif(k_eff, 0)), 5) AS of_places, round(avg(first), 5) AS mean_first FROM g"""
-
-    def query(s, d):
-        rows = W.ranked(R.sco_view(s, d).where(F.col("method") == method), ["run_id"]).withColumn("is_noise", F.col("element_id").startswith("R::"))
-        k = W.noise_in_topk(rows, ["run_id"], 3).join(W.best_noise_rank(rows, ["run_id"]).select("run_id", "rank_from_1"), "run_id")
-        return k.agg(F.count("*").alias("runs"), A.count_if(F.col("in_topk") > 0).alias("hit_runs"), A.rnd(F.avg(F.col("in_topk") / F.nullif(F.col("k_eff"), F.lit(0))), 5).alias("of_places"), A.rnd(F.avg("rank_from_1"), 5).alias("mean_first"))
-
-    query.__doc__ = f"Noise in the top ranks of the runs of {method}."
-    C.add(name, sql)(query)
-
-
-for _name, _method in (("ev_noise_shap", "exact_shapley"), ("ev_noise_text", "text_shapley"), ("ev_noise_span", "leave_one_out"), ("ev_noise_smile", "tmc_shapley")):
-    _noise(_name, _method)
-
-
-# ---- Permutations: agreement of a method's runs on permuted input
-
-
-def _perm(name: str, method: str) -> None:
-    sql = f"{PR._PTAU} SELECT count(*) AS pairs, round(avg(tau), 5) AS avg_tau, round(min(tau), 5) AS min_tau FROM taus WHERE method = '{method}'"
-
-    def query(s, d):
-        return PR.perm_taus(s, d).where(F.col("method") == method).agg(F.count("*").alias("pairs"), A.rnd(F.avg("tau"), 5).alias("avg_tau"), A.rnd(F.min("tau"), 5).alias("min_tau"))
-
-    query.__doc__ = f"Rank correlation of the runs of {method} over permutations."
-    C.add(name, sql)(query)
-
-
-for _name, _method in (("ev_perm_shap", "exact_shapley"), ("ev_perm_span", "leave_one_out"), ("ev_perm_smile", "tmc_shapley"), ("ev_perm_rage", "text_shapley")):
-    _perm(_name, _method)
-
-
-@C.add("ev_perm_cfe", f"{PR.R.with_views('ops')}, o AS (SELECT exp_id, seq, op, node, src, dst FROM ops WHERE found) SELECT op, count(*) AS n, count(DISTINCT exp_id) AS records FROM o GROUP BY 1")
-def _(s, d):
-    """Recorded edits by operation; no context is permuted here, see the README."""
-    return R.ops_view(s, d).where("found").groupBy("op").agg(F.count("*").alias("n"), F.count_distinct(K).alias("records"))
-
-
 @C.add("win_cumulative_trapz", f"{R.with_views('noi')}, p AS (SELECT noise_level AS x, avg(CAST(noise.noise_robust AS INT)) AS y FROM noi GROUP BY 1), l AS (SELECT x, (x - lag(x) OVER (ORDER BY x)) * (y + lag(y) OVER (ORDER BY x)) / 2.0e0 AS part FROM p) SELECT x AS noise_level, round(coalesce(sum(part) OVER (ORDER BY x), 0.0e0), 6) AS area FROM l")
 def _(s, d):
     """Area so far under the robust share over the noise level."""

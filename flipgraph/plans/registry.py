@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from flipgraph.operators import references
-from flipgraph.plans import aggregates, attribution, context, evaluation, graph, pipelines, projections, ranking, search, sources, streaming, structure
+from flipgraph.plans import aggregates, attribution, context, evaluation, graph, pipelines, projections, ranking, robustness, search, sources, streaming, structure
 
-_CATALOGS = (aggregates.C, ranking.C, graph.C, search.C, attribution.C, structure.C, projections.C, context.C, sources.C, evaluation.C, pipelines.C, streaming.C)
+_CATALOGS = (aggregates.C, ranking.C, graph.C, search.C, attribution.C, structure.C, projections.C, context.C, sources.C, evaluation.C, pipelines.C, robustness.C, streaming.C)
 
 
 def queries() -> dict:

@@ -8,6 +8,8 @@ a time. ``estimate`` reads utilities from a table, ``estimate_games`` asks for t
 from __future__ import annotations
 
 import math
+import re
+import zlib
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -338,6 +340,19 @@ def drawn(rng: np.random.Generator, n: int, draws: int) -> np.ndarray:
     return np.array(sorted({0, (1 << n) - 1, *(sum(b << i for i, b in enumerate(r)) for r in rows)}), object)
 
 
+def kernel_draws(rng: np.random.Generator, n: int, draws: int) -> np.ndarray:
+    """Rows of 0 and 1 of coalitions drawn by the KernelSHAP sizes; of one element alone, with it."""
+    sizes = np.arange(1, n) if n > 1 else np.array([1])
+    odds = 1.0 / (sizes * (n - sizes)) if n > 1 else np.ones(1)
+    k = rng.choice(sizes, draws, p=odds / odds.sum())
+    return (rng.random((draws, n)).argsort(1) < k[:, None]).astype(float)
+
+
+def masks_of(x: np.ndarray) -> np.ndarray:
+    powers = np.array([1 << i for i in range(x.shape[1])], None if x.shape[1] <= 62 else object)
+    return (x.astype(np.int64).astype(powers.dtype) * powers).sum(1)
+
+
 def utilities_of(game: Game, masks: np.ndarray) -> np.ndarray:
     return game.utility(bits(masks, game.n)) if isinstance(game, Drawn) else np.array([game[int(m)] for m in masks])
 
@@ -384,33 +399,87 @@ def kernel_shap(game: Game, n: int, seed: int = 0, draws: int = 2048) -> np.ndar
     Above WHOLE elements coalitions are drawn by the kernel, each with its complement, and count alike.
     """
     if n > WHOLE:
-        rng, sizes = np.random.default_rng(seed), np.arange(1, n)
-        odds = 1.0 / (sizes * (n - sizes))
-        k = rng.choice(sizes, draws, p=odds / odds.sum())
-        x = (rng.random((draws, n)).argsort(1) < k[:, None]).astype(float)
+        x = kernel_draws(np.random.default_rng(seed), n, draws)
         x = np.vstack([np.zeros(n), np.ones(n), x, 1 - x])
-        powers = np.array([1 << i for i in range(n)], None if n <= 62 else object)
-        masks = (x.astype(np.int64).astype(powers.dtype) * powers).sum(1)
-        return weighted_fit(x, utilities_of(game, masks), np.r_[1e7, 1e7, np.ones(2 * draws)])[1:]
+        return weighted_fit(x, utilities_of(game, masks_of(x)), np.r_[1e7, 1e7, np.ones(2 * draws)])[1:]
     masks = np.arange(1 << n)
     w = np.array([kernel_weight(n, int(m).bit_count(), 1e7) for m in masks])
     return weighted_fit(bits(masks, n), utilities_of(game, masks), w)[1:]
 
 
-def pairwise_surrogate(game: Game, n: int, seed: int = 0, draws: int = 256, ridge: float = 1e-6) -> np.ndarray:
-    """Second-order surrogate: each element's weight and half of those of its pairs; four draws at least for each of these."""
-    rng = np.random.default_rng(seed)
-    draws = max(draws, 2 * (n * n + n + 2))
-    masks = np.arange(1 << n) if (1 << n) <= draws else drawn(rng, n, draws)
+def _with_pairs(x: np.ndarray) -> np.ndarray:
+    i, j = np.triu_indices(x.shape[1], 1)
+    return np.hstack([x, x[:, i] * x[:, j]])
+
+
+def _shares(beta: np.ndarray, n: int) -> np.ndarray:
+    """Each element's weight and half of those of its pairs, from the weights of n elements and of their pairs."""
+    i, j = np.triu_indices(n, 1)
+    return beta[:n] + 0.5 * (np.bincount(i, beta[n:], n) + np.bincount(j, beta[n:], n))
+
+
+def _draws(game: Game, n: int, seed: int, least: int) -> np.ndarray:
+    """All coalitions if they are not more than ``least`` or four for each weight of a second-order fit, else drawn ones."""
+    wanted = max(least, 2 * (n * n + n + 2))
+    return np.arange(1 << n) if (1 << min(n, 40)) <= wanted else drawn(np.random.default_rng(seed), n, wanted)
+
+
+def pairwise_surrogate(game: Game, n: int, seed: int = 0, draws: int = 256, ridge: float = 1e-6, kernel: bool = False) -> np.ndarray:
+    """Second-order faithful surrogate: each element's weight and half of those of its pairs.
+
+    All coalitions count alike (the Banzhaf form), or by the KernelSHAP weights with the empty and the whole one met (kernel).
+    """
+    masks = _draws(game, n, seed, draws)
     x = bits(masks, n)
-    pairs = list(combinations(range(n), 2))
-    a = np.column_stack([np.ones(len(x)), x, *(x[:, i] * x[:, j] for i, j in pairs)])
-    beta = np.linalg.solve(a.T @ a + ridge * np.eye(a.shape[1]), a.T @ utilities_of(game, masks))
-    out = beta[1 : n + 1].copy()
-    for (i, j), b in zip(pairs, beta[n + 1 :], strict=True):
-        out[i] += b / 2
-        out[j] += b / 2
-    return out
+    w = np.ones(len(x))
+    if kernel and len(masks) == (1 << min(n, 40)):
+        w = np.array([kernel_weight(n, int(k), 1e6) for k in x.sum(1)])
+    elif kernel:
+        some = kernel_draws(np.random.default_rng(seed), n, len(masks) // 2)
+        x, w = np.vstack([np.zeros(n), np.ones(n), some, 1 - some]), np.r_[1e6, 1e6, np.ones(2 * len(some))]
+        masks = masks_of(x)
+    a = np.column_stack([np.ones(len(x)), _with_pairs(x)])
+    beta = np.linalg.solve(a.T @ (a * w[:, None]) + ridge * np.eye(a.shape[1]), a.T @ (w * utilities_of(game, masks)))
+    return _shares(beta[1:], n)
+
+
+def faithful_shapley(game: Game, n: int, seed: int = 0) -> np.ndarray:
+    return pairwise_surrogate(game, n, seed, kernel=True)
+
+
+def _delta_system(game: Game, n: int, seed: int, draws: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features and utilities of coalitions drawn by KernelSHAP sizes, and their differences to partners with one bit flipped."""
+    rng, wanted = np.random.default_rng(seed), max(draws, 2 * (n * n + n + 2))
+    x = kernel_draws(rng, n, wanted)
+    y = x.copy()
+    flip = rng.integers(0, n, wanted)
+    y[np.arange(wanted), flip] = 1 - y[np.arange(wanted), flip]
+    u = utilities_of(game, masks_of(np.vstack([x, y])))
+    a, b = _with_pairs(x), _with_pairs(y)
+    return a, u[:wanted], b - a, u[wanted:] - u[:wanted]
+
+
+def _delta_solve(a: np.ndarray, u: np.ndarray, da: np.ndarray, du: np.ndarray, beta: float, ridge: float) -> np.ndarray:
+    ac, uc = a - a.mean(0), u - u.mean()
+    return np.linalg.solve((1 - beta) * da.T @ da + beta * ac.T @ ac + ridge * np.eye(a.shape[1]), (1 - beta) * da.T @ du + beta * ac.T @ uc)
+
+
+def delta_fit(game: Game, n: int, seed: int = 0, draws: int = 256, beta: float = 0.0, ridge: float = 1e-3) -> np.ndarray:
+    """Second-order surrogate fitted to the differences of pairs of coalitions that differ in one element, and with the
+    share ``beta`` to the utilities themselves; each element's weight and half of those of its pairs."""
+    return _shares(_delta_solve(*_delta_system(game, n, seed, draws), beta, ridge), n)
+
+
+def delta_fit_tuned(game: Game, n: int, seed: int = 0, draws: int = 256, betas: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0), ridges: tuple[float, ...] = (1e-3, 1e-1, 1.0), folds: int = 4) -> np.ndarray:
+    """As ``delta_fit``, with the share and the ridge that predict left-out differences best, over ``folds`` folds."""
+    a, u, da, du = _delta_system(game, n, seed, draws)
+    fold = np.arange(len(u)) * folds // len(u)
+
+    def loss(beta: float, ridge: float) -> float:
+        return sum(float((((da[fold == f] @ _delta_solve(*(m[fold != f] for m in (a, u, da, du)), beta, ridge)) - du[fold == f]) ** 2).sum()) for f in range(folds))
+
+    beta, ridge = min(((b, r) for b in betas for r in ridges), key=lambda p: (round(loss(*p), 12), p))
+    return _shares(_delta_solve(a, u, da, du, beta, ridge), n)
 
 
 def factorization_machine(game: Game, n: int, seed: int, rank: int = 3, rounds: int = 60, ridge: float = 1e-3, draws: int = 1024) -> np.ndarray:
@@ -491,18 +560,8 @@ def kg_smile(game: Game, n: int, seed: int, sigma: float = 0.25, draws: int = 64
     return weighted_fit(x, y, np.exp(-((cos / sigma) ** 2)))[1:]
 
 
-def mean_gains(game: Game, n: int, seed: int = 0, draws: int = 1024) -> np.ndarray:
-    """What an element adds, on average over all coalitions up to WHOLE elements, else over drawn ones."""
-    masks = np.arange(1 << n) if n <= WHOLE else drawn(np.random.default_rng(seed), n, draws)
-    out = np.zeros(n)
-    for i in range(n):
-        with_i = masks | (1 << i)
-        out[i] = (utilities_of(game, with_i) - utilities_of(game, with_i ^ (1 << i))).mean()
-    return out
-
-
 ESTIMATORS: dict[str, Callable] = {
-    "tmc": tmc_shapley, "beta": beta_shapley, "contextcite": context_cite, "wss": kernel_shap, "faith": pairwise_surrogate, "fm": factorization_machine, "wss_hybrid": hybrid_shapley, "kgsmile": kg_smile, "facile": mean_gains,
+    "tmc": tmc_shapley, "beta": beta_shapley, "contextcite": context_cite, "wss": kernel_shap, "faith": pairwise_surrogate, "fm": factorization_machine, "wss_hybrid": hybrid_shapley, "kgsmile": kg_smile, "facile": delta_fit, "facilehp": delta_fit_tuned, "faith_shapley": faithful_shapley,
 }
 
 
@@ -536,3 +595,76 @@ def estimate_games(elements: DataFrame, worth: Callable[[np.ndarray, np.ndarray]
     # A number of partitions, as rows are few and work is much: adaptive execution would put them into one task.
     parts = int(elements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return elements.select("qid", "i", "score").repartition(parts, "qid").groupBy("qid").applyInPandas(one, "qid long, i int, value double")
+
+
+# ---- Local surrogates of graphs: triples are left out, the rest is answered from, answers and graphs are compared.
+
+
+def token_vector(text: str, size: int = 32) -> np.ndarray:
+    """Counts of a text's tokens by their hash, scaled to length 1; stands in for an embedding."""
+    v = np.bincount([zlib.crc32(t.encode()) % size for t in re.findall("[a-z0-9]+", text.lower())], minlength=size).astype(float)
+    return v / max(np.linalg.norm(v), 1e-12)
+
+
+def best_line(lines: list[str], question: str) -> str:
+    """The line that shares most with the question, by Jaccard; the first of equals."""
+    q = set(re.findall("[a-z0-9]+", question.lower()))
+
+    def near(line: str) -> float:
+        t = set(re.findall("[a-z0-9]+", line.lower()))
+        return len(q & t) / len(q | t) if q and t else 0.0
+
+    return max(lines, key=near, default="")
+
+
+def smile_values(triples: list[tuple[str, str, str]], question: str, seed: int, samples: int = 20, sigma: float = 0.25) -> tuple[dict[str, float], bool]:
+    """(values by element, degenerate) of one graph.
+
+    Each sample leaves out a random number of triples, at least one, and is answered from the rest; samples without any
+    left are passed over. The answers' inverse Wasserstein distances to the whole graph's answer, scaled to 0..1, are
+    fitted to the masks, weighed by a kernel of the graphs' cosine. An edge has its triple's weight, the last of equal
+    ends; a node the mean of its triples' weights. Fewer than two samples give zeros and are degenerate.
+    """
+    lines = [" ".join(t) for t in triples]
+    whole, whole_answer = token_vector("\n".join(lines)), np.sort(token_vector(best_line(lines, question)))
+    rng, masks, near, weights = np.random.default_rng(seed), [], [], []
+    for _ in range(samples):
+        keep = np.ones(len(triples), bool)
+        keep[rng.choice(len(triples), int(rng.integers(1, len(triples) + 1)), replace=False)] = False
+        if not keep.any():
+            continue
+        rest = [line for line, k in zip(lines, keep, strict=True) if k]
+        gap = np.abs(np.sort(token_vector(best_line(rest, question))) - whole_answer).mean()
+        masks.append(keep), near.append(1.0 / (gap + 1e-6)), weights.append(math.exp(-((float(whole @ token_vector("\n".join(rest))) / sigma) ** 2)))
+    names = [*dict.fromkeys(f"R::{a}->{b}" for a, _, b in triples), *dict.fromkeys(f"E::{x}" for a, _, b in triples for x in (a, b))]
+    if len(masks) < 2:
+        return dict.fromkeys(names, 0.0), True
+    y = np.array(near)
+    y = (y - y.min()) / (y.max() - y.min()) if y.max() > y.min() else np.ones(len(y))
+    w = weighted_fit(np.array(masks, float), y, np.array(weights))[1:]
+    out, at = {}, {}
+    for (a, _, b), v in zip(triples, w, strict=True):
+        out[f"R::{a}->{b}"] = float(v)
+        for x in (a, b):
+            at.setdefault(f"E::{x}", []).append(float(v))
+    return out | {x: float(np.mean(v)) for x, v in at.items()}, False
+
+
+def smile(graphs: DataFrame, samples: int = 20) -> DataFrame:
+    """graphs: (qid, question, triples array of (src, description, tgt)). (qid, element_id, value, degenerate).
+
+    A graph is one row, so nothing is shuffled; draws depend on the question's number alone. Graphs without a triple
+    give no rows, null texts count as empty.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for qid, question, triples in zip(f["qid"], f["question"], f["triples"], strict=True):
+                each = [tuple(t[k] or "" for k in ("src", "description", "tgt")) for t in triples] if triples is not None else []
+                if each:
+                    got, bad = smile_values(each, question or "", abs(int(qid)) % (1 << 31), samples)
+                    out += [(int(qid), e, v, bad) for e, v in got.items()]
+            yield pd.DataFrame(out, columns=["qid", "element_id", "value", "degenerate"])
+
+    return graphs.select("qid", "question", "triples").mapInPandas(run, "qid long, element_id string, value double, degenerate boolean")

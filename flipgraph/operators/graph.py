@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from flipgraph.operators.aggregates import rnd
 from flipgraph.session import cut
@@ -125,21 +128,70 @@ def khop(seeds: DataFrame, kg_edges: DataFrame, key: str, hops: int, directed: b
     return ball
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, key: str, rounds: int = 20, alpha: float = 0.85, cut_every: int = 5) -> DataFrame:
-    """(key, name, rank): power iteration per graph; nodes without successors spread their rank evenly."""
+#: Nodes and edges up to which a graph is iterated in one task; larger ones are iterated by joins over all tasks.
+ONE_TASK = 200_000
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, key: str, rounds: int = 100, alpha: float = 0.85, tolerance: float = 1e-6, one_task: int = ONE_TASK) -> DataFrame:
+    """(key, name, rank): power iteration per graph; nodes without successors spread their rank evenly.
+
+    A graph stops when its ranks move by less than ``tolerance`` a node in total; one that does not within ``rounds`` has
+    rank 0 everywhere. Graphs of at most ``one_task`` nodes and edges are iterated each in one task, larger ones by joins.
+    """
+    nodes, edges = cut(nodes.select(key, "name"), "pr-nodes"), cut(edges.select(key, "src", "tgt"), "pr-edges")
+    sizes = cut(union_all([nodes.select(key), edges.select(key)]).groupBy(key).agg(F.count("*").alias("size")), "pr-sizes")
+    large = sizes.where(F.col("size") > one_task).select(key)
+    rest = sizes.where(F.col("size") <= one_task).select(key)
+    kind = nodes.schema[key].dataType
+
+    def solve(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        names = n["name"].to_numpy()
+        at = {x: i for i, x in enumerate(names)}
+        src, tgt = (np.array([at[x] for x in e[c]], np.int64) for c in ("src", "tgt"))
+        out = np.bincount(src, minlength=len(names))
+        rank = np.full(len(names), 1.0 / max(len(names), 1))
+        for _ in range(rounds):
+            flow = np.bincount(tgt, weights=rank[src] / out[src], minlength=len(names))
+            new = (1 - alpha) / len(names) + alpha * (flow + rank[out == 0].sum() / len(names))
+            moved, rank = np.abs(new - rank).sum(), new
+            if moved < tolerance * len(names):
+                break
+        else:
+            rank = np.zeros(len(names))
+        return pd.DataFrame({key: n[key], "name": names, "rank": rank})
+
+    schema = StructType([StructField(key, kind), StructField("name", StringType()), StructField("rank", DoubleType())])
+    pick = lambda df, keys: df.join(keys, key, "left_semi")
+    few = pick(nodes, rest).groupBy(key).cogroup(pick(edges, rest).groupBy(key)).applyInPandas(solve, schema)
+    if large.isEmpty():
+        return few
+    return few.unionByName(_pagerank_joined(pick(nodes, large), pick(edges, large), key, rounds, alpha, tolerance))
+
+
+def _pagerank_joined(nodes: DataFrame, edges: DataFrame, key: str, rounds: int, alpha: float, tolerance: float) -> DataFrame:
+    """Ranks are written once a round, and the sums of a graph are map-side aggregates of few rows."""
     out = edges.groupBy(key, F.col("src").alias("name")).agg(F.count("*").alias("n_out"))
     size = nodes.groupBy(key).agg(F.count("*").alias("n"))
-    base = cut(nodes.select(key, "name").join(size, key).join(out, [key, "name"], "left"), "pr-nodes")
     links = cut(edges.select(key, F.col("src").alias("name"), "tgt"), "pr-edges")
-    ranks = base.withColumn("rank", 1.0 / F.col("n"))
-    for i in range(rounds):
-        flow = ranks.where("n_out IS NOT NULL").join(links, [key, "name"]).groupBy(key, F.col("tgt").alias("name")).agg(F.sum(F.col("rank") / F.col("n_out")).alias("flow"))
+    ranks = cut(nodes.select(key, "name").join(size, key).join(out, [key, "name"], "left").withColumn("rank", 1.0 / F.col("n")).withColumn("moved", F.lit(float("inf"))), "pr")
+    settled = []
+    for _ in range(rounds):
         idle = ranks.groupBy(key).agg(F.sum(F.when(F.col("n_out").isNull(), F.col("rank")).otherwise(0.0)).alias("idle"))
+        flow = ranks.where("n_out IS NOT NULL").join(links, [key, "name"]).groupBy(key, F.col("tgt").alias("name")).agg(F.sum(F.col("rank") / F.col("n_out")).alias("flow"))
         rank = (1 - alpha) / F.col("n") + alpha * (F.coalesce("flow", F.lit(0.0)) + F.col("idle") / F.col("n"))
-        ranks = base.join(flow, [key, "name"], "left").join(idle, key).select(*base.columns, rank.alias("rank"))
-        if (i + 1) % cut_every == 0 and i + 1 < rounds:
-            ranks = cut(ranks, "pr")
-    return ranks.select(key, "name", "rank")
+        new = ranks.join(flow, [key, "name"], "left").join(idle, key).select(key, "name", "n", "n_out", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("moved"))
+        new = cut(new, "pr")
+        done = cut(new.groupBy(key).agg((F.sum("moved") < tolerance * F.max("n")).alias("done")), "pr-done")
+        still, over = (r[0] for r in done.agg(F.count(F.when(~F.col("done"), 1)).alias("a"), F.count(F.when(F.col("done"), 1)).alias("b")).select(F.explode(F.array("a", "b"))).collect())
+        if over:
+            settled.append(new.join(done.where("done").select(key), key, "left_semi").select(key, "name", "rank"))
+            new = new.join(done.where("NOT done").select(key), key, "left_semi")
+        ranks = new
+        if not still:
+            break
+    else:
+        settled.append(ranks.select(key, "name", F.lit(0.0).alias("rank")))
+    return union_all(settled) if settled else ranks.select(key, "name", "rank")
 
 
 def components(nodes: DataFrame, edges: DataFrame, key: str, rounds: int = 50) -> DataFrame:

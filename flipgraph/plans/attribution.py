@@ -18,6 +18,7 @@ from flipgraph.operators.aggregates import rnd
 from flipgraph.plans import aggregates as PA
 from flipgraph.plans.catalog import Catalog
 from flipgraph.session import cut
+from flipgraph.sources import records as R
 
 C = Catalog()
 DRAWS = 256
@@ -219,11 +220,19 @@ def _sampled(name: str, method: str, doc: str) -> None:
 
 for _name, _method, _doc in (
     ("att_tmc", "tmc", "Truncated Monte Carlo Shapley values."), ("att_beta", "beta", "Beta-weighted semivalues."), ("att_contextcite", "contextcite", "Lasso surrogate."), ("att_wss", "wss", "KernelSHAP surrogate."),
-    ("att_faith", "faith", "Second-order faithful surrogate."), ("att_fm", "fm", "Factorization machine surrogate."), ("att_wss_hybrid", "wss_hybrid", "Shapley values of partly predicted utilities."), ("att_kgsmile", "kgsmile", "Kernel-weighted local surrogate."),
+    ("att_faith", "faith_shapley", "Second-order faithful surrogate by the KernelSHAP weights."), ("att_faith_banzhaf", "faith", "Second-order faithful surrogate of evenly weighed coalitions."), ("att_facile", "facile", "Second-order surrogate of the differences of neighbouring coalitions."), ("att_facilehp", "facilehp", "The same, its shares tuned on left-out differences."), ("att_fm", "fm", "Factorization machine surrogate."), ("att_wss_hybrid", "wss_hybrid", "Shapley values of partly predicted utilities."), ("att_smile_game", "kgsmile", "Kernel-weighted local surrogate of a game."),
 ):
     _sampled(_name, _method, _doc)
 
 
+@C.add("att_kgsmile")
+def _(s, d):
+    """Local surrogate of each record's graph on masks of its triples; drawn masks, so no SQL twin."""
+    kept = F.filter("original_subgraph.relations", lambda x: (x["src"] != "") & (x["tgt"] != ""))
+    g = R.exp_view(s, d, "question", kept.alias("triples")).withColumnRenamed("exp_id", "qid")
+    return values(T.smile(g))
+
+
 _JSD = """sh_ AS (SELECT qid, list(abs(score) ORDER BY i) AS p FROM el GROUP BY 1), w AS (SELECT e.qid, e.i, list_transform(p, lambda x, k: CASE WHEN k - 1 = e.i THEN 0.0e0 ELSE x END) AS q, p FROM el e JOIN sh_ USING (qid)),
 t AS (SELECT qid, i, list_transform(p, lambda x: (x + 1e-10) / (list_sum(p) + 1e-10 * len(p))) AS a, list_transform(q, lambda x: (x + 1e-10) / (list_sum(q) + 1e-10 * len(q))) AS b FROM w)"""
 

@@ -13,7 +13,7 @@ from flipgraph.operators import vectors as V
 from flipgraph.operators.aggregates import count_if, rnd
 from flipgraph.plans import graph as PG
 from flipgraph.plans.catalog import Catalog
-from flipgraph.session import new_folder
+from flipgraph.session import cut, new_folder
 from flipgraph.sources import records as R
 from flipgraph.sources import sinks
 from flipgraph.sources.tables import table
@@ -265,9 +265,48 @@ def _(s, d):
     return n.join(w, ["exp_id", "noise_level"], "left_semi").groupBy("mode", "noise_level").agg(F.count("*").alias("n"), rnd(count_if(F.size("noise.noise_nodes_in_counterfactual") == 0) / F.count("*")).alias("rate"))
 
 
-@C.add("ev_medical", f"{R.with_views('ent', 'kge')}, q AS (SELECT DISTINCT x.exp_id, x.kg_id, e.name FROM exp x JOIN ent e ON e.exp_id = x.exp_id WHERE e.name <> '' AND contains(x.question, e.name)), b AS (SELECT q.exp_id, e.tgt AS name FROM q JOIN kge e ON e.kg_id = q.kg_id AND e.src = q.name UNION SELECT exp_id, name FROM q) SELECT exp_id, count(DISTINCT name) AS n FROM b GROUP BY 1")
+# Choice questions: the options are the record's own ground truth and those of the records 101, 202 and 303 ids further
+# on, around the end; the right letter follows from the id.
+_MED = f"""{R.with_views('ent', 'kgn', 'kge', 'cgn')}, {PG.VEC}, mq AS (SELECT DISTINCT x.exp_id, x.kg_id, e.name FROM exp x JOIN ent e ON e.exp_id = x.exp_id WHERE e.name <> '' AND contains(x.question, e.name)),
+me AS (SELECT DISTINCT q.exp_id, q.kg_id, q.name AS src, e.tgt FROM mq q JOIN kge e ON e.kg_id = q.kg_id AND e.src = q.name), mb AS (SELECT exp_id, kg_id, name FROM mq UNION SELECT exp_id, kg_id, tgt FROM me),
+ms AS (SELECT b.exp_id, b.name, round({PG.DOT.format(a='nv.vec', b='v.embedding')}, 6) AS sim FROM mb b JOIN nv ON nv.kg_id = b.kg_id AND nv.name = b.name JOIN embeddings v ON v.vec_id = b.exp_id % {PG.VECTORS}),
+mes AS (SELECT m.exp_id, m.src, m.tgt, greatest(coalesce(a.sim, 0.0e0), coalesce(b.sim, 0.0e0)) AS sim FROM me m LEFT JOIN ms a ON a.exp_id = m.exp_id AND a.name = m.src LEFT JOIN ms b ON b.exp_id = m.exp_id AND b.name = m.tgt),
+te5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY exp_id ORDER BY sim DESC, src, tgt) AS rn FROM mes) WHERE rn <= 5), tn5 AS (SELECT exp_id, name FROM (SELECT exp_id, name, row_number() OVER (PARTITION BY exp_id ORDER BY sim DESC, name) AS rn FROM ms) WHERE rn <= 5 UNION SELECT exp_id, src FROM te5 UNION SELECT exp_id, tgt FROM te5),
+ds AS (SELECT exp_id, name, string_agg(coalesce(description, ''), ' ' ORDER BY pos) AS txt FROM ent GROUP BY 1, 2), cx5 AS (SELECT t.exp_id, string_agg(t.name || ' ' || coalesce(ds.txt, ''), ' ') AS context, count(*) AS n_nodes FROM tn5 t LEFT JOIN ds ON ds.exp_id = t.exp_id AND ds.name = t.name GROUP BY 1),
+op AS (SELECT x.exp_id, j, substr('ABCD', CAST((x.exp_id + j) % 4 AS INT) + 1, 1) AS letter, coalesce(o.answers.ground_truth, '') AS opt FROM (SELECT exp_id, unnest([0, 1, 2, 3]) AS j FROM exp) x LEFT JOIN exp o ON o.exp_id = (x.exp_id + 101 * j) % ((SELECT max(exp_id) FROM exp) + 1)),
+sc5 AS (SELECT op.exp_id, letter, CASE WHEN len({_TOKS.format(x='opt')}) > 0 THEN len(list_intersect({_TOKS.format(x='opt')}, {_TOKS.format(x="coalesce(c.context, '')")})) / len({_TOKS.format(x='opt')}) ELSE 0.0e0 END AS share FROM op JOIN cx5 c ON c.exp_id = op.exp_id),
+an5 AS (SELECT exp_id, arg_min(letter, (-share, letter)) AS answer FROM sc5 GROUP BY 1)"""
+
+
+@C.add("ev_medical", f"{_MED} SELECT a.exp_id, c.n_nodes, a.answer, CAST(a.answer = substr('ABCD', CAST(a.exp_id % 4 AS INT) + 1, 1) AS INT) AS score FROM an5 a JOIN cx5 c ON c.exp_id = a.exp_id")
+def medical(s, d):
+    """Entities of a question, linked to their graph, with their successors; pruned to five nodes and five edges by
+    similarity; the letter of the option that the context covers most, and whether it is the right one.
+
+    Questions that name no entity have no context and no row.
+    """
+    q = cut(R.ent_view(s, d).where("name <> ''").select(K, "kg_id", "name").distinct().join(R.exp_view(s, d, "question"), K).where(F.contains("question", "name")).select(K, "kg_id", "name"), "asked")
+    step = cut(q.withColumnRenamed("name", "src").join(R.kge_view(s, d).select("kg_id", "src", "tgt"), ["kg_id", "src"]).select(K, "kg_id", "src", "tgt"), "steps")
+    ball = q.unionByName(step.select(K, "kg_id", F.col("tgt").alias("name"))).distinct()
+    sims = cut(PG.similarities(s, d, ball), "sims")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    e = step.join(sims.select(K, F.col("name").alias("src"), F.col("sim").alias("sa")), [K, "src"], "left").join(sims.select(K, F.col("name").alias("tgt"), F.col("sim").alias("sb")), [K, "tgt"], "left")
+    nodes, _e = V.prune_subgraph(sims, e.withColumn("sim", F.greatest(zero(F.col("sa")), zero(F.col("sb")))), K, 5, 5)
+    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("description", F.lit("")).alias("t")))), lambda x: x["t"]), " ")
+    described = R.ent_view(s, d).groupBy(K, "name").agg(told.alias("txt"))
+    context = nodes.join(described, [K, "name"], "left").groupBy(K).agg(F.array_join(F.collect_list(F.concat_ws(" ", "name", "txt")), " ").alias("context"), F.count("*").alias("n_nodes"))
+    truth = cut(R.exp_view(s, d, F.coalesce("answers.ground_truth", F.lit("")).alias("opt")), "truths")
+    span = truth.agg(F.coalesce(F.max(K) + 1, F.lit(1))).first()[0]
+    each = context.withColumn("j", F.explode(F.array(*map(F.lit, range(4))))).withColumn("from", (F.col(K) + 101 * F.col("j")) % F.lit(span))
+    options = each.join(truth.select(F.col(K).alias("from"), "opt"), "from", "left").withColumn("opt", F.coalesce("opt", F.lit("")))
+    t, c = F.array_distinct(text.norm_tokens(F.col("opt"))), F.array_distinct(text.norm_tokens(F.col("context")))
+    share = F.when(F.size(t) > 0, F.size(F.array_intersect(t, c)) / F.size(t)).otherwise(0.0)
+    letter = F.substring(F.lit("ABCD"), ((F.col(K) + F.col("j")) % 4 + 1).cast("int"), F.lit(1))
+    best = options.groupBy(K, "n_nodes").agg(F.min_by(letter, F.struct((-share).alias("s"), letter.alias("l"))).alias("answer"))
+    right = F.substring(F.lit("ABCD"), (F.col(K) % 4 + 1).cast("int"), F.lit(1))
+    return best.select(K, "n_nodes", "answer", (F.col("answer") == right).cast("int").alias("score"))
+
+
+@C.add("ev_medical_score", f"{_MED} SELECT count(*) AS n, CAST(sum(CAST(answer = substr('ABCD', CAST(exp_id % 4 AS INT) + 1, 1) AS INT)) AS BIGINT) AS n_right, round(avg(CAST(answer = substr('ABCD', CAST(exp_id % 4 AS INT) + 1, 1) AS INT)), 6) AS exact_match FROM an5")
 def _(s, d):
-    """Entities of a question, linked to its graph, with their successors: the context of a choice question."""
-    e = R.ent_view(s, d).where("name <> ''").select(K, "kg_id", "name").distinct().join(R.exp_view(s, d, "question"), K).where(F.contains("question", "name")).select(K, "kg_id", "name")
-    step = e.join(R.kge_view(s, d).select("kg_id", F.col("src").alias("name"), "tgt"), ["kg_id", "name"]).select(K, F.col("tgt").alias("name"))
-    return step.unionByName(e.select(K, "name")).distinct().groupBy(K).agg(F.count("*").alias("n"))
+    return medical(s, d).agg(F.count("*").alias("n"), F.sum("score").alias("n_right"), rnd(F.avg("score")).alias("exact_match"))

@@ -157,21 +157,20 @@ def _(s, d):
     return G.khop(seeds, R.kge_view(s, d), K, 2, directed=True)
 
 
-def _pagerank_sql(rounds: int) -> str:
-    """The power iteration, unrolled."""
-    q = R.with_views("kge") + """, kn AS (SELECT kg_id, name FROM (SELECT DISTINCT kg_id, src AS name FROM kge UNION SELECT DISTINCT kg_id, tgt FROM kge)), sz AS (SELECT kg_id, count(*) AS n FROM kn GROUP BY 1), od AS (SELECT kg_id, src AS name, count(*) AS o FROM kge GROUP BY 1, 2),
- b AS (SELECT kg_id, name, n, o FROM kn JOIN sz USING (kg_id) LEFT JOIN od USING (kg_id, name)), r0 AS MATERIALIZED (SELECT *, 1.0e0 / n AS r FROM b)"""
-    for i in range(rounds):
-        q += f""", r{i + 1} AS MATERIALIZED (SELECT b.kg_id, b.name, b.n, b.o, 0.15e0 / b.n + 0.85e0 * (coalesce(f.f, 0.0e0) + i.d / b.n) AS r FROM b LEFT JOIN (SELECT p.kg_id, e.tgt AS name, sum(p.r / p.o) AS f FROM r{i} p JOIN kge e ON e.kg_id = p.kg_id AND e.src = p.name GROUP BY 1, 2) f ON f.kg_id = b.kg_id AND f.name = b.name
- JOIN (SELECT kg_id, sum(CASE WHEN o IS NULL THEN r ELSE 0.0e0 END) AS d FROM r{i} GROUP BY 1) i ON i.kg_id = b.kg_id)"""
-    return q + f" SELECT kg_id, name, round(r, 8) AS rank FROM r{rounds}"
+_PAGERANK = R.with_views("kge").replace("WITH ", "WITH RECURSIVE ", 1) + """, kn AS (SELECT kg_id, name FROM (SELECT DISTINCT kg_id, src AS name FROM kge UNION SELECT DISTINCT kg_id, tgt FROM kge)), sz AS (SELECT kg_id, count(*) AS n FROM kn GROUP BY 1), od AS (SELECT kg_id, src AS name, count(*) AS o FROM kge GROUP BY 1, 2),
+ b AS MATERIALIZED (SELECT kg_id, name, n, o FROM kn JOIN sz USING (kg_id) LEFT JOIN od USING (kg_id, name)), ke AS MATERIALIZED (SELECT kg_id, src, tgt FROM kge),
+ pr AS (SELECT kg_id, name, n, o, 1.0e0 / n AS r, 0 AS round, false AS done FROM b UNION ALL
+ SELECT kg_id, name, n, o, new, round + 1, sum(abs(new - r)) OVER (PARTITION BY kg_id) < 1e-6 * n FROM (SELECT p.kg_id, p.name, p.n, p.o, p.r, p.round, 0.15e0 / p.n + 0.85e0 * (coalesce(f.f, 0.0e0) + i.d / p.n) AS new FROM pr p LEFT JOIN (SELECT q.kg_id, e.tgt AS name, sum(q.r / q.o) AS f FROM pr q JOIN ke e ON e.kg_id = q.kg_id AND e.src = q.name WHERE NOT q.done GROUP BY 1, 2) f ON f.kg_id = p.kg_id AND f.name = p.name
+ JOIN (SELECT kg_id, sum(CASE WHEN o IS NULL THEN r ELSE 0.0e0 END) AS d FROM pr WHERE NOT done GROUP BY 1) i ON i.kg_id = p.kg_id WHERE NOT p.done AND p.round < 100))
+ SELECT kg_id, name, round(arg_max(CASE WHEN done THEN r ELSE 0.0e0 END, round), 8) AS rank FROM pr GROUP BY 1, 2"""
 
 
-@C.add("g_pagerank", _pagerank_sql(10))
+@C.add("g_pagerank", _PAGERANK)
 def _(s, d):
-    edges = R.kge_view(s, d)
+    """Ranks of the knowledge graphs' nodes, each graph iterated until it settles."""
+    edges = cut(R.kge_view(s, d), "kg-edges")
     nodes = edges.select("kg_id", F.explode(F.array("src", "tgt")).alias("name")).distinct()
-    return G.rounded(G.pagerank(nodes, edges, "kg_id", 10), "rank", 8)
+    return G.rounded(G.pagerank(nodes, edges, "kg_id"), "rank", 8)
 
 
 @C.add("g_star")

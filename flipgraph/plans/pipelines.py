@@ -7,13 +7,11 @@ from pyspark.sql import functions as F
 
 from flipgraph.functions import ids, text
 from flipgraph.operators import aggregates as A
-from flipgraph.operators import attribution as T
 from flipgraph.operators import evaluator as E
 from flipgraph.operators import generators as N
 from flipgraph.operators import graph as G
 from flipgraph.operators import ranking as W
 from flipgraph.plans import aggregates as PA
-from flipgraph.plans import attribution as PT
 from flipgraph.plans import context as PC
 from flipgraph.plans import graph as PG
 from flipgraph.plans.catalog import Catalog
@@ -122,12 +120,6 @@ def _(s, d):
     return N.object_permutations(r, K, "item", 2, 5).drop("item")
 
 
-@C.add("att_facile")
-def _(s, d):
-    """Linear surrogate fitted to the differences of coalitions that differ in one element."""
-    return PT.values(T.estimate_games(PT.elements(s, d), PT.worth, "facile"))
-
-
 @C.add("g_psp_incumbent", f"{PG._PROBE} SELECT exp_id, count(*) AS pivots, count(*) FILTER (flipped) AS hits, min(cost) FILTER (flipped) AS bound FROM probed GROUP BY 1")
 def _(s, d):
     """Pivots, hits and the cost bound that the cheapest hit gives to a search."""

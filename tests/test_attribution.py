@@ -138,3 +138,40 @@ def test_every_question_takes_part(spark, sf):
         got = registry.queries()[query](spark, sf).groupBy("qid").count().collect()
         assert {r.qid: r["count"] for r in got} == n
     assert registry.queries()["att_utilities"](spark, sf).select("qid").distinct().count() == len(n)
+
+
+def two_additive(n, seed=4):
+    rng = np.random.default_rng(seed)
+    w, p = rng.normal(size=n), np.triu(rng.normal(size=(n, n)), 1)
+    return T.Drawn(lambda x: x @ w + ((x @ p) * x).sum(1), n), w + 0.5 * (p.sum(0) + p.sum(1))
+
+
+@pytest.mark.parametrize("method", ["facile", "facilehp", "faith", "faith_shapley"])
+def test_second_order_fits_meet_second_order_games(method):
+    for n in (1, 2, 6, 14):
+        game, want = two_additive(n)
+        assert np.allclose(T.ESTIMATORS[method](game, n, 3), want, atol=0.05), (method, n)
+
+
+def test_fits_differ_where_they_must():
+    scores = np.linspace(0.1, 1.0, 8)
+    game = T.Drawn(lambda x: PT.worth(scores, x), 8)
+    banzhaf = np.array([np.mean([game[m | 1 << i] - game[m] for m in range(256) if not m >> i & 1]) for i in range(8)])
+    for method in ("facile", "facilehp", "faith_shapley"):
+        assert np.abs(T.ESTIMATORS[method](game, 8, 3) - banzhaf).max() > 1e-3, method
+    assert np.allclose(T.ESTIMATORS["faith_shapley"](game, 8, 3).sum(), game[255], atol=0.01)  # the whole is shared out
+
+
+def test_surrogate_of_a_graph():
+    triples = [("A", "kept the brass lantern", "B"), ("B", "sells barley", "C"), ("C", "rows a boat", "A")]
+    got, bad = T.smile_values(triples, "Who kept the brass lantern?", 1, 60)
+    assert not bad and max((e for e in got if e.startswith("R::")), key=got.get) == "R::A->B"
+    assert got["E::A"] == pytest.approx((got["R::A->B"] + got["R::C->A"]) / 2)
+    assert T.smile_values(triples[:1], "q", 1) == ({"R::A->B": 0.0, "E::A": 0.0, "E::B": 0.0}, True)
+
+
+def test_surrogates_of_odd_rows(spark):
+    kind = "qid long, question string, triples array<struct<src:string,description:string,tgt:string>>"
+    rows = [(1, None, None), (2, "q", []), (3, None, [("a", None, "b"), ("a", None, "b")]), (4, "q " * 9000, [("a", "q " * 9000, "b"), ("b", "x", "b")])]
+    got = T.smile(spark.createDataFrame(rows, kind)).collect()
+    assert {r.qid for r in got} == {3, 4} and all(np.isfinite(r.value) for r in got)

@@ -81,7 +81,9 @@ def test_components_of_a_long_path(spark):
 
 def test_pagerank_sums_to_one(spark):
     n, e = frames(spark, {1: (["z"], [("a", "b"), ("b", "c"), ("d", "b")])})
-    rows = {r.name: r["rank"] for r in G.pagerank(n, e, "exp_id", 30).collect()}
+    rows = {r.name: r["rank"] for r in G.pagerank(n, e, "exp_id").collect()}
+    joined = {r.name: r["rank"] for r in G.pagerank(n, e, "exp_id", one_task=0).collect()}
+    assert joined.keys() == rows.keys() and all(abs(joined[k] - rows[k]) < 1e-12 for k in rows)
     assert abs(sum(rows.values()) - 1) < 1e-9 and rows["c"] > rows["a"] == pytest.approx(rows["z"])
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flipgraph.functions import ids, text
-
+from flipgraph.operators import quantiles as Q
 
 
 def rnd(c: Column, digits: int = 6) -> Column:
@@ -74,8 +74,8 @@ def similarity_stats(records: DataFrame, value: str = "similarity") -> DataFrame
     v = records.where(F.col(value).isNotNull()).select(F.col(value).alias("v"))
     bucket = F.least(F.greatest(F.floor(F.col("v") / 0.2), F.lit(0)), F.lit(4))
     counts = [count_if(bucket == i).alias(f"bucket_{i}") for i in range(5)]
-    upper = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY v DESC)")
-    return v.agg(F.count("*").alias("n"), rnd(F.avg("v")).alias("mean"), upper.alias("upper_median"), F.min("v").alias("min"), F.max("v").alias("max"), *counts)
+    whole = v.agg(F.count("*").alias("n"), rnd(F.avg("v")).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"), *counts)
+    return Q.joined(whole, Q.quantiles(v, "v", [], {"upper_median": 0.5}, upper=True), [])
 
 
 def call_stats(records: DataFrame) -> DataFrame:
@@ -101,11 +101,13 @@ def addition_share(ops: DataFrame, *by: str) -> DataFrame:
 
 def cells(records: DataFrame, *by: str) -> DataFrame:
     """Per cell: finds, mean and median cost and mean edits of finds, mean and median calls of all."""
-    f = F.col("found")
-    return records.groupBy(*by).agg(
+    f, keys = F.col("found"), list(by)
+    whole = records.groupBy(*by).agg(
         F.count("*").alias("n"), count_if(f).alias("n_found"), rnd(count_if(f) / F.count("*")).alias("success_rate"),
-        rnd(avg_if(f, F.col("cost"))).alias("mean_cost"), rnd(F.median(F.when(f, F.col("cost")))).alias("median_cost"), rnd(avg_if(f, F.col("num_operations"))).alias("mean_ops"),
-        rnd(F.avg("llm_calls")).alias("mean_calls"), rnd(F.median("llm_calls")).alias("median_calls"))
+        rnd(avg_if(f, F.col("cost"))).alias("mean_cost"), rnd(avg_if(f, F.col("num_operations"))).alias("mean_ops"), rnd(F.avg("llm_calls")).alias("mean_calls"))
+    j = Q.joined(whole, Q.quantiles(records.where("found"), "cost", keys, {"median_cost": 0.5}), keys)
+    j = Q.joined(j, Q.quantiles(records, "llm_calls", keys, {"median_calls": 0.5}), keys)
+    return j.withColumn("median_cost", rnd(F.col("median_cost"))).withColumn("median_calls", rnd(F.col("median_calls")))
 
 
 def benchmark_averages(records: DataFrame, by: str) -> DataFrame:
@@ -223,7 +225,9 @@ def cost_gap(costs: DataFrame) -> DataFrame:
     """costs: (attributed, actual). Mean and median gap, mean absolute gap and mean ratio; rows with a null are counted as skipped."""
     a, b = F.col("attributed").cast("double"), F.col("actual").cast("double")
     gap = a - b
-    return costs.agg(F.count(gap).alias("n"), (F.count("*") - F.count(gap)).alias("skipped"), rnd(F.avg(gap)).alias("mean_gap"), rnd(F.median(gap)).alias("median_gap"), rnd(F.avg(F.abs(gap))).alias("mean_abs_gap"), rnd(F.avg(a / F.nullif(b, F.lit(0.0)))).alias("mean_ratio"))
+    median = Q.quantiles(costs.select(gap.alias("gap")), "gap", [], {"median_gap": 0.5}).select(rnd(F.col("median_gap")).alias("median_gap"))
+    whole = costs.agg(F.count(gap).alias("n"), (F.count("*") - F.count(gap)).alias("skipped"), rnd(F.avg(gap)).alias("mean_gap"), rnd(F.avg(F.abs(gap))).alias("mean_abs_gap"), rnd(F.avg(a / F.nullif(b, F.lit(0.0)))).alias("mean_ratio"))
+    return Q.joined(whole, median, [])
 
 
 def centrality_compare(measures: DataFrame, tolerance: float = 1e-6) -> DataFrame:
@@ -308,8 +312,10 @@ def zipf(elements: DataFrame, n: int = 50) -> DataFrame:
 
 def describe(values: DataFrame, x: str, *by: str) -> DataFrame:
     """Count, mean, sample deviation, extremes and interpolated quartiles."""
-    q = [rnd(F.percentile(x, p)).alias(name) for p, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))]
-    return values.groupBy(*by).agg(F.count(x).alias("n"), rnd(F.avg(x)).alias("mean"), rnd(F.stddev_samp(x)).alias("std"), F.min(x).alias("min"), *q, F.max(x).alias("max"))
+    names = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    whole = values.groupBy(*by).agg(F.count(x).alias("n"), rnd(F.avg(x)).alias("mean"), rnd(F.stddev_samp(x)).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    j = Q.joined(whole, Q.quantiles(values, x, list(by), names), list(by))
+    return reduce(lambda df, q: df.withColumn(q, rnd(F.col(q))), names, j)
 
 
 def by_size_bins(records: DataFrame, size: str, value: str, bins: int = 10) -> DataFrame:

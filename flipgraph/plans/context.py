@@ -61,8 +61,28 @@ def _(s, d):
     return X.parse_entities(docs(s, d), "doc_id")
 
 
-@C.add("ctx_relations")
+def placed(parsed: DataFrame, key: str) -> DataFrame:
+    """Parsed lines numbered from 0 instead of by their line."""
+    from pyspark.sql import Window
+
+    return parsed.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy("pos")) - 1)
+
+
+@C.add("ctx_relations", f"{R.with_views('rel')}, f AS (SELECT exp_id FROM rel WHERE pos = 0 AND coalesce(src, '') <> '') SELECT exp_id, pos, coalesce(src, '') AS src, coalesce(tgt, '') AS tgt, coalesce(description, '') AS description FROM rel WHERE exp_id IN (SELECT exp_id FROM f)")
+def _(s, d):
+    """The relations of each record's rendered context, parsed again. A section whose first line names no source gives none."""
+    return placed(X.parse_relations(rendered(s, d), "exp_id", "context"), "exp_id").select("exp_id", "pos", "src", "tgt", "description")
+
+
+@C.add("ctx_entities", f"{R.with_views('ent')} SELECT exp_id, pos, coalesce(name, '') AS name, coalesce(type, '') AS type, coalesce(description, '') AS description FROM ent")
+def _(s, d):
+    """The entities of each record's rendered context, parsed again."""
+    return placed(X.parse_entities(rendered(s, d), "exp_id", "context"), "exp_id").select("exp_id", "pos", "name", "type", "description")
+
+
+@C.add("ctx_document_relations")
 def _(s, d):
+    """Relations in the texts of the documents, of which few or none may have such a section."""
     return X.parse_relations(docs(s, d), "doc_id")
 
 

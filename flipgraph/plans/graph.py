@@ -173,13 +173,18 @@ def _(s, d):
     return G.rounded(G.pagerank(nodes, edges, "kg_id"), "rank", 8)
 
 
-@C.add("g_star")
+_PARTS = R.with_views("cgn").replace("WITH ", "WITH RECURSIVE ", 1) + """, se AS MATERIALIZED (SELECT DISTINCT exp_id, a, b FROM (SELECT exp_id, src AS a, tgt AS b FROM cge WHERE src <> tgt UNION ALL SELECT exp_id, tgt, src FROM cge WHERE src <> tgt)), nd AS MATERIALIZED (SELECT exp_id, name FROM cgn),
+ re AS (SELECT exp_id, name, name AS c FROM nd UNION SELECT re.exp_id, se.b, re.c FROM re JOIN se ON se.exp_id = re.exp_id AND se.a = re.name), co AS (SELECT exp_id, name, min(c) AS component FROM re GROUP BY 1, 2)"""
+
+
+@C.add("g_star", f"""{_PARTS}, dg AS (SELECT exp_id, a AS name, count(*) AS deg FROM se GROUP BY 1, 2), pc AS (SELECT co.exp_id, component, count(*) AS n, sum(coalesce(deg, 0)) AS ends, max(coalesce(deg, 0)) AS top FROM co LEFT JOIN dg ON dg.exp_id = co.exp_id AND dg.name = co.name GROUP BY 1, 2)
+ SELECT exp_id, CAST(sum(n) AS BIGINT) AS n_nodes, CAST(sum(ends) / 2 AS BIGINT) AS n_edges, count(*) AS n_components, bool_and(ends = 2 * (n - 1) AND top = n - 1) AND count(*) = 1 AS is_star, bool_and(ends = 2 * (n - 1) AND top = n - 1) AS is_star_forest FROM pc GROUP BY 1""")
 def _(s, d):
-    """Whether a context graph is a star or a forest of stars, with its parts (needs an iteration: no SQL twin)."""
+    """Whether a context graph is a star or a forest of stars, with its parts."""
     return G.star_shapes(*cg(s, d), K)
 
 
-@C.add("g_components")
+@C.add("g_components", f"{_PARTS} SELECT exp_id, name, component FROM co")
 def _(s, d):
     return G.components(*cg(s, d), K)
 

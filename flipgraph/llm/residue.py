@@ -18,8 +18,9 @@ from flipgraph.sources.tables import table
 
 #: Number of hashed features, so the model has a fixed size of FEATURES doubles per kind of passage.
 FEATURES = 1 << 18
-#: The classifier is fitted on about this many passages at most, drawn by the hash of their document's text.
-FIT_PASSAGES = 150_000
+#: The classifier of sentences is fitted on about this many passages at most, drawn by the hash of their document's text;
+#: that of spans, which few texts have, on about this many texts that may hold one.
+FIT_PASSAGES, FIT_SPAN_TEXTS = 150_000, 60_000
 #: EM rounds; a feature counts once it was seen in this many passages; odds of one feature are clipped to this.
 ROUNDS, LEAST_SEEN, CLIP = 12, 2, 4.0
 #: Share below which the first round settles a passage as clean, for sentences and for spans.
@@ -219,24 +220,30 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One task: the bounded sample of texts in, the model's features out."""
     gathered: dict[str, list] = {"s": [], "p": []}
     for batch in batches:
-        for text in batch.column("text").to_pylist():
-            for kind, trusted, features in passages(text):
-                gathered["p" if kind == "p" else "s"].append((trusted, features))
+        for text, whole, spans in zip(*(batch.column(c).to_pylist() for c in ("text", "whole", "spans")), strict=True):
+            if whole:
+                gathered["s"] += [(trusted, features) for _, trusted, features in sentence_passages(text)]
+            if spans:
+                gathered["p"] += [(trusted, features) for _, trusted, features in span_passages(text)]
     for kind, found in gathered.items():
         odds, prior = fit_pu([f for _, f in found], np.array([t for t, _ in found], bool), settled=SETTLED[kind])
         at = np.flatnonzero(odds)
         yield pa.RecordBatch.from_arrays([pa.array([kind] * (len(at) + 1)), pa.array(np.r_[-1, at], pa.int64()), pa.array(np.r_[prior, odds[at]], pa.float64())], names=["kind", "feature", "odds"])
 
 
-def fit_residue(texts: DataFrame, bound: int = FIT_PASSAGES) -> dict[str, tuple[np.ndarray, float]]:
-    """The model of each kind of passage, fitted on at most about ``bound`` passages' texts, drawn by hash.
+def fit_residue(texts: DataFrame, bound: int = FIT_PASSAGES, span_texts: int = FIT_SPAN_TEXTS) -> dict[str, tuple[np.ndarray, float]]:
+    """The model of each kind of passage, fitted on at most about ``bound`` passages' texts, and for spans on about
+    ``span_texts`` texts that may hold one, both drawn by hash.
 
     texts: (text). Equal texts are drawn together and count once. The model has FEATURES numbers per kind.
     """
-    some = texts.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("h"), (1 + F.size(F.split("text", r"\n|[.!?] "))).alias("n"))
-    total = some.agg(F.sum("n")).first()[0] or 0
-    draw = some.where(F.col("h") < F.lit(draw_below(bound, total))) if total > bound else some
-    learned = draw.dropDuplicates(["h"]).select("text", "h").repartition(1).sortWithinPartitions("h").select("text")
+    may = F.col("text").rlike(_MAY_HOLD_SPAN.pattern)
+    some = texts.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("h"), (1 + F.size(F.split("text", r"\n|[.!?] "))).alias("n"), may.alias("may"))
+    total, holders = (x or 0 for x in some.agg(F.sum("n"), F.count(F.when(F.col("may"), 1))).first())
+    whole = F.col("h") < F.lit(draw_below(bound, total)) if total > bound else F.lit(True)
+    spans = F.col("may") & (F.col("h") < F.lit(draw_below(span_texts, holders)) if holders > span_texts else F.lit(True))
+    draw = some.select("text", "h", whole.alias("whole"), spans.alias("spans")).where("whole OR spans")
+    learned = draw.dropDuplicates(["h"]).repartition(1).sortWithinPartitions("h").select("text", "whole", "spans")
     rows = learned.mapInArrow(_fit, "kind string, feature long, odds double").collect()  # at most 2 * FEATURES + 2 rows
     model = {k: (np.zeros(FEATURES), -8.0) for k in "sp"}
     for r in rows:

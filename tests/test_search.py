@@ -1,5 +1,6 @@
 """Searches against the enumeration of all deletions on small graphs."""
 
+import heapq
 from itertools import combinations
 from pathlib import Path
 
@@ -107,6 +108,95 @@ def test_additions_reach_the_whole_knowledge_graph(spark):
     assert link.ops == [("add_edge", None, "a", "z")]
 
 
+def eager(q, judge, hit, max_cost, max_calls, model, tier, blend, anchor_once):
+    """The corrective search with every edit of a state put on the heap at once."""
+    heap, seen, age, last, anchored = [(0.0, 0, 0.0, 0, 0.0, q.state, [])], set(), 0, 0.0, set()
+    sim = lambda v: q.sim.get(v, 0.0)
+    while heap:
+        *_, cost, state, done = heapq.heappop(heap)
+        last = cost
+        if cost > max_cost or judge.calls > max_calls:
+            break
+        if state in seen:
+            continue
+        seen.add(state)
+        if done and judge(state) == hit:
+            return S.Found(done, cost, state, judge.calls)
+        edits = [([("delete_node", v, None, None)], c, sim(v), s) for v in sorted(state.nodes & q.state.nodes) for s, c in [state.without_node(v)]]
+        edits += [([("delete_edge", None, a, b)], c, max(sim(a), sim(b)), s) for a, b, _ in sorted(state.edges) if (a, b) in {e[:2] for e in q.state.edges} for s, c in [state.without_edge((a, b))]]
+        edits = [e for e in edits if e[3] not in seen]
+        for a in sorted(state.nodes):
+            if anchor_once and a in anchored:
+                continue
+            anchored.add(a)
+            for b, d in q.grow.get(a, ()):
+                node, edge = (2 - sim(b), 2 - max(sim(a), sim(b))) if model == 2 else (1.0, 1.0)
+                add, child = ("add_edge", None, a, b), state.with_edge(a, b, d)
+                if b not in state.nodes:
+                    edits.append(([("add_node", b, None, None), add], node + edge, sim(b), child))
+                elif (a, b) not in {e[:2] for e in state.edges}:
+                    edits.append(([add], edge, sim(b), child))
+        for rows, more, order, child in edits:
+            total, added = cost + more, rows[-1][0] == "add_edge"
+            first = total if not added else tier * (total // tier) if tier else total - blend * order
+            age += 1
+            heapq.heappush(heap, (first, len(done) + 1, -order if added else order, age, total, child, [*done, *rows]))
+    return S.Found(None, last, None, judge.calls)
+
+
+LETTERS = st.sampled_from("abcdef")
+EDGES = st.lists(st.tuples(LETTERS, LETTERS), min_size=1, max_size=8, unique=True)
+
+
+@settings(max_examples=150, deadline=None)
+@given(EDGES, EDGES, st.dictionaries(LETTERS, st.sampled_from([-0.5, 0.25, 0.5, 0.75, 1.0])), st.sets(LETTERS, max_size=3), st.sampled_from([(2, 0.5, 0.0), (2, 0.0, 0.0), (3, 0.0, 0.0), (3, 0.0, 0.4)]), st.booleans(), st.sampled_from([5, 60]))
+def test_edits_made_when_due_are_those_made_at_once(edges, more, sim, needs, order, once, calls):
+    grow = {}
+    for a, b in more:
+        grow.setdefault(a, []).append((b, ""))
+    q = question(edges, needs, grow, sim)
+    want = eager(q, S.LexicalJudge(q), 1, 20, calls, *order, once)
+    model, tier, blend = order
+    assert S.best_first(q, S.LexicalJudge(q), (*DELETE, "add_node", "add_edge"), 1, 20, calls, model=model, tier=tier, blend=blend, anchor_once=once) == want
+
+
+def pushes(monkeypatch, **how):
+    """Entries that a search without a hit puts on its heap, where a node has 3000 successors, and its result."""
+    count, push = [0], heapq.heappush
+
+    def counted(heap, entry):
+        count[0] += 1
+        push(heap, entry)
+
+    monkeypatch.setattr(heapq, "heappush", counted)
+    q = question([("a", "b")], {"none"}, {"a": [(f"n{i}", "") for i in range(3000)]}, {f"n{i}": i / 3000 for i in range(3000)})
+    found = S.best_first(q, S.LexicalJudge(q), (*DELETE, "add_node", "add_edge"), 1, max_cost=20, max_calls=200, **how)
+    return count[0], found
+
+
+def test_correction_makes_additions_when_they_are_due(monkeypatch):
+    n, found = pushes(monkeypatch, model=2, tier=0.5)
+    assert found.ops is None and found.calls == 201 and n < 3000
+
+
+def test_names_in_an_answer():
+    names = ["Ab", "b c", "C", "!", "zz", *(f"other {i}" for i in range(500))]
+    g = S.Graph([], {v: S.np.zeros(2) for v in names})
+    few = S.Graph([], {v: S.np.zeros(2) for v in names[:5]})
+    for said in ("xab c", "", "other 41", "c"):
+        want = {v for v in names if S.plain_words(v) and S.plain_words(v) in said}
+        assert g.said_in(said) == want and few.said_in(said) == want & set(names[:5])
+
+
+def test_vectors_that_are_null_have_no_similarity():
+    null = S.np.asarray(None, float)
+    for vectors, sims in (({"b": null, "c": S.np.array([1.0, 0.5]), "d": S.np.array([1.0, float("nan")])}, [1.0, 0.0, 0.0]), ({"b": null, "c": null}, [0.0, 0.0]), ({}, [])):
+        g = S.Graph([("a", x) for x in "bcd"], vectors)
+        for vector, want in (([1.0, 0.0], sims), (None, [0.0] * len(sims)), ([1.0, float("nan")], [0.0] * len(sims))):
+            s = S.Similarities({}, g, vector)
+            assert s.ranked("a")[0] == want and s.most >= max([0.0, *want]) and sorted(map(s.get, vectors)) == sorted(want)
+
+
 class Linked(S.Judge):
     def score(self, state):
         return int(("a", "z", "") in state.edges)

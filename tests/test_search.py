@@ -179,6 +179,11 @@ def test_correction_makes_additions_when_they_are_due(monkeypatch):
     assert found.ops is None and found.calls == 201 and n < 3000
 
 
+def test_bounded_correction_makes_additions_when_they_are_due(monkeypatch):
+    n, found = pushes(monkeypatch, psp_k=5, refine_hits=False, incumbent=True)
+    assert found.ops is None and found.calls == 201 and n < 3000
+
+
 def test_names_in_an_answer():
     names = ["Ab", "b c", "C", "!", "zz", *(f"other {i}" for i in range(500))]
     g = S.Graph([], {v: S.np.zeros(2) for v in names})

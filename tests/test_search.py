@@ -202,6 +202,24 @@ def test_vectors_that_are_null_have_no_similarity():
             assert s.ranked("a")[0] == want and s.most >= max([0.0, *want]) and sorted(map(s.get, vectors)) == sorted(want)
 
 
+def test_copies_of_graphs_are_bounded_by_the_questions(spark):
+    """40 questions, two together, have at most 32 rows each of a graph of 640: two copies instead of 20."""
+    q = spark.createDataFrame([(i, "g", ["n0"], [], "n1", [1.0]) for i in range(40)], "exp_id long, kg_id string, entities array<string>, relations array<struct<src:string,tgt:string,description:string>>, answer string, vec array<double>")
+    nodes = spark.createDataFrame([("g", f"n{i}", [0.5]) for i in range(320)], "kg_id string, name string, vec array<double>")
+    edges = spark.createDataFrame([("g", "n0", f"n{i}") for i in range(320)], "kg_id string, src string, tgt string")
+    copies = spark.sparkContext.accumulator(0)
+    seen = []
+
+    def run(q, j):
+        if not any(q.links is x for x in seen):
+            seen.append(q.links)
+            copies.add(1)
+        return S.best_first(q, j, ("add_node", "add_edge"), 1)
+
+    got = S.search_in_graphs(q, nodes, edges, run, together=2).collect()
+    assert len(got) == 40 and all(r.found for r in got) and 1 <= copies.value <= 4
+
+
 class Linked(S.Judge):
     def score(self, state):
         return int(("a", "z", "") in state.edges)
